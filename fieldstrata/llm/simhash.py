@@ -97,3 +97,13 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFram
     smallest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     of = named.join(smallest, "root").select("fp", "component_id")
     return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
+    """The rows of docs (all their columns) whose doc_id is the smallest of their group of near copies.
+
+    Rows without doc_id go if their group has a named row, and stay otherwise.
+    """
+    groups = near_duplicates(docs, words, seed)
+    gone = groups.filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("gone_id_")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id_")), "left_anti")
