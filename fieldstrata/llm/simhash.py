@@ -70,7 +70,8 @@ def _cells(column: str) -> F.Column:
 def links(fps: DataFrame, most: int = 32) -> DataFrame:
     """(a, b) between distinct fingerprints (column fp) that differ in at most two bits: all such pairs from cells of at
     most ``most`` fingerprints, and from larger cells pairs that connect the same fingerprints."""
-    placed = fps.select("fp", F.explode(_cells("fp")).alias("cell"))
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = fps.repartition(parts, "fp").select("fp", F.explode(_cells("fp")).alias("cell"))
     sizes = placed.groupBy("cell").count().filter("count > 1")
     placed = staged(placed.join(sizes, "cell"), "cells")
     few = placed.filter(F.col("count") <= most)
