@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytededup, decontaminate, linededup, packing, simhash, toxicity, worddedup
+from . import bytededup, decontaminate, linededup, packing, piispans, qualitymil, qualityrules, simhash, toxicity, worddedup
 from .common import table
 
 
@@ -27,6 +27,19 @@ def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytededup.dedup_bytes(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piispans.find(table(spark, sf_dir, "documents"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qualityrules.judge(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = qualitymil.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=~held_out(5, 0))
+    return scored.select("doc_id", F.coalesce(held_out(5, 0), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_passages", "attention")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return worddedup.dedup_words(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -45,7 +58,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_packing, op4_decontamination, op5_suffix_array, op6_simhash, op9_substring_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_pii, op4_decontamination, op5_suffix_array, op6_simhash, op7_quality_rules, op8_quality_classifier, op9_substring_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
