@@ -2,8 +2,9 @@
 
 A test item of m characters may appear in a document with up to k = floor(rate * m) edits. Cut into k + 1 pieces, at
 least one piece then appears unchanged. One Aho-Corasick automaton finds all pieces of all items in one pass over a
-document; around each hit (hits of an item on nearby diagonals together) Myers' bit-parallel algorithm computes the
-smallest edit distance between the item and any substring. Both sides are compared in lower case with runs of white
+document; around each hit Myers' bit-parallel algorithm verifies longer and longer parts of the item within their share
+of the budget, and at last (hits of an item on nearby diagonals together) computes the smallest edit distance between
+the item and any substring. Both sides are compared in lower case with runs of white
 space as one space.
 
 The items are the small side: they travel to the tasks in shards of bounded size, each of which reads the documents
@@ -27,19 +28,31 @@ def normal(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
-def pieces(item: str, k: int) -> list[tuple[int, str]]:
-    """(offset, piece) of k + 1 pieces of nearly equal length."""
-    n = k + 1
-    cuts = [len(item) * i // n for i in range(n + 1)]
-    return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+def split(start: int, end: int, k: int) -> list[list[tuple[int, int, int]]]:
+    """Cut item[start:end] with error budget k into k + 1 pieces, by halving.
 
+    Where A and B have budgets a and b with a + b + 1 = k, a match of AB within k edits matches A within a or B within b.
+    So each match has a piece without errors all of whose parents match within their own budgets. Returns, for each
+    piece, itself and its parents up to the whole, as (start, end, budget).
+    """
+    if k <= 0:
+        return [[(start, end, 0)]]
+    a = (k - 1) // 2
+    cut = start + (end - start) * (a + 1) // (k + 1)
+    return [[*path, (start, end, k)] for path in split(start, cut, a) + split(cut, end, k - 1 - a)]
 
-def myers(item: str, text: str, k: int) -> tuple[int, int] | None:
-    """(distance, end) of the substring of text closest to item, the first such end; None if none is within k edits."""
-    m = len(item)
+
+def masks(item: str) -> dict[str, int]:
     eq: dict[str, int] = {}
     for i, c in enumerate(item):
         eq[c] = eq.get(c, 0) | 1 << i
+    return eq
+
+
+def myers(item: str, text: str, k: int, eq: dict[str, int] | None = None) -> tuple[int, int] | None:
+    """(distance, end) of the substring of text closest to item, the first such end; None if none is within k edits."""
+    m = len(item)
+    eq = masks(item) if eq is None else eq
     full, top = (1 << m) - 1, 1 << m - 1
     pv, mv, score, best = full, 0, m, None
     for end, c in enumerate(text, 1):
@@ -65,10 +78,11 @@ class Matcher:
         import ahocorasick
 
         self.items = [(i, t, int(rate * len(t))) for i, t in items]
-        at: dict[str, list[tuple[int, int]]] = {}
+        self.masks: dict[tuple[int, int, int], dict[str, int]] = {}
+        at: dict[str, list[tuple[int, list[tuple[int, int, int]]]]] = {}
         for n, (_, t, k) in enumerate(self.items):
-            for offset, piece in pieces(t, k):
-                at.setdefault(piece, []).append((n, offset))
+            for path in split(0, len(t), k):
+                at.setdefault(t[path[0][0] : path[0][1]], []).append((n, path))
         self.automaton = ahocorasick.Automaton()
         for piece, where in at.items():
             self.automaton.add_word(piece, (len(piece), where))
@@ -76,6 +90,17 @@ class Matcher:
             self.automaton.make_automaton()
         self.empty = not at
 
+    def parents_match(self, text: str, n: int, diagonal: int, path: list[tuple[int, int, int]]) -> bool:
+        """Whether every parent of a piece but the whole matches within its budget around the place of the hit."""
+        item = self.items[n][1]
+        for start, end, k in path[1:-1]:
+            eq = self.masks.get((n, start, end))
+            if eq is None:
+                eq = self.masks[n, start, end] = masks(item[start:end])
+            if myers(item[start:end], text[max(0, diagonal + start - k) : diagonal + end + k], k, eq) is None:
+                return False
+        return True
+
     def matches(self, text: str) -> Iterator[tuple[int, int, int, int]]:
         """(item_id, distance, start, end) of each item found: its closest place, in the normal form of the text."""
         text = normal(text)
@@ -84,8 +109,10 @@ class Matcher:
         diagonals: dict[int, set[int]] = {}
         for end, (size, where) in self.automaton.iter(text):
             first = end + 1 - size
-            for n, offset in where:
-                diagonals.setdefault(n, set()).add(first - offset)
+            for n, path in where:
+                offset = path[0][0]
+                if first - offset not in diagonals.get(n, ()) and self.parents_match(text, n, first - offset, path):
+                    diagonals.setdefault(n, set()).add(first - offset)
         for n, found in diagonals.items():
             item, t, k = self.items[n]
             best = None
