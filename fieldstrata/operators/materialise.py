@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame
 
 
+@cache
+def own_dir() -> str:
+    folder = tempfile.mkdtemp(prefix="spark-shared-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def kept(df: DataFrame) -> DataFrame:
     """Written once and read again, so that partition numbers and random choices stay what they were if executors are lost."""
-    conf = df.sparkSession.conf
-    folder = conf.get("spark.checkpoint.dir", "")
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-shared-")
-        conf.set("spark.checkpoint.dir", folder)
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", "") or own_dir()
     path = f"{folder.rstrip('/')}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
