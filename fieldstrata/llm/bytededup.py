@@ -4,7 +4,7 @@ Runs of windows that can repeat (``repeats``) are gathered in buckets of bounded
 string lie in one bucket. Each bucket's suffixes are sorted and its transform is taken. Then intervals of the suffix
 array are extended backwards breadth-first: level l holds the intervals of all strings of length l that occur twice or
 more, each extension by one character on the left gives an interval of level l + 1, and intervals of one suffix are
-dropped. The common prefixes so come up in order of their length, and the search ends at the least length that
+dropped. (The sorting by doubling gives the levels up to 128 at once: 4, 8, ... 128; single steps follow.) The common prefixes so come up in order of their length, and the search ends at the least length that
 matters: the suffixes in level ``window``'s intervals are the places of repeated strings.
 
 A minimum with more regions than a bucket may hold (the borders of a very frequent passage) is split by the hash of each
@@ -27,58 +27,84 @@ from .common import column, staged
 from .repeats import NO_ID, PLACES, covered, keyed, mixed, repeated_runs, runs, with_texts
 
 
-def suffix_array(x: np.ndarray) -> np.ndarray:
-    """Order of all suffixes of x, whose ends are distinct (by doubling of ranks)."""
-    _, rank = np.unique(x, return_inverse=True)
-    n, step = len(x), 1
+def suffix_order(x: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(order of all suffixes of x, low, high, depth), by doubling; x holds values from 0 to 65,534.
+
+    Only suffixes that still tie are sorted again. low and high are the intervals of two or more suffixes that begin
+    alike for ``depth`` characters, the largest power of two (from 4 on) within length: sorting on does not move them.
+    """
+    n = len(x)
+    wide = np.concatenate([x.astype(np.int64) + 1, np.zeros(3, np.int64)])
+    key = (wide[:n] << 48) | (wide[1 : n + 1] << 32) | (wide[2 : n + 2] << 16) | wide[3:]
+    order = np.argsort(key)
+    slots = np.arange(n)
+    rank = np.empty(n + 1, np.int64)
+    rank[n] = -1
+    s, tied, step = key[order], order, 4
+    low = high = np.empty(0, np.int64)
+    depth = 0
     while True:
-        key = rank.astype(np.int64) * (n + 1)
-        key[: n - step] += rank[step:] + 1
-        order = np.argsort(key, kind="stable")
-        s = key[order]
-        new = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n - 1:
-            return order
+        new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.empty(0, bool)
+        first = np.flatnonzero(new)
+        sizes = np.diff(np.append(first, len(s)))
+        rank[tied] = np.repeat(slots[first], sizes)
+        if step <= length:
+            low, depth = slots[first][sizes > 1], step
+            high = low + sizes[sizes > 1] - 1
+        many = np.repeat(sizes > 1, sizes)
+        tied, slots = tied[many], slots[many]
+        if not len(tied):
+            return order, low, high, depth
+        key = rank[tied] * (n + 1) + rank[np.minimum(tied + step, n)] + 1
+        by = np.argsort(key)
+        tied, s = tied[by], key[by]
+        order[slots] = tied
         step *= 2
 
 
 def repeated_starts(x: np.ndarray, length: int) -> np.ndarray:
-    """Whether the string of that length that starts at each place of x occurs twice or more (breadth-first expansion)."""
+    """Whether the string of that length that starts at each place of x occurs twice or more (breadth-first expansion).
+
+    The intervals of the longest power of two within length come with the suffix order; from there on each level extends
+    all intervals by the one character before.
+    """
     n = len(x)
     out = np.zeros(n, bool)
     if n < 2:
         return out
-    order = suffix_array(x)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
+    order, low, high, depth = suffix_order(x, length)
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
     before = np.where(order > 0, order - 1, n - 1)
-    char, step_left = x[before], place[before]  # the transform, and where its suffixes stand
-    run = np.concatenate([[0], np.cumsum(char[1:] != char[:-1])])
-    low, high = np.array([0]), np.array([n - 1])
-    for _ in range(length):
+    char, step_left = x[before].astype(np.int32), place[before]  # the transform, and where its suffixes stand
+    run = np.concatenate([[0], np.cumsum(char[1:] != char[:-1])]).astype(np.int32)
+    low, high = low.astype(np.int32), high.astype(np.int32)
+    if length < 4:
+        low, high, depth = np.array([0], np.int32), np.array([n - 1], np.int32), 0
+    for _ in range(length - depth):
         if not len(low):
             return out
         one = run[low] == run[high]  # a single character stands before all suffixes of the interval
+        if one.all():
+            low, high = step_left[low], step_left[high]
+            continue
         a, b = low[~one], high[~one]
         low, high = step_left[low[one]], step_left[high[one]]
-        if len(a):
-            sizes = b - a + 1
-            of = np.repeat(np.arange(len(a)), sizes)
-            at = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + a[of]
-            by = np.lexsort((at, char[at], of))
-            of, at = of[by], at[by]
-            new = np.concatenate([[True], (of[1:] != of[:-1]) | (char[at[1:]] != char[at[:-1]])])
-            first = np.flatnonzero(new)
-            last = np.append(first[1:], len(of)) - 1
-            two = last > first
-            low = np.concatenate([low, step_left[at[first[two]]]])
-            high = np.concatenate([high, step_left[at[last[two]]]])
+        sizes = b - a + 1
+        of = np.repeat(np.arange(len(a)), sizes)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + a[of]
+        key = of.astype(np.int64) * (int(x.max()) + 1) + char[at]
+        by = np.argsort(key, kind="stable")
+        key, at = key[by], at[by]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        last = np.append(first[1:], len(key)) - 1
+        two = last > first
+        low = np.concatenate([low, step_left[at[first[two]]]])
+        high = np.concatenate([high, step_left[at[last[two]]]])
     if len(low):
         edge = np.zeros(n + 1, np.int64)
         np.add.at(edge, low, 1)
-        np.add.at(edge, high + 1, -1)
+        np.add.at(edge, high.astype(np.int64) + 1, -1)
         out[order[np.cumsum(edge[:-1]) > 0]] = True
     return out
 
@@ -103,7 +129,7 @@ def _places(docs: list, ties: list, starts: list, sizes: list) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ties, pa.int16()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32())], names=["doc", "tie", "a", "n"])
 
 
-def repeated_places(docs: DataFrame, window: int = 200, k: int = 64, most: int = 2000, bucket_bytes: int = 2_000_000) -> DataFrame:
+def repeated_places(docs: DataFrame, window: int = 200, k: int = 64, most: int = 2000, bucket_bytes: int = 500_000) -> DataFrame:
     """PLACES (doc, tie, a, n): n consecutive starts from byte a on of strings of ``window`` bytes that start elsewhere too."""
     alike, first, single = repeated_runs(runs(docs, splitter(), window, k))
 
@@ -119,6 +145,17 @@ def repeated_places(docs: DataFrame, window: int = 200, k: int = 64, most: int =
     buckets = 1 + (total or 0) // bucket_bytes
 
     def expand(group: pa.Table) -> pa.Table:
+        group = group.sort_by("m")
+        ms, at = group["m"].to_numpy(), 0
+        parts = []
+        while at < len(ms):  # whole minima together; separators must fit into 16 bits
+            end = len(ms) if len(ms) - at <= 30_000 else int(np.searchsorted(ms, ms[at + 30_000 - 1], "left"))
+            end = end if end > at else int(np.searchsorted(ms, ms[at], "right"))
+            parts.append(expand_part(group.slice(at, end - at)))
+            at = end
+        return pa.Table.from_batches(parts)
+
+    def expand_part(group: pa.Table) -> pa.RecordBatch:
         raws = [np.frombuffer(x, np.uint8).astype(np.int64) for x in group["raw"].to_pylist()]
         ends = np.cumsum([len(x) + 1 for x in raws])
         x = np.concatenate([y for i, r in enumerate(raws) for y in (r, [256 + i])])
@@ -132,7 +169,7 @@ def repeated_places(docs: DataFrame, window: int = 200, k: int = 64, most: int =
                 ties.append(tie)
                 starts.append(a + i)
                 sizes.append(j)
-        return pa.Table.from_batches([_places(ds, ties, starts, sizes)])
+        return _places(ds, ties, starts, sizes)
 
     few = cut.filter(F.col("others") <= most).withColumn("bucket", F.pmod("m", F.lit(buckets)))
     out = few.groupBy("bucket").applyInArrow(expand, PLACES).union(alike).union(first)

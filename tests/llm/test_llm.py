@@ -243,7 +243,7 @@ def brute_bytes(texts, size):
 @pytest.mark.parametrize("most", [1, 2000])
 def test_byte_dedup_against_brute_force(docs, corpus, most, monkeypatch):
     if most == 1:
-        monkeypatch.setattr(bytededup.repeated_places, "__defaults__", (200, 64, 1, 2_000_000))
+        monkeypatch.setattr(bytededup.repeated_places, "__defaults__", (200, 64, 1, 500_000))
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in bytededup.dedup_bytes(docs).collect()}
     want = brute_bytes([(t or "").encode() for _, t in corpus], 200)
     assert got == {i: w for (i, _), w in zip(corpus, want, strict=True)}
@@ -252,8 +252,8 @@ def test_byte_dedup_against_brute_force(docs, corpus, most, monkeypatch):
 
 def test_interval_expansion():
     rng = np.random.default_rng(1)
-    for size in (3, 5, 8):
-        x = np.append(rng.integers(0, 3, 200), 99)
+    for size in (3, 4, 5, 8, 13, 20):
+        x = np.concatenate([rng.integers(0, 3, 90), [97], rng.integers(0, 2, 60), np.arange(30) % 3, [98], np.arange(40) % 3, [99]])
         got = bytededup.repeated_starts(x, size)
         c = Counter(tuple(x[i : i + size]) for i in range(len(x) - size + 1))
         assert got[: len(x) - size + 1].tolist() == [c[tuple(x[i : i + size])] > 1 for i in range(len(x) - size + 1)]
