@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Legend values and their coarse classes (fixed values).
 COARSE = {
@@ -183,7 +184,7 @@ def cost_argmax(p: Column, costs: list[float]) -> Column:
     return argmax(F.zip_with(p, F.array(*[F.lit(c) for c in costs]), lambda x, c: x * c))
 
 
-@F.pandas_udf("epsg int, x double, y double")
+@F.pandas_udf(T.StructType([T.StructField("epsg", T.IntegerType()), T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
 def utm_cell(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     """The lower left corner of the 10 m grid cell of (lon, lat) in the given UTM zone (WGS84 transverse Mercator series)."""
     a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996  # the ellipsoid and scale (fixed values)

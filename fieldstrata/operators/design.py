@@ -10,7 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Z95 = 1.959963984540054
-ALL = Window.partitionBy()
+
+
+def everything():
+    """The window of all rows (of a table with one row per stratum)."""
+    return Window.partitionBy()
 
 
 def stratum_stats(df: DataFrame, y: str = "y", x: str | None = None, stratum: str = "stratum") -> DataFrame:
@@ -32,7 +36,7 @@ def with_interval(df: DataFrame, z: float = Z95) -> DataFrame:
 
 def weighted(stats: DataFrame, areas: DataFrame) -> DataFrame:
     """Strata present on both sides, with w = area / sum of those areas."""
-    return stats.join(areas, "stratum").withColumn("w", F.col("area") / F.sum("area").over(ALL))
+    return stats.join(areas, "stratum").withColumn("w", F.col("area") / F.sum("area").over(everything()))
 
 
 def missing_strata(stats: DataFrame, areas: DataFrame) -> DataFrame:
@@ -43,7 +47,7 @@ def missing_strata(stats: DataFrame, areas: DataFrame) -> DataFrame:
 def complete(stats: DataFrame, areas: DataFrame) -> DataFrame:
     """stats with areas; a stratum with an area but without rows raises when the plan runs."""
     joined = areas.join(stats, "stratum", "left")
-    return joined.withColumn("n", F.when(F.col("n").isNull(), F.raise_error(F.concat(F.lit("stratum without rows: "), "stratum")).cast("long")).otherwise(F.col("n"))).withColumn("w", F.col("area") / F.sum("area").over(ALL))
+    return joined.withColumn("n", F.when(F.col("n").isNull(), F.raise_error(F.concat(F.lit("stratum without rows: "), "stratum")).cast("long")).otherwise(F.col("n"))).withColumn("w", F.col("area") / F.sum("area").over(everything()))
 
 
 def fpc(n: str = "n", area: str = "area") -> Column:
@@ -120,7 +124,7 @@ def ppi_known_mean(stats: DataFrame, areas: DataFrame, lam: float, population_me
 
 
 def predicted_area(proxy: DataFrame, areas: DataFrame) -> DataFrame:
-    w = proxy.join(areas, "stratum").withColumn("w", F.col("area") / F.sum("area").over(ALL))
+    w = proxy.join(areas, "stratum").withColumn("w", F.col("area") / F.sum("area").over(everything()))
     return w.agg(F.sum(F.col("w") * F.col("pm")).alias("est"), F.sum(F.col("area") * F.col("pm")).alias("area"))
 
 
@@ -169,7 +173,7 @@ def variance_decomposition(stats: DataFrame, proxy: DataFrame, areas: DataFrame,
     lab = F.col("w") ** 2 * (F.col("vy") - 2 * L * F.col("cxy") + L * L * F.col("vx")) / F.col("n") * fpc()
     pred = F.col("w") ** 2 * L * L * F.col("pv") / F.col("pn")
     t = w.select("stratum", lab.alias("label_var"), pred.alias("predicted_var"))
-    t = t.withColumn("label_share", F.col("label_var") / F.sum("label_var").over(ALL))
+    t = t.withColumn("label_share", F.col("label_var") / F.sum("label_var").over(everything()))
     run = Window.orderBy(F.desc("label_var"), "stratum").rowsBetween(Window.unboundedPreceding, 0)
     return t.withColumn("cum_share", F.sum("label_share").over(run)).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("label_var"), "stratum")))
 

@@ -9,7 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ALL = Window.partitionBy()
+
+
+def everything():
+    """The window of all rows (of a small table of counts)."""
+    return Window.partitionBy()
 
 
 def confusion(df: DataFrame, truth: str, pred: str, by: list[str] | None = None) -> DataFrame:

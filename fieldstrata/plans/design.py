@@ -234,7 +234,7 @@ def a30(spark, d):
 def b1(spark, d):
     lab = D.bootstrap_draws(labelled(spark, d), "stratum", 11, 100, ["y", "yhat"], ["k", "id"])
     area = areas(spark, d)
-    w = area.withColumn("w", F.col("area") / F.sum("area").over(D.ALL))
+    w = area.withColumn("w", F.col("area") / F.sum("area").over(D.everything()))
     by = lab.groupBy("draw", "stratum").agg(F.avg("y").alias("my"), F.avg("yhat").alias("mx")).join(w, "stratum")
     proxy = D.proxy_summary(predicted(spark, d), "yhat")
     return by.join(proxy, "stratum").groupBy("draw").agg(F.sum(F.col("w") * (F.col("my") + 0.3 * (F.col("pm") - F.col("mx")))).alias("est"))
@@ -246,7 +246,7 @@ _BOOT = f"with {POP}, slots as (select draw, stratum, slot, n, floor(('0x' || su
 @query("b2_bootstrap_summary", f"{_BOOT} select count(*) as draws, round(avg(est), 6) as mean, round(stddev_samp(est), 6) as se, round(quantile_cont(est, 0.025), 6) as lo, round(quantile_cont(est, 0.5), 6) as median, round(quantile_cont(est, 0.975), 6) as hi from dr")
 def b2(spark, d):
     draws = D.bootstrap_draws(labelled(spark, d), "stratum", 13, 100, ["y"], ["k", "id"])
-    w = areas(spark, d).withColumn("w", F.col("area") / F.sum("area").over(D.ALL))
+    w = areas(spark, d).withColumn("w", F.col("area") / F.sum("area").over(D.everything()))
     est = draws.groupBy("draw", "stratum").agg(F.avg("y").alias("my")).join(w, "stratum").groupBy("draw").agg(F.sum(F.col("w") * F.col("my")).alias("est"))
     return D.bootstrap_summary(est, "est")
 

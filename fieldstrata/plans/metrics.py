@@ -11,14 +11,17 @@ from ..operators import metrics as M
 from .registry import query, read
 from .roles import POSTERIORS, posteriors
 
-P = F.array("p0", "p1", "p2")
 PRED = "case when p0 >= p1 and p0 >= p2 then 0 when p1 >= p2 then 1 else 2 end"
 _CONF = f"conf as (select truth, {PRED} as pred, count(*) as n from post group by 1, 2)"
 _PC = "t as (select truth as cls, sum(n) as support, sum(case when truth = pred then n else 0 end) as tp from conf group by 1), q as (select pred as cls, sum(n) as called from conf group by 1), pc as (select cls, support::bigint as support, tp / greatest(coalesce(called, 0), 1) as precision, tp / greatest(support, 1) as recall, 2 * tp / greatest(coalesce(called, 0) + support, 1) as f1 from t left join q using (cls))"
 
 
+def P():
+    return F.array("p0", "p1", "p2")
+
+
 def table(spark, d):
-    return posteriors(spark, d).withColumn("pred", S.argmax(P))
+    return posteriors(spark, d).withColumn("pred", S.argmax(P()))
 
 
 @query("m1_per_class", f"with {POSTERIORS}, {_CONF}, {_PC} select cls, support, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1 from pc")
@@ -126,7 +129,7 @@ def m19(spark, d):
 def m20(spark, d):
     li = read(spark, d, "lineitem").select(F.col("l_returnflag").alias("s"), "l_linenumber")
     g = li.groupBy("s").agg(F.count_if(F.col("l_linenumber") == 1).alias("n"), F.count("*").alias("m"))
-    a, b = F.col("n") / F.sum("n").over(M.ALL), F.col("m") / F.sum("m").over(M.ALL)
+    a, b = F.col("n") / F.sum("n").over(M.everything()), F.col("m") / F.sum("m").over(M.everything())
     return g.select("s", a.alias("label_share"), b.alias("land_share"), (a / b).alias("ratio"))
 
 
@@ -165,7 +168,7 @@ def m26(spark, d):
 @query("m29_confident_joint", f"with {POSTERIORS}, t as (select truth, avg(case truth when 0 then p0 when 1 then p1 else p2 end) as thr from post group by 1), w as (select max(case when truth = 0 then thr end) as t0, max(case when truth = 1 then thr end) as t1, max(case when truth = 2 then thr end) as t2 from t), c as (select truth, case when p0 >= t0 and p0 >= case when p1 >= t1 then p1 else -1 end and p0 >= case when p2 >= t2 then p2 else -1 end then 0 when p1 >= t1 and p1 >= case when p2 >= t2 then p2 else -1 end then 1 when p2 >= t2 then 2 end as conf from post, w) select truth, conf, count(*) as n from c group by 1, 2")
 def m29(spark, d):
     t = table(spark, d)
-    own = F.get(P, F.col("truth"))
+    own = F.get(P(), F.col("truth"))
     thr = t.agg(*[F.avg(F.when(F.col("truth") == i, own)).alias(f"t{i}") for i in range(3)])
     sure = F.array(*[F.when(F.col(f"p{i}") >= F.col(f"t{i}"), F.col(f"p{i}")).otherwise(-1.0) for i in range(3)])
     conf = F.when(F.array_max(sure) >= 0, S.argmax(sure))
@@ -186,7 +189,7 @@ def m31(spark, d):
 @query("m34_pool_shares", "select l_shipmode_ as cls, count(*) as n, round(count(*) / sum(count(*)) over (), 6) as share from (select l_returnflag || l_linestatus as l_shipmode_ from lineitem) group by 1")
 def m34(spark, d):
     g = read(spark, d, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("cls")).agg(F.count("*").alias("n"))
-    return g.withColumn("share", F.col("n") / F.sum("n").over(M.ALL))
+    return g.withColumn("share", F.col("n") / F.sum("n").over(M.everything()))
 
 
 @query("c1_cluster_weights", "with n as (select label, count(*) as c from embeddings group by 1), k as (select sum(case when label = 0 then c else 1 end) as K from n), w as (select label, c, case when label = 0 then 0.5 / K else 1 / (K * c) end as w from n, k) select label, round(w / (select sum(w * c) from w), 8) as weight from w")
@@ -236,8 +239,8 @@ _MEM = "mem as (select truth, fold, avg(p0) as p0, avg(p1) as p1, avg(p2) as p2
 @query("c8_bald", f"with {POSTERIORS}, {_MEM}, h as (select truth, avg(p0) as a, avg(p1) as b, avg(p2) as c, avg(-(p0 * ln(p0) + p1 * ln(p1) + p2 * ln(p2))) as mh from mem group by 1) select truth, round(greatest(0, least(1, (-(a * ln(a) + b * ln(b) + c * ln(c)) - mh) / ln(3))), 6) as bald from h")
 def c8(spark, d):
     mem = posteriors(spark, d).groupBy("truth", "fold").agg(*[F.avg(p).alias(p) for p in ("p0", "p1", "p2")])
-    h = mem.groupBy("truth").agg(*[F.avg(p).alias(p) for p in ("p0", "p1", "p2")], F.avg(S.entropy(P)).alias("mh"))
-    return h.select("truth", F.greatest(F.lit(0.0), F.least(F.lit(1.0), S.entropy(P) - F.col("mh"))).alias("bald"))
+    h = mem.groupBy("truth").agg(*[F.avg(p).alias(p) for p in ("p0", "p1", "p2")], F.avg(S.entropy(P())).alias("mh"))
+    return h.select("truth", F.greatest(F.lit(0.0), F.least(F.lit(1.0), S.entropy(P()) - F.col("mh"))).alias("bald"))
 
 
 _LAC = "round(1 - case truth when 0 then p0 when 1 then p1 else p2 end, 6)"
@@ -245,13 +248,13 @@ _LAC = "round(1 - case truth when 0 then p0 when 1 then p1 else p2 end, 6)"
 
 @query("c14_split_quantile", f"with {POSTERIORS}, r as (select {_LAC} as s, row_number() over (order by {_LAC}) as rn, count(*) over () as n from post) select max(n) as n, max(case when rn = ceil(round((n + 1) * 0.9, 9)) then s end) as q from r")
 def c14(spark, d):
-    t = posteriors(spark, d).select(F.round(1 - F.get(P, F.col("truth")), 6).alias("s"))
+    t = posteriors(spark, d).select(F.round(1 - F.get(P(), F.col("truth")), 6).alias("s"))
     return M.split_quantile(t, "s", 0.1)
 
 
 @query("c11_class_quantiles", f"with {POSTERIORS}, r as (select truth, {_LAC} as s, row_number() over (partition by truth order by {_LAC}) as rn, count(*) over (partition by truth) as n from post) select truth, max(n) as n, max(case when rn = ceil(round((n + 1) * 0.9, 9)) then s end) as q from r group by 1")
 def c11(spark, d):
-    t = posteriors(spark, d).select("truth", F.round(1 - F.get(P, F.col("truth")), 6).alias("s"))
+    t = posteriors(spark, d).select("truth", F.round(1 - F.get(P(), F.col("truth")), 6).alias("s"))
     return M.split_quantile(t, "s", 0.1, ["truth"])
 
 
@@ -266,7 +269,7 @@ _NEST = f"cal as (select f.k as fold, {_LAC} as s from post, (select unnest(rang
 
 def nested_sets(spark, d):
     t = posteriors(spark, d)
-    own = F.round(1 - F.get(P, F.col("truth")), 6)
+    own = F.round(1 - F.get(P(), F.col("truth")), 6)
     cal = t.select("fold", own.alias("s")).groupBy("fold", "s").agg(F.count("*").alias("n"))
     cal = cal.select(F.explode(F.array(*[F.lit(i) for i in range(5)])).alias("k"), "fold", "s", "n").filter("k <> fold")
     rows = cal.select(F.col("k").alias("fold"), "s", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i"))
@@ -303,8 +306,8 @@ def c23(spark, d):
 @query("c31_class_weights", "with n as (select l_returnflag as cls, count(*) as n from lineitem group by 1), w as (select cls, n, (1 - 0.999) / (1 - power(0.999, n)) as e from n) select cls, round(sum(n) over () / (3.0 * n), 6) as inverse, round(e / avg(e) over (), 6) as effective from w")
 def c31(spark, d):
     n = read(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("cls")).agg(F.count("*").alias("n")).withColumn("e", (1 - 0.999) / (1 - F.pow(F.lit(0.999), F.col("n"))))
-    k = F.count("*").over(M.ALL)
-    return n.select("cls", (F.sum("n").over(M.ALL) / (k * F.col("n"))).alias("inverse"), (F.col("e") / F.avg("e").over(M.ALL)).alias("effective"))
+    k = F.count("*").over(M.everything())
+    return n.select("cls", (F.sum("n").over(M.everything()) / (k * F.col("n"))).alias("inverse"), (F.col("e") / F.avg("e").over(M.everything())).alias("effective"))
 
 
 @query("c32_row_weights", "with w as (select o_custkey, 1.0 / count(*) over (partition by o_custkey) as w from orders) select o_custkey, round(avg(w) / (select avg(w) from w), 6) as weight from w group by 1")

@@ -196,18 +196,21 @@ def p31(spark, d):
 
 
 _ENT = "(-(case when p0 > 0 then p0 * ln(p0) else 0 end + case when p1 > 0 then p1 * ln(p1) else 0 end + case when p2 > 0 then p2 * ln(p2) else 0 end) / ln(3))"
-P = F.array("p0", "p1", "p2")
+
+
+def P():
+    return F.array("p0", "p1", "p2")
 
 
 @query("p32_posterior_scores", f"with {POSTERIORS} select truth, round(avg({_ENT}), 6) as entropy, round(avg(1 - greatest(p0, p1, p2)), 6) as least_confidence, round(avg(greatest(p0, p1, p2) - (p0 + p1 + p2 - greatest(p0, p1, p2) - least(p0, p1, p2))), 6) as margin from post group by 1")
 def p32(spark, d):
-    return posteriors(spark, d).groupBy("truth").agg(F.avg(S.entropy(P)).alias("entropy"), F.avg(S.least_confidence(P)).alias("least_confidence"), F.avg(S.margin(P)).alias("margin"))
+    return posteriors(spark, d).groupBy("truth").agg(F.avg(S.entropy(P())).alias("entropy"), F.avg(S.least_confidence(P())).alias("least_confidence"), F.avg(S.margin(P())).alias("margin"))
 
 
 @query("p33_set_size", f"with {POSTERIORS} select (p0 >= 0.5)::int + (p1 >= 0.6)::int + (p2 >= 0.7)::int as size, count(*) as n, sum((p0 >= 0.5)::int)::bigint as with0 from post group by 1")
 def p33(spark, d):
     q = F.array(F.lit(0.5), F.lit(0.4), F.lit(0.3))
-    return posteriors(spark, d).groupBy(S.set_size(P, q).alias("size")).agg(F.count("*").alias("n"), F.count_if(F.col("p0") >= 0.5).alias("with0"))
+    return posteriors(spark, d).groupBy(S.set_size(P(), q).alias("size")).agg(F.count("*").alias("n"), F.count_if(F.col("p0") >= 0.5).alias("with0"))
 
 
 @query("p34_deficit_yield", "with p as (select o_custkey % 100 as patch, count(*) filter (o_orderpriority = '1-URGENT') as a, count(*) filter (o_orderpriority = '2-HIGH') as b from orders group by 1) select patch, round(least(4, floor(a / 5)) * 0.9 * 3 / 5 + least(4, floor(b / 5)) * 0.5 * 2 / 5, 6) as y from p")
@@ -229,12 +232,12 @@ def p36(spark, d):
 
 @query("p37_gated_label", f"with {POSTERIORS} select truth, case when p1 + p2 >= 0.6 then case when p2 > p1 then 2 else 1 end else 0 end as label, count(*) as n from post group by 1, 2")
 def p37(spark, d):
-    return posteriors(spark, d).groupBy("truth", S.gated_label(P, [False, True, True], 0.6).alias("label")).agg(F.count("*").alias("n"))
+    return posteriors(spark, d).groupBy("truth", S.gated_label(P(), [False, True, True], 0.6).alias("label")).agg(F.count("*").alias("n"))
 
 
 @query("p38_cost_argmax", f"with {POSTERIORS} select case when p0 * 0.5 >= p1 * 1.0 and p0 * 0.5 >= p2 * 2.0 then 0 when p1 * 1.0 >= p2 * 2.0 then 1 else 2 end as label, count(*) as n from post group by 1")
 def p38(spark, d):
-    return posteriors(spark, d).groupBy(S.cost_argmax(P, [0.5, 1.0, 2.0]).alias("label")).agg(F.count("*").alias("n"))
+    return posteriors(spark, d).groupBy(S.cost_argmax(P(), [0.5, 1.0, 2.0]).alias("label")).agg(F.count("*").alias("n"))
 
 
 @query("p39_restricted_argmax", f"with {POSTERIORS} select case when p2 > p1 then 2 else 1 end as label, count(*) as n from post group by 1")
@@ -246,7 +249,7 @@ def p39(spark, d):
 def p40(spark, d):
     valid = F.col("truth") != 0
     code = F.when(~valid, 255).when(F.col("p1") > F.col("p2"), 1).otherwise(0)
-    bins = F.when(~valid, 255).otherwise(F.least(F.lit(4), F.floor(S.entropy(P) * 5)))
+    bins = F.when(~valid, 255).otherwise(F.least(F.lit(4), F.floor(S.entropy(P()) * 5)))
     return posteriors(spark, d).groupBy(code.alias("code"), bins.alias("bin")).agg(F.count("*").alias("n"))
 
 
@@ -276,7 +279,7 @@ def p44(spark, d):
     n = p.groupBy("before", "stratum").agg(F.count("*").alias("n"))
     nb = n.groupBy("before").agg(F.sum("n").alias("nb"))
     x = n.join(nb, "before").withColumn("w", 1 / F.sqrt("nb") * F.when(F.col("stratum").startswith("A"), 2.0).otherwise(1.0))
-    return x.select("before", "stratum", (F.col("w") / F.sum(F.col("n") * F.col("w")).over(D.ALL) * F.sum("n").over(D.ALL)).alias("weight"))
+    return x.select("before", "stratum", (F.col("w") / F.sum(F.col("n") * F.col("w")).over(D.everything()) * F.sum("n").over(D.everything())).alias("weight"))
 
 
 @query("p45_patch_pixels", f"with {_LL} select floor(floor(lon * 1000) / 500)::bigint as px, floor(floor(lat * 1000) / 500)::bigint as py, count(*) as n, min(floor(lon * 1000)::bigint % 500) as c0 from ll where lon >= 0 and lat >= 0 group by 1, 2")
