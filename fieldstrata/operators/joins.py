@@ -110,3 +110,36 @@ def paired_arms(df: DataFrame, arm: str, base: str, keys: list[str], metric: str
     b = df.filter(F.col(arm) == base).select(*keys, F.col(metric).alias("b_"))
     j = df.filter(F.col(arm) != base).join(b, keys).withColumn("d_", F.col(metric) - F.col("b_"))
     return j.groupBy(arm, *by).agg(F.avg("d_").alias("delta"), F.stddev_samp("d_").alias("sd"), (F.stddev_samp("d_") / F.sqrt(F.count("*"))).alias("se"), F.count_if(F.col("d_") > 0).alias("wins"), F.count("*").alias("n"))
+
+
+def neighbours(df: DataFrame, ident: str, vector: str, k: int, block: int = 4096) -> DataFrame:
+    """(ident, other, similarity): the k most similar other rows by cosine, ties to the smaller id.
+
+    Rows are dealt into blocks by id; each pair of blocks is one matrix product in one task, whose k best per row meet in
+    a top-k. The number of block pairs grows with the square of the rows: meant for labelled samples, not whole pools.
+    """
+    import numpy as np
+    from pyspark.sql import Window
+
+    n = max(1, -(-df.count() // block))
+    kind = dict(df.dtypes)[ident]
+    b = df.select(ident, vector, F.pmod(F.xxhash64(ident), F.lit(n)).cast("int").alias("block"))
+    left = b.select(ident, vector, "block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("with_"))
+    right = b.select(ident, vector, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), F.col("block").alias("with_"))
+
+    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({ident: [], "other": [], "similarity": []})
+        a, c = (np.array(t[vector].tolist(), np.float64) for t in (x, y))
+        a, c = (t / np.maximum(np.linalg.norm(t, axis=1, keepdims=True), 1e-12) for t in (a, c))
+        s = np.round(a @ c.T, 9)
+        ids, own = y[ident].to_numpy(), x[ident].to_numpy()
+        s[own[:, None] == ids[None, :]] = -2.0
+        order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
+        rows = np.repeat(np.arange(len(x)), order.shape[1])
+        out = pd.DataFrame({ident: own[rows], "other": ids[order.ravel()], "similarity": s[rows, order.ravel()]})
+        return out[out["similarity"] > -2]
+
+    part = left.groupBy("block", "with_").cogroup(right.groupBy("block", "with_")).applyInPandas(best, f"{ident} {kind}, other {kind}, similarity double")
+    w = Window.partitionBy(ident).orderBy(F.desc("similarity"), "other")
+    return part.withColumn("rn_", F.row_number().over(w)).filter(F.col("rn_") <= k).drop("rn_")

@@ -1,4 +1,4 @@
 """Queries: operators applied to the given tables, with their SQL."""
 
-from . import design, labels, metrics, rasters, sampling, scalars, streams  # noqa: F401
+from . import design, labels, metrics, more, rasters, sampling, scalars, streams  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
