@@ -74,7 +74,7 @@ def p10(spark, d):
     return read(spark, d, "nation").select("n_name", S.abbreviation(F.col("n_name")).alias("abbr"))
 
 
-@query("p11_normalised_candidates", "select count(*) as n, round(sum(lon), 6) as lon, round(sum(lat), 6) as lat from (select c_acctbal as lon, c_custkey % 90 as lat from customer) where lon is not null and lat is not null")
+@query("p11_normalised_candidates", "select count(*) as n, round(sum(lon), 6) as lon, round(sum(lat::double), 6) as lat from (select c_acctbal as lon, c_custkey % 90 as lat from customer) where lon is not null and lat is not null")
 def p11(spark, d):
     c = read(spark, d, "customer").select(F.col("c_acctbal").cast("string").alias("x"), (F.col("c_custkey") % 90).cast("string").alias("y"))
     c = c.withColumnsRenamed({"x": "lon", "y": "lat"}).select(F.expr("try_cast(lon as double)").alias("lon"), F.expr("try_cast(lat as double)").alias("lat")).dropna()
