@@ -5,7 +5,9 @@
    spaces), sorted. A band's value is made of the four hashes that follow one of eight fixed points on the circle of hashes,
    which are the four smallest under a rotation of the hash order: two lines agree on it with probability J^4.
 3. Lines that share a band's value are candidates: in a bucket of few lines every pair, in a larger one each line with
-   a random centre; lines that stay apart from their centre get further centres in later rounds.
+   a centre: at first a random one, in later rounds the one with most links. These rounds only save work: lines of
+   larger buckets that are still in different groups then meet in an equi-join on their rarest shingles (prefix
+   filter), which leaves out no pair at or above the threshold.
 4. Candidates are verified by the exact Jaccard similarity of all their 5-character shingles.
 5. Distributed union-find (``components``) groups verified lines; the first line of each group by (doc_id, line number) stays.
 
@@ -102,6 +104,45 @@ def _centred(rows: DataFrame) -> DataFrame:
     return rows.join(centre, "band").select("band", "node", "n", "center")
 
 
+def _unsettled(crowd: DataFrame, named: DataFrame) -> DataFrame:
+    """Rows (band, node, ...) of the buckets whose members are not all in one group, with each member's group."""
+    of = crowd.drop("component").join(named.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = of.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band")
+    return of.join(mixed, "band")
+
+
+def _hubs(crowd: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (band, node, tried, component) with the bucket's next centre: of members not tried yet the one with most links."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    rank = F.struct(F.coalesce("degree", F.lit(0)), F.xxhash64("band", "node"))
+    centre = crowd.filter("not tried").join(degree, "node", "left").groupBy("band").agg(F.max_by(F.struct("node", "component"), rank).alias("center"))
+    return crowd.join(centre, "band").select("band", "node", "tried", "component", F.col("center.node").alias("center"), F.col("center.component").alias("of_center"))
+
+
+def _rarest(lines: DataFrame, crowd: DataFrame, threshold: float) -> DataFrame:
+    """(token, node, component, size): of each node the rarest shingles, as many as it takes for any two lines of at
+    least that similarity to have one in common. Shingles of only one node are counted but lead nowhere."""
+    sets = staged(crowd.select("node", "component").distinct().join(lines, "node").select("node", "component", shingles("line").alias("s")), "sets")
+    tokens = sets.select("node", F.explode("s").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count("*").alias("times")).filter("times > 1")
+    ranked = tokens.join(shared, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("t"))
+    sized = ranked.join(sets.select("node", "component", F.size("s").alias("size")), "node")
+    prefix = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1 - (F.col("size") - F.size("t"))
+    return sized.select("node", "component", "size", F.explode(F.slice("t", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int"))).alias("x")).select("x.token", "node", "component", "size")
+
+
+def _across(rarest: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): every pair of nodes of different groups that share a rare shingle and whose sizes allow the threshold.
+
+    Of a shingle's nodes, those outside its largest group meet all others: no pair within that group is listed.
+    """
+    groups = rarest.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.count("*").alias("groups"), F.max_by("component", F.struct("n", "component")).alias("largest")).filter("groups > 1")
+    split = rarest.join(groups.select("token", "largest"), "token")
+    minor = split.filter("component <> largest").select("token", F.col("node").alias("a"), F.col("component").alias("of_a"), F.col("size").alias("size_a"))
+    both = minor.join(split, "token").filter((F.col("component") != F.col("of_a")) & (F.least("size", "size_a") >= F.greatest("size", "size_a") * threshold - 1e-9))
+    return both.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+
+
 def candidate_lines(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(node, line) of every node in a pair, from its first place."""
     doc, no = unpacked("first")
@@ -136,18 +177,22 @@ def line_classes(docs: DataFrame, threshold: float = 0.8, least: int = 9, few: i
     lines = staged(candidate_lines(docs, nodes, pairs), "lines")  # later rounds only pair the same lines anew
     links = staged(verified(lines, pairs, threshold), "links")
     named = components(links)
+    crowd = buckets.filter(F.col("n") > few).select("band", "node", (F.col("node") == F.col("center")).alias("tried"))
     for _ in range(rounds - 1):  # members of larger buckets that are apart from their centre's group get another centre
-        of = named.select("node", "component")
-        crowded = buckets.filter(F.col("n") > few)
-        apart = crowded.join(of, "node", "left").join(of.select(F.col("node").alias("center"), F.col("component").alias("of_center")), "center", "left")
-        apart = apart.filter("coalesce(component, node) <> coalesce(of_center, center)").select("band", "node")
-        buckets = staged(_centred(apart), "buckets")
-        if buckets.isEmpty():
+        stars = staged(_hubs(_unsettled(crowd, named), links), "stars")
+        if stars.isEmpty():
             break
-        more = staged(verified(lines, _candidates(buckets, few), threshold), "links")
+        crowd = stars.select("band", "node", (F.col("tried") | (F.col("node") == F.col("center"))).alias("tried"))
+        pairs = stars.filter("component <> of_center").select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
+        more = staged(verified(lines, pairs, threshold), "links")
         if not more.isEmpty():
             links = links.union(more)
             named = components(links)
+    crowd = staged(_unsettled(crowd, named), "crowd")
+    if not crowd.isEmpty():  # what is still apart is decided exactly
+        more = staged(verified(lines, _across(staged(_rarest(lines, crowd, threshold), "rarest"), threshold), threshold), "links")
+        if not more.isEmpty():
+            named = components(links.union(more))
     firsts = named.join(nodes.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("class_first"))
     merged = named.join(firsts, "component").select("node", "class_first")
     firsts = nodes.select("node", "h", "g", "first").join(merged, "node", "left").select("h", "g", F.coalesce("class_first", "first").alias("first"))

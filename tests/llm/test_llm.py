@@ -179,6 +179,38 @@ def test_line_dedup_against_brute_force(docs, corpus):
     assert sum(got[first[a]]["class_doc_id"] == got[first[b]]["class_doc_id"] and got[first[a]]["class_line_no"] == got[first[b]]["class_line_no"] for a, b in apart) <= len(apart) * 0.01
 
 
+def test_line_dedup_links_crowded_groups(spark):
+    """Two originals with hundreds of small edits each: many variants resemble their original only."""
+    rng = random.Random(21)
+    rows = []
+    for _ in range(2):
+        hub = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(24))
+        rows.append(hub)
+        for _ in range(300):
+            x = list(hub)
+            for _ in range(rng.randint(1, 3)):
+                x[rng.randrange(len(x))] = rng.choice("qrstuvwxyz")
+            rows.append("".join(x))
+    rng.shuffle(rows)
+    got = linededup.line_classes(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    sets = [{x[i : i + 5] for i in range(len(x) - 4)} for x in rows]
+    comp = list(range(len(rows)))
+
+    def find(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b):
+                r, s = find(i), find(j)
+                comp[max(r, s)] = min(r, s)
+    want = {i: find(i) for i in range(len(rows))}
+    right = sum(want[r["doc_id"]] == r["class_doc_id"] for r in got)
+    assert len(got) == len(rows) and right >= 0.98 * len(rows), right
+
+
 def test_line_dedup_is_native(docs):
     plan = linededup.line_classes(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
