@@ -1,9 +1,9 @@
 """Fuzzy line deduplication by MinHash, with DataFrame functions only.
 
 1. Every line of every document is lower-cased and trimmed; equal lines are one node, told apart by 96 bits of hash.
-2. Signature: hashes of the 9-character shingles at the word starts (and at each character of scripts without word
-   spaces), sorted. A band's value is made of the four hashes that follow one of eight fixed points on the circle of hashes,
-   which are the four smallest under a rotation of the hash order: two lines agree on it with probability J^4.
+2. Signature: hashes of all 5-character shingles (the set that is verified), sorted. A band's value is made of the four
+   hashes that follow one of eight fixed points on the circle of hashes, which are the four smallest under a rotation of
+   the hash order: two lines agree on it with probability J^4.
 3. Lines that share a band's value are candidates: in a bucket of few lines every pair, in a larger one each line with
    a centre: at first a random one, in later rounds the one with most links. These rounds only save work: lines of
    larger buckets that are still in different groups then meet in an equi-join on their rarest shingles (prefix
@@ -22,11 +22,7 @@ from pyspark.sql import functions as F
 from .common import doc_columns, staged
 from .components import components
 
-SHINGLE, BAND_ROWS, BANDS, VERIFY = 9, 4, 8, 5
-#: Each match steps over a word (16 characters of a long one, or one character of a script that is written without
-#: spaces) and captures the shingle that starts there.
-_ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\uffff"
-ANCHOR = rf"(?=(.{{1,%d}}))(?:[{_ALONE}]|[^ {_ALONE}]{{1,16}}) *"
+BAND_ROWS, BANDS, VERIFY = 4, 8, 5
 
 
 def lines_of(docs: DataFrame, least: int) -> DataFrame:
@@ -67,9 +63,8 @@ def _bands() -> list[F.Column]:
 
 def signed(lines: DataFrame) -> DataFrame:
     """lines with their band values b0, b1, ..."""
-    hashed = F.sort_array(F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(ANCHOR % SHINGLE), F.lit(1)), lambda x: F.xxhash64(x))))
-    at = lambda t: F.transform(F.array(*[F.lit(i - BANDS // 2).cast("long") for i in range(BANDS)]), lambda i: F.array_position(t, i))
-    rows = lines.select("h", "g", packed("doc_id", "line_no").alias("first"), hashed.alias("s"))
+    at = lambda t: F.get(F.transform(F.array(t), lambda t: F.transform(F.array(*[F.lit(i - BANDS // 2).cast("long") for i in range(BANDS)]), lambda i: F.array_position(t, i))), F.lit(0))
+    rows = lines.select("h", "g", packed("doc_id", "line_no").alias("first"), F.sort_array(shingles("line")).alias("s"))
     rows = rows.withColumn("at", at(F.transform("s", lambda x: F.shiftright(x, 61)))).withColumn("at", F.concat("at", "at"))
     return rows.select("h", "g", "first", *[b.alias(f"b{i}") for i, b in enumerate(_bands())])
 

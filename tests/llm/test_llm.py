@@ -211,6 +211,24 @@ def test_line_dedup_links_crowded_groups(spark):
     assert len(got) == len(rows) and right >= 0.98 * len(rows), right
 
 
+def test_line_dedup_bands_meet(spark):
+    """Share of pairs at a verified similarity of 0.8 to 0.9 that have a band in common, for short and longer lines."""
+    rng = random.Random(22)
+    pairs = []
+    while len(pairs) < 600:
+        a = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range((8, 10, 15, 20)[len(pairs) % 4]))
+        b = list(a)
+        for _ in range(rng.randint(1, 3)):
+            b[rng.randrange(len(b))] = rng.choice("qrstuvwxyz")
+        b = "".join(b)
+        x, y = ({t[i : i + 5] for i in range(len(t) - 4)} for t in (a, b))
+        if 0.8 <= len(x & y) / len(x | y) < 0.9:
+            pairs.append((a, b))
+    rows = spark.createDataFrame([(2 * i + k, x) for i, p in enumerate(pairs) for k, x in enumerate(p)], "doc_id long, text string")
+    bands = {r["first"] >> 32: {(i, r[f"b{i}"]) for i in range(linededup.BANDS)} for r in ((lambda d: {**d, "first": int(d["first"])})(r.asDict()) for r in linededup.signed(linededup.lines_of(rows, 1)).collect())}
+    assert sum(bool(bands[2 * i] & bands[2 * i + 1]) for i in range(len(pairs))) >= 0.98 * len(pairs)
+
+
 def test_line_dedup_is_native(docs):
     plan = linededup.line_classes(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
