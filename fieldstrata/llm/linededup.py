@@ -26,10 +26,10 @@ BAND_ROWS, BANDS, VERIFY = 4, 8, 5
 
 
 def lines_of(docs: DataFrame, least: int) -> DataFrame:
-    """(doc_id, line_no, line, h, g): the hashes are null for lines of under ``least`` characters."""
+    """(doc_id, line_no, line, h, g): the hashes are null for blank lines and those of under ``least`` characters."""
     cut = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
     line = cut.select("doc_id", "line_no", F.lower(F.trim("raw")).alias("line"))
-    long = F.char_length("line") >= least
+    long = (F.char_length("line") >= least) & F.col("line").rlike(r"(?U)\S")
     return line.select("doc_id", "line_no", "line", F.when(long, F.xxhash64("line")).alias("h"), F.when(long, F.hash("line")).alias("g"))
 
 
@@ -155,10 +155,10 @@ def verified(lines: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     return sets.filter(jaccard("x", "y") >= threshold).select("a", "b")
 
 
-def line_classes(docs: DataFrame, threshold: float = 0.8, least: int = 9, few: int = 16, rounds: int = 3) -> DataFrame:
+def line_classes(docs: DataFrame, threshold: float = 0.8, least: int = 1, few: int = 16, rounds: int = 3) -> DataFrame:
     """One row per line: doc_id, line_no, class_doc_id, class_line_no (the class's first line), kept.
 
-    Lines of under ``least`` characters (blank ones too) are too short to judge and are kept, in a class of their own.
+    Blank lines (and those of under ``least`` characters) are kept, each in a class of its own.
     Null text has no lines; an empty text has one blank line. A doc_id names one document: rows that repeat it take
     part with all their lines, and equal lines at the same place of such rows are decided alike; null is a doc_id like
     any other and comes first. Columns other than doc_id and text are ignored. An empty table gives no rows.

@@ -229,6 +229,14 @@ def test_line_dedup_bands_meet(spark):
     assert sum(bool(bands[2 * i] & bands[2 * i + 1]) for i in range(len(pairs))) >= 0.98 * len(pairs)
 
 
+def test_line_dedup_short_lines(spark):
+    """Exact copies of short lines go, whatever their script; blank lines stay."""
+    rows = [(1, "Home\n\nles.\n \t"), (2, "home\n\nles.\n首页"), (3, "首页\nx\n \t"), (None, "x")]
+    got = {(r["doc_id"], r["line_no"]): (r["class_doc_id"], r["class_line_no"], r["kept"]) for r in linededup.line_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    again = {(2, 0): (1, 0, False), (2, 2): (1, 2, False), (3, 0): (2, 3, False), (3, 1): (None, 0, False)}
+    assert got == {(d, i): again.get((d, i), (d, i, True)) for d, t in rows for i in range(len(t.split("\n")))}
+
+
 def test_line_dedup_is_native(docs):
     plan = linededup.line_classes(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
