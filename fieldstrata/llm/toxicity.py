@@ -32,8 +32,10 @@ LOOKS_LIKE = {
 EDGE = "\x02"
 #: Tokens that may be disguised: a look-alike beside letters, a run of three, letters set apart by punctuation.
 _ODD = re.compile(rf"[{re.escape(''.join(LOOKS_LIKE))}]|(\w)\1\1|\w[.\-_]\w[.\-_]\w")
-#: Four or more single characters set apart by spaces.
-_APART = re.compile(r"(?<!\S)[^\W\d_](?: [\w@$!]){3,24}(?!\S)")
+#: Three or more single characters (a letter among them) set apart by spaces.
+_ONE = rf"(?:[^\W_]|[{re.escape(''.join(LOOKS_LIKE))}])"
+_APART = re.compile(rf"(?<!\S){_ONE}(?: {_ONE}){{2,}}(?!\S)")
+_LONG = re.compile(r"(\w|[^\w\s])\1{3,}")
 _OUTER = ".,;:?\"'()[]{}…-_"
 _TAIL = re.compile(r"(?:!+|\*{3,}|\${3,}|#{3,})$")
 
@@ -74,8 +76,9 @@ class CharModel:
 
 
 def restore(written: str, model: CharModel, change: float = 1.0, shorten: float = 0.3, skip: float = 0.7) -> str:
-    """The likeliest word behind a written one: Viterbi over states of the last two characters."""
-    best: dict[str, tuple[float, str]] = {EDGE + EDGE: (0.0, "")}
+    """The likeliest word behind a written one (words, where a space inside is kept as their border): Viterbi over states
+    of the last two characters. A word of one letter beside a border costs extra: spaced words consist of such."""
+    best: dict[str, tuple[float, tuple | None]] = {EDGE + EDGE: (0.0, None)}  # score, (what came before, last letters)
     i, n = 0, len(written)
     while i < n:
         ch, run = written[i], 1
@@ -84,6 +87,8 @@ def restore(written: str, model: CharModel, change: float = 1.0, shorten: float
         options: list[tuple[str, float]] = []
         if ch in " .-_" and 0 < i and i + run < n:
             options.append(("", skip))
+            if ch == " ":
+                options.append((" ", 0.0))
         else:
             for letter in ([ch] if ch.isalpha() else []) + list(LOOKS_LIKE.get(ch, "")):
                 cost = 0.0 if letter == ch else change
@@ -94,10 +99,12 @@ def restore(written: str, model: CharModel, change: float = 1.0, shorten: float
                 options.append((ch * run, 4.0 * change))
                 if ch in "*!+(#-_":
                     options.append(("", 2 * change))
-        new: dict[str, tuple[float, str]] = {}
+        new: dict[str, tuple[float, tuple | None]] = {}
         for state, (score, out) in best.items():
             for add, cost in options:
-                s, p, x = score - cost, state, out + add
+                s, p, x = score - cost, state, (out, add) if add else out
+                if add == " ":
+                    s, p, add = s + model.log(p[0], p[1], EDGE) - 3.0 * change * (p[0] == EDGE), EDGE + EDGE, ""
                 for c in add:
                     s += model.log(p[0], p[1], c)
                     p = p[1] + c
@@ -105,7 +112,17 @@ def restore(written: str, model: CharModel, change: float = 1.0, shorten: float
                     new[p] = (s, x)
         best = new
         i += run
-    return max(((s + model.log(p[0], p[1], EDGE), x) for p, (s, x) in best.items()), key=lambda y: y)[1]
+    ends = [(s + model.log(p[0], p[1], EDGE) - 3.0 * change * (p[0] == EDGE and " " in written), x) for p, (s, x) in best.items()]
+    top = max(s for s, _ in ends)
+    return max(_spelled(x) for s, x in ends if s == top)
+
+
+def _spelled(x: tuple | None) -> str:
+    parts = []
+    while x is not None:
+        x, add = x
+        parts.append(add)
+    return "".join(reversed(parts))
 
 
 def restored_token(token: str, model: CharModel) -> str:
@@ -113,6 +130,8 @@ def restored_token(token: str, model: CharModel) -> str:
     core = token.strip(_OUTER)
     if core and not core[-1].isalnum():
         core = _TAIL.sub("", core)
+    if len(core) > 60:
+        core = _LONG.sub(r"\1\1\1", core)  # longer runs stand for no more than a run of three
     if not 3 <= len(core) <= 60 or not _ODD.search(core) or not any(c.isalpha() for c in core):
         return core
     return restore(core, model)
@@ -137,7 +156,9 @@ class Scorer:
         """Hashed words and word beginnings of the restored text, each once."""
         text = text.lower()
         tokens = set(text.split())
-        tokens.update(restore(m.group(), self.model) for m in _APART.finditer(text))
+        for m in _APART.finditer(text):
+            if any(c.isalpha() for c in m.group()):
+                tokens.update(restore(m.group(), self.model).split())
         ids: set[int] = set()
         kept = self.kept
         for t in tokens:
@@ -209,9 +230,9 @@ def fit(rows: list[tuple[np.ndarray, int]], bits: int, steps: int = 300) -> tupl
     return w, b
 
 
-def language_model(docs: DataFrame, most_grams: int = 200_000) -> CharModel:
-    """Counted over all documents. The alphabet bounds the number of trigrams; of more, the commonest are used."""
-    grams = char_counts(word_counts(docs)).orderBy(F.desc("n"), "gram").limit(most_grams)
+def language_model(docs: DataFrame) -> CharModel:
+    """Counted over all documents. The alphabet bounds the number of trigrams; all of them are used."""
+    grams = char_counts(word_counts(docs)).orderBy(F.desc("n"), "gram")
     return CharModel({r["gram"]: r["n"] for r in grams.collect()})
 
 

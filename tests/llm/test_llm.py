@@ -431,6 +431,17 @@ def test_restores_disguised_words():
     assert [toxicity.restore(x.group(), m) for x in toxicity._APART.finditer("an i d i o t here")] == ["idiot"]
 
 
+def test_restores_spaced_words_and_long_runs():
+    counts = Counter()
+    for w in ["idiot", "stupid", "shit", "ass", "you", "are", *WORDS, *"youstpid"]:
+        s = toxicity.EDGE * 2 + w + toxicity.EDGE
+        counts.update(s[i : i + 3] for i in range(len(s) - 2))
+    of = toxicity.Scorer(toxicity.CharModel(counts), 18)
+    for written, word in (("a s s", "ass"), ("$ h i t", "shit"), ("1 d i o t", "idiot"), ("s h | t", "shit"), ("y o u s t u p i d", "stupid"), ("y o u a r e s t u p i d " * 3, "stupid"), ("idi" + "o" * 80 + "t", "idiot")):
+        assert set(of.token(word)) <= set(of.features(f"the river {written.strip()} 12").tolist()), written
+    assert toxicity.restored_token("river", of.model) == "river"
+
+
 def test_quality_classifier_held_out(spark, empty):
     rng = random.Random(11)
     docs, labels, y = labelled(spark, rng, lambda r: " ".join(r.choice(WORDS).upper() + "!!" for _ in range(60)) if r.random() < 0.5 else (r.choice(WORDS) + " ") * 80, "quality")
