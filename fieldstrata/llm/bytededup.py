@@ -126,7 +126,7 @@ def _runs_of_true(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _places(docs: list, ties: list, starts: list, sizes: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ties, pa.int16()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32())], names=["doc", "tie", "a", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ties, pa.int64()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32())], names=["doc", "tie", "a", "n"])
 
 
 def repeated_places(docs: DataFrame, window: int = 200, k: int = 64, most: int = 2000, bucket_bytes: int = 500_000) -> DataFrame:
@@ -138,9 +138,9 @@ def repeated_places(docs: DataFrame, window: int = 200, k: int = 64, most: int =
         for batch in batches:
             for r in batch.to_pylist():
                 raw, at = d.decompress(r["z"]), r["at"]
-                yield pa.RecordBatch.from_arrays([pa.array([x["m"] for x in at], pa.int64()), pa.array([x["others"] for x in at], pa.int64()), pa.array([r["doc"]] * len(at), pa.int64()), pa.array([r["tie"]] * len(at), pa.int16()), pa.array([x["a"] for x in at], pa.int32()), pa.array([raw[x["a"] : x["a"] + x["n"] - 1 + window] for x in at], pa.binary())], names=["m", "others", "doc", "tie", "a", "raw"])
+                yield pa.RecordBatch.from_arrays([pa.array([x["m"] for x in at], pa.int64()), pa.array([x["others"] for x in at], pa.int64()), pa.array([r["doc"]] * len(at), pa.int64()), pa.array([r["tie"]] * len(at), pa.int64()), pa.array([x["a"] for x in at], pa.int32()), pa.array([raw[x["a"] : x["a"] + x["n"] - 1 + window] for x in at], pa.binary())], names=["m", "others", "doc", "tie", "a", "raw"])
 
-    cut = staged(with_texts(docs, single, ["m", "others", "a", "n"], "inner").select("doc", "tie", "z", "at").mapInArrow(regions, "m bigint, others bigint, doc bigint, tie smallint, a int, raw binary"), "regions")
+    cut = staged(with_texts(docs, single, ["m", "others", "a", "n"], "inner").select("doc", "tie", "z", "at").mapInArrow(regions, "m bigint, others bigint, doc bigint, tie bigint, a int, raw binary"), "regions")
     total, largest = cut.agg(F.sum(F.length("raw")), F.max("others")).first()
     buckets = 1 + (total or 0) // bucket_bytes
 
@@ -180,9 +180,9 @@ def repeated_places(docs: DataFrame, window: int = 200, k: int = 64, most: int =
                 for m, d, tie, a, raw in zip(*(column(batch, c).to_pylist() for c in ("m", "doc", "tie", "a", "raw")), strict=True):
                     n = len(raw) - window + 1
                     h = [xxhash.xxh64_intdigest(raw[i : i + window], 9) - (1 << 63) for i in range(n)]
-                    yield pa.RecordBatch.from_arrays([pa.array([m] * n, pa.int64()), pa.array(h, pa.int64()), pa.array([d] * n, pa.int64()), pa.array([tie] * n, pa.int16()), pa.array(range(a, a + n), pa.int32())], names=["m", "h", "doc", "tie", "a"])
+                    yield pa.RecordBatch.from_arrays([pa.array([m] * n, pa.int64()), pa.array(h, pa.int64()), pa.array([d] * n, pa.int64()), pa.array([tie] * n, pa.int64()), pa.array(range(a, a + n), pa.int32())], names=["m", "h", "doc", "tie", "a"])
 
-        single_windows = staged(cut.filter(F.col("others") > most).mapInArrow(each, "m bigint, h bigint, doc bigint, tie smallint, a int"), "windows")
+        single_windows = staged(cut.filter(F.col("others") > most).mapInArrow(each, "m bigint, h bigint, doc bigint, tie bigint, a int"), "windows")
         twice = single_windows.groupBy("m", "h").count().filter("count > 1")
         out = out.union(single_windows.join(twice, ["m", "h"]).select("doc", "tie", "a", F.lit(1).alias("n")))
     return out

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import column, doc_columns, rows_of, staged, texts
 
-RUNS = "m bigint, region bigint, doc bigint, tie smallint, a int, n int, times int, own boolean"
-PLACES = "doc bigint, tie smallint, a int, n int"
+RUNS = "m bigint, region bigint, doc bigint, tie bigint, a int, n int, times int, own boolean"
+PLACES = "doc bigint, tie bigint, a int, n int"
 NO_ID = -(1 << 63)
 
 
@@ -92,7 +92,7 @@ def runs_of(symbols: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.nd
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc, tie, text): doc stands for null ids too; rows that repeat a doc_id with another text differ in tie."""
     docs = doc_columns(docs, "doc_id", "text")
-    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(32768)).cast("smallint").alias("tie"), "text")
+    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), "text")
 
 
 def runs(docs: DataFrame, split: Callable[[str], tuple[np.ndarray, Callable[[int, int], bytes]]], window: int, k: int) -> DataFrame:
@@ -114,7 +114,7 @@ def runs(docs: DataFrame, split: Callable[[str], tuple[np.ndarray, Callable[[int
                     owns.append(own)
                     regions.append(np.array([xxhash.xxh64_intdigest(part(i, j)) for i, j in zip(a.tolist(), (a + n + (window - 1)).tolist(), strict=True)], np.uint64))
                     ds.append(np.full(len(m), d, np.int64))
-                    ties.append(np.full(len(m), tie, np.int16))
+                    ties.append(np.full(len(m), tie, np.int64))
             if not ms:
                 continue
             m, region, d, tie, a, n, own = (np.concatenate(x) for x in (ms, regions, ds, ties, starts, sizes, owns))
@@ -160,7 +160,7 @@ def squeezed(docs: DataFrame) -> DataFrame:
         for batch in rows_of(batches):
             yield pa.RecordBatch.from_arrays([column(batch, "doc"), column(batch, "tie"), pa.array([c.compress(t.encode("utf-8", "surrogatepass")) for t in texts(batch)], pa.binary())], names=["doc", "tie", "z"])
 
-    return docs.mapInArrow(run, "doc bigint, tie smallint, z binary")
+    return docs.mapInArrow(run, "doc bigint, tie bigint, z binary")
 
 
 def with_texts(docs: DataFrame, places: DataFrame, fields: list[str], how: str) -> DataFrame:

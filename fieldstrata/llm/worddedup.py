@@ -65,9 +65,9 @@ def removed_windows(docs: DataFrame, window: int = 20) -> DataFrame:
                 _, part = split(d.decompress(r["z"]).decode("utf-8", "surrogatepass"))
                 rows = [(x["m"], xxhash.xxh64_intdigest(part(a, a + window), 9) - (1 << 63), a) for x in r["at"] for a in range(x["a"], x["a"] + x["n"])]
                 m, h, a = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(h, pa.int64()), pa.array([r["doc"]] * len(a), pa.int64()), pa.array([r["tie"]] * len(a), pa.int16()), pa.array(a, pa.int32())], names=["m", "h", "doc", "tie", "a"])
+                yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(h, pa.int64()), pa.array([r["doc"]] * len(a), pa.int64()), pa.array([r["tie"]] * len(a), pa.int64()), pa.array(a, pa.int32())], names=["m", "h", "doc", "tie", "a"])
 
-    wide = staged(with_texts(docs, single, ["m", "a", "n"], "inner").select("doc", "tie", "z", "at").mapInArrow(extend, "m bigint, h bigint, doc bigint, tie smallint, a int"), "windows")
+    wide = staged(with_texts(docs, single, ["m", "a", "n"], "inner").select("doc", "tie", "z", "at").mapInArrow(extend, "m bigint, h bigint, doc bigint, tie bigint, a int"), "windows")
     place = F.struct("doc", "tie", "a")
     first = wide.groupBy("m", "h").agg(F.min(place).alias("f"), F.count("*").alias("times")).filter("times > 1").drop("times")
     later = wide.join(first, ["m", "h"]).filter(place != F.col("f")).select("doc", "tie", "a", F.lit(1).alias("n"))

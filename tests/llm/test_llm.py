@@ -341,6 +341,15 @@ def test_dedup_odd(spark, empty):
     assert sum(r["n_removed"] > 0 for r in bytededup.dedup_bytes(odd(spark)).collect()) == 3
 
 
+def test_dedup_many_texts_of_one_id(spark):
+    """Texts of different lengths that share the null id are told apart."""
+    rng = random.Random(31)
+    shared = [prose(rng, 60) for _ in range(20)]
+    texts = [prose(rng, rng.randint(1, 30)) + " " + str(i) + " " + rng.choice(shared) + " " + prose(rng, rng.randint(0, 30)) for i in range(600)]
+    rows = bytededup.dedup_bytes(spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows) == sorted(brute_bytes([t.encode() for t in texts], 200))
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
 
