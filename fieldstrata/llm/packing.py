@@ -129,12 +129,28 @@ class Schedule:
             k += 1
 
 
-def encoded(docs: DataFrame, encoder: Callable = default_encoder, end_id: int = 1, queues: int = 4096) -> DataFrame:
+def with_queues(rows: DataFrame, weighted: list[str], queues: int = 4096) -> DataFrame:
+    """rows with their queue: "=" and the source, or beyond that many sources "#" and a bucket for the smaller ones.
+
+    Half of the queues are then buckets. Sources with a weight of their own and the largest by bytes of text keep
+    their queues: at most ``length`` sources can have a share worth a token a window.
+    """
+    own = F.concat(F.lit("="), "source")
+    if rows.select("source").distinct().limit(queues + 1).count() <= queues:
+        return rows.withColumn("queue", own)
+    sizes = rows.groupBy("source").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("size"))
+    named = sizes.orderBy(F.desc("size"), "source").limit(queues // 2).select("source")
+    if weighted:
+        named = named.union(rows.sparkSession.createDataFrame([(w,) for w in weighted], "source string"))
+    named = F.broadcast(named.distinct().withColumn("named", F.lit(True)))  # names only, half the queues and the given weights
+    bucket = F.format_string("#%05d", F.pmod(F.xxhash64("source"), F.lit(queues // 2)))
+    return rows.join(named, "source", "left").withColumn("queue", F.when(F.col("named"), own).otherwise(bucket)).drop("named")
+
+
+def encoded(docs: DataFrame, encoder: Callable = default_encoder, end_id: int = 1, weighted: list[str] | None = None, most: int = 2048) -> DataFrame:
     """(queue, doc_id, chunk, start, n, ids): ids of each text and end_id as little-endian uint16; start counts the
     tokens of the same queue that the same task has seen before, chunk is that task."""
     rows = doc_columns(docs, "doc_id", "text", "source").withColumn("source", F.coalesce("source", F.lit("")))
-    few = rows.select("source").distinct().limit(queues + 1).count() <= queues
-    queue = F.col("source") if few else F.format_string("bucket%05d", F.pmod(F.xxhash64("source"), F.lit(queues)))
 
     def encode(batches):
         enc, chunk, seen = encoder(), TaskContext.get().partitionId(), {}
@@ -149,7 +165,7 @@ def encoded(docs: DataFrame, encoder: Callable = default_encoder, end_id: int =
                 seen[q] = seen.get(q, 0) + len(x)
             yield pa.RecordBatch.from_arrays([column(batch, "queue"), column(batch, "source"), column(batch, "doc_id"), pa.array([chunk] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], names=["queue", "source", "doc_id", "chunk", "start", "n", "ids"])
 
-    return rows.withColumn("queue", queue).mapInArrow(encode, "queue string, source string, doc_id bigint, chunk int, start bigint, n bigint, ids binary")
+    return with_queues(rows, weighted or [], 2 * max(2048, most)).mapInArrow(encode, "queue string, source string, doc_id bigint, chunk int, start bigint, n bigint, ids binary")
 
 
 def pack(spark: SparkSession, docs: DataFrame, weights: dict[str, float] | None = None, length: int = 2048, block: int = 512, encoder: Callable = default_encoder, end_id: int = 1) -> DataFrame:
@@ -159,17 +175,18 @@ def pack(spark: SparkSession, docs: DataFrame, weights: dict[str, float] | None
     window but the last is full. A queue that ends early leaves its share to the others.
     Null text is empty (only the end id); a null source is ''; null and repeated doc_ids are kept as rows of their own;
     an empty table gives no rows; columns other than doc_id, text and source are ignored.
-    The mixture's components (sources) are bounded: beyond 4,096 sources they share that many queues by hash.
+    Beyond 4,096 sources (twice ``length``, if that is more) only the smaller ones without a weight share queues, by
+    hash; such a queue's weight is the sum of its members' (their token counts).
     """
-    tokens = staged(encoded(docs, encoder, end_id), "tokens")
+    tokens = staged(encoded(docs, encoder, end_id, list(weights or ()), length), "tokens")
     sums = tokens.groupBy("queue", "chunk").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("queue").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = staged(sums.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "offsets")
-    totals = {r["queue"]: r["n"] for r in offsets.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # at most 4,096 rows
+    totals = {r["queue"]: r["n"] for r in offsets.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # at most 4,096 rows and one for each weight
     names = sorted(totals)
     index = {q: i for i, q in enumerate(names)}
     sizes = [totals[q] for q in names]
-    shares = None if weights is None else [float(weights.get(q, totals[q])) for q in names]
+    shares = None if weights is None else [float(weights.get(q[1:], totals[q]) if q[0] == "=" else totals[q]) for q in names]
 
     def cut(batches):
         plan = Schedule(sizes, shares, length, block)

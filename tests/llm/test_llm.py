@@ -108,6 +108,24 @@ def test_packing_odd(spark, empty):
     assert packing.pack(spark, odd(spark)).count() >= 5
 
 
+def test_packing_keeps_shares_beyond_4096_sources(spark):
+    """Given weights and large sources hold in every window, whatever the number of small sources."""
+    rows = [(i, "x", f"tail{i}") for i in range(5000)] + [(10000 + i, "alpha beta gamma delta " * 20, s) for i in range(60) for s in ("big", "heavy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    pieces = packing.pack(spark, docs, {"big": 12_000.0, "tail7": 10.0}, 2048, 4).collect()
+    assert {r["doc_id"] for r in pieces} == {r[0] for r in rows}
+    total, first = Counter(), Counter()
+    for r in pieces:
+        total[r["source"]] += r["length"]
+        first[r["source"]] += r["length"] * (r["sequence_id"] == 0)
+    weights = {**total, "big": 12_000.0, "tail7": 10.0}
+    for s in ("big", "heavy"):
+        want = 2048 * weights[s] / sum(weights.values())
+        assert abs(first[s] - want) <= 0.1 * want, s
+    queues = {r["source"]: r["queue"] for r in packing.with_queues(docs, ["big", "tail7"]).select("source", "queue").distinct().collect()}
+    assert {queues[s] for s in ("big", "heavy", "tail7")} == {"=big", "=heavy", "=tail7"} and len(set(queues.values())) <= 4098
+
+
 def test_simhash_against_brute_force(docs, corpus):
     import xxhash
 
