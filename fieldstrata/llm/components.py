@@ -8,32 +8,30 @@ from pyspark.sql import functions as F
 from .common import staged, unstage
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (a, b): component is the smallest node reachable.
 
-    Each step only groups by node and joins the group's minimum back (an equi-join, so a hub's rows can be split
-    over tasks); nothing is gathered per component. Self edges only name a node. Nulls must not occur.
+    Each step groups by node, stages the groups' minima and joins them back (plain equi-joins, so a hub's rows can be
+    split over tasks); nothing is gathered per component. Steps repeat until the edges no longer change: all are stars
+    by then. Self edges only name a node. An empty table gives no rows. Nulls must not occur.
     """
     now = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    nodes = now.filter("a = b").select(F.col("a").alias("node"))
-    now, first = now.filter("a > b"), now
+    nodes, now = now.filter("a = b").select(F.col("a").alias("node")), now.filter("a > b")
     last = None
-    for _ in range(rounds):
+    while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        small_low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(small_low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a > b").distinct()
-        new = staged(small, "edges")
+        low = staged(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
+        large = staged(both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        small_low = staged(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "low")
+        # a node with one smaller neighbour keeps it; only the others' edges move
+        moved = large.join(small_low.filter("n > 1"), "a").filter("b > m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
+        new = staged(moved.union(small_low.select("a", F.col("m").alias("b"))).filter("a > b").distinct(), "edges")
         state = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if last is not None:
-            unstage(now)
+        unstage(now, low, large, small_low)
         now = new
         if state == last:
             break
         last = state
     named = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = now.select(F.col("b").alias("node")).union(nodes).distinct()
-    out = named.union(roots.join(named, "node", "left_anti").select("node", F.col("node").alias("component")))
-    out.roots_of = first
-    return out
+    return named.union(roots.join(named, "node", "left_anti").select("node", F.col("node").alias("component")))

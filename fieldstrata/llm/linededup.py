@@ -1,17 +1,18 @@
 """Fuzzy line deduplication by MinHash, with DataFrame functions only.
 
 1. Every line of every document is lower-cased and trimmed; equal lines are one node, told apart by 96 bits of hash.
-2. Signature: hashes of all 5-character shingles (the set that is verified), sorted. A band's value is made of the four
-   hashes that follow one of eight fixed points on the circle of hashes, which are the four smallest under a rotation of
-   the hash order: two lines agree on it with probability J^4.
-3. Lines that share a band's value are candidates: in a bucket of few lines every pair, in a larger one each line with
-   a centre: at first a random one, in later rounds the one with most links. These rounds only save work: lines of
-   larger buckets that are still in different groups then meet in an equi-join on their rarest shingles (prefix
-   filter), which leaves out no pair at or above the threshold.
+2. Signature: hashes of the line's 5-character shingles (of a long line, the characters that begin its words), sorted. A
+   band's value is made of the four hashes that follow one of eight (twelve) fixed points on the circle of hashes, which
+   are the four smallest under a rotation of the hash order: two lines agree on it with probability J^4.
+3. Lines that share a band's value are candidates. At first each meets its bucket's centre. Buckets whose members are
+   then still in different groups: where all but a few belong to the largest group, each of the few meets every member;
+   elsewhere two further centres, those with most links, are tried, and what is apart even then meets in an equi-join
+   on the lines' rarest shingles (prefix filter), which leaves out no pair at or above the threshold. So no pair of a
+   bucket is given up, and no bucket's pairs are all listed.
 4. Candidates are verified by the exact Jaccard similarity of all their 5-character shingles.
 5. Distributed union-find (``components``) groups verified lines; the first line of each group by (doc_id, line number) stays.
 
-The text itself crosses the network once, on its way to verification; all else moves hashes.
+The text of candidates crosses the network on its way to verification; all else moves hashes.
 """
 
 from __future__ import annotations
@@ -22,7 +23,15 @@ from pyspark.sql import functions as F
 from .common import doc_columns, staged
 from .components import components
 
-BAND_ROWS, BANDS, VERIFY = 4, 8, 5
+BAND_ROWS, PARTS, VERIFY, SHORT = 4, 12, 5, 200
+#: Kind 0 has parts -4 to 3, kind 1 parts -8 to 3.
+BAND_NAMES = [f"a{i}" for i in range(4, PARTS)] + [f"b{i}" for i in range(PARTS)]
+#: Each match steps over a word (16 characters of a long one, or one character of a script that is written without
+#: spaces) and captures the seven characters that start there.
+_ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\uffff"
+ANCHOR = rf"(?=(.{{1,7}}))(?:[{_ALONE}]|[^ {_ALONE}]{{1,16}}) *"
+#: Shingles that begin with a space, thus with a word.
+STARTS = rf"(?=( [^ ].{{{VERIFY - 2}}})) "
 
 
 def lines_of(docs: DataFrame, least: int) -> DataFrame:
@@ -47,26 +56,37 @@ def unpacked(first: str) -> tuple[F.Column, F.Column]:
     return F.when(doc != F.lit(NO_ID).cast("decimal(20,0)"), doc.cast("long")), no.cast("int")
 
 
-def _bands() -> list[F.Column]:
-    """Band values of a line's sorted shingle hashes (column s): the hashes from the first of each eighth of the circle on.
+def _ring(rows: DataFrame) -> DataFrame:
+    """rows (h, g, first, kind, s) with band values b0, b1, ... in place of the hashes s.
 
-    at: the place of the first hash of each eighth (0: none), twice over, so that an empty eighth takes the next one's.
+    Sorted, the hashes lie on a circle, cut into eight parts for kind 0 and sixteen for kind 1, of which twelve count. A
+    band is the first four hashes from a part's beginning on; an empty part gives none (it would repeat the next one's).
     """
-    around = F.concat("s", F.slice("s", 1, BAND_ROWS))
+    keys = ("h", "g", "first", "kind")
+    rows = rows.select(*keys, F.sort_array("s").alias("s"))
+    rows = rows.select(*keys, F.expr("transform(s, x -> shiftright(x, 61 - kind))").alias("part"), F.concat("s", F.slice("s", 1, BAND_ROWS)).alias("around"))
+    rows = rows.select(*keys, "around", *[F.array_position("part", F.lit(i - 8).cast("long")).cast("int").alias(f"at{i}") for i in range(PARTS)])
+    return rows.select(*keys, *[F.when(F.col(f"at{i}") > 0, F.xxhash64("kind", F.lit(i), F.slice("around", F.col(f"at{i}"), F.lit(BAND_ROWS)))).alias(f"b{i}") for i in range(PARTS)])
 
-    def from_eighth(i: int) -> F.Column:
-        first = F.get(F.filter(F.slice("at", i + 1, BANDS), lambda x: x > 0), F.lit(0))
-        return F.slice(around, first.cast("int"), F.least(F.lit(BAND_ROWS), F.size("s")))
 
-    return [F.xxhash64(F.lit(i), F.sort_array(from_eighth(i))) for i in range(BANDS)]
+def starts(line: str) -> F.Column:
+    """The shingles that begin with a space: about one in six, and the same ones in any line that has them."""
+    return F.array_distinct(F.regexp_extract_all(line, F.lit(STARTS), F.lit(1)))
 
 
 def signed(lines: DataFrame) -> DataFrame:
-    """lines with their band values b0, b1, ..."""
-    at = lambda t: F.get(F.transform(F.array(t), lambda t: F.transform(F.array(*[F.lit(i - BANDS // 2).cast("long") for i in range(BANDS)]), lambda i: F.array_position(t, i))), F.lit(0))
-    rows = lines.select("h", "g", packed("doc_id", "line_no").alias("first"), F.sort_array(shingles("line")).alias("s"))
-    rows = rows.withColumn("at", at(F.transform("s", lambda x: F.shiftright(x, 61)))).withColumn("at", F.concat("at", "at"))
-    return rows.select("h", "g", "first", *[b.alias(f"b{i}") for i, b in enumerate(_bands())])
+    """(h, g, first, kind, b0, b1, ...): band values of every line.
+
+    Lines of under ``SHORT`` characters draw them from all their shingles (kind 0), others from the seven characters at the
+    beginnings of words (kind 1), which fewer unrelated lines share; within a fifth below ``SHORT``, as much as two lines
+    of one class can differ, from both. A line of few such beginnings for its length (saying the same again and again)
+    draws them from all its shingles, too.
+    """
+    rows = lines.select("h", "g", packed("doc_id", "line_no").alias("first"), "line", F.char_length("line").alias("n"))
+    words = F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(ANCHOR), F.lit(1)), lambda x: F.xxhash64(x)))
+    rows = rows.withColumn("words", F.when(F.col("n") >= SHORT * 0.8, words))
+    every = F.when((F.col("n") < SHORT) | (F.size("words") < 30), shingles("line"))
+    return _ring(rows.select("h", "g", "first", F.posexplode_outer(F.array(every, F.col("words"))).alias("kind", "s")).filter("s is not null"))
 
 
 def shingles(line: str) -> F.Column:
@@ -84,33 +104,51 @@ def jaccard(a: str, b: str) -> F.Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def _candidates(buckets: DataFrame, few: int) -> DataFrame:
-    """(a, b): each member of a bucket with its centre; in a bucket of few, every pair."""
-    star = buckets.filter("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b"))
-    small = buckets.filter(F.col("n").between(3, few)).select("band", "node")
-    pairs = small.withColumnRenamed("node", "a").join(small.withColumnRenamed("node", "b"), "band").filter("a < b").select("a", "b")
-    return star.union(pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def possible(a: str, b: str, threshold: float) -> F.Column:
+    """Whether two lines (and their ``starts``, columns named with a 1) may have that Jaccard similarity.
+
+    Every starting shingle of only one line is a shingle of only that line: with p of them in a and q in b, a line of m
+    shingles shares at most m - p, and together they have at least m + q. This bound drops most unrelated lines.
+    """
+    p, q = F.size(F.array_except(f"{a}1", f"{b}1")), F.size(F.array_except(f"{b}1", f"{a}1"))
+    m, n = (F.greatest(F.char_length(x) - (VERIFY - 1), F.lit(1)) for x in (a, b))
+    return (m - p >= (m + q) * threshold - 1e-9) & (n - q >= (n + p) * threshold - 1e-9)
+
 
+def _bucketed(nodes: DataFrame) -> DataFrame:
+    """(band, node, n, center) of the buckets of two or more; the centre is the member with the smallest hash.
 
-def _centred(rows: DataFrame) -> DataFrame:
-    """Rows (band, node) of buckets of two or more, with the bucket's size and its centre (random, by hash)."""
-    rows = rows.repartition("band")
-    centre = rows.groupBy("band").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("band", "node")).alias("center")).filter("n > 1")
-    return rows.join(centre, "band").select("band", "node", "n", "center")
+    The buckets' sizes are staged, so that a bucket's rows meet them in a plain join that can split a large one.
+    """
+    rows = nodes.select("node", F.explode(F.array(*BAND_NAMES)).alias("band")).filter("band is not null")
+    sizes = staged(rows.groupBy("band").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node")).alias("center")).filter("n > 1"), "sizes")
+    return rows.join(sizes, "band").select("band", "node", "n", "center")
 
 
-def _unsettled(crowd: DataFrame, named: DataFrame) -> DataFrame:
-    """Rows (band, node, ...) of the buckets whose members are not all in one group, with each member's group."""
-    of = crowd.drop("component").join(named.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = of.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band")
-    return of.join(mixed, "band")
+def _ordered(a: str, b: str) -> list[F.Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _apart(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """(band, node, tried, component, largest, outside) of the buckets whose members are in more than one group: each
+    member's group, the bucket's largest one and how many members are outside it."""
+    of = staged(rows.select("band", "node", "tried").join(named.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node")), "apart")
+    sizes = of.groupBy("band", "component").agg(F.count("*").alias("k")).groupBy("band").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), (F.sum("k") - F.max("k")).alias("outside"))
+    return of.join(staged(sizes.filter("outside > 0"), "mixed"), "band")
+
+
+def _few_outside(apart: DataFrame, few: int) -> DataFrame:
+    """(a, b): in buckets with at most ``few`` members outside the largest group, these with all members of other groups."""
+    rows = apart.filter(F.col("outside") <= few)
+    lone = rows.filter("component <> largest").select("band", F.col("node").alias("other"), F.col("component").alias("of_other"))
+    return rows.join(lone, "band").filter("component <> of_other").select(*_ordered("node", "other"))
 
 
 def _hubs(crowd: DataFrame, links: DataFrame) -> DataFrame:
     """Rows (band, node, tried, component) with the bucket's next centre: of members not tried yet the one with most links."""
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-    rank = F.struct(F.coalesce("degree", F.lit(0)), F.xxhash64("band", "node"))
-    centre = crowd.filter("not tried").join(degree, "node", "left").groupBy("band").agg(F.max_by(F.struct("node", "component"), rank).alias("center"))
+    rank = F.struct(F.coalesce("degree", F.lit(0)), F.xxhash64("node"))
+    centre = staged(crowd.filter("not tried").join(degree, "node", "left").groupBy("band").agg(F.max_by(F.struct("node", "component"), rank).alias("center")), "centres")
     return crowd.join(centre, "band").select("band", "node", "tried", "component", F.col("center.node").alias("center"), F.col("center.component").alias("of_center"))
 
 
@@ -119,7 +157,7 @@ def _rarest(lines: DataFrame, crowd: DataFrame, threshold: float) -> DataFrame:
     least that similarity to have one in common. Shingles of only one node are counted but lead nowhere."""
     sets = staged(crowd.select("node", "component").distinct().join(lines, "node").select("node", "component", shingles("line").alias("s")), "sets")
     tokens = sets.select("node", F.explode("s").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("times")).filter("times > 1")
+    shared = staged(tokens.groupBy("token").agg(F.count("*").alias("times")).filter("times > 1"), "shared")
     ranked = tokens.join(shared, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("t"))
     sized = ranked.join(sets.select("node", "component", F.size("s").alias("size")), "node")
     prefix = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1 - (F.col("size") - F.size("t"))
@@ -132,7 +170,7 @@ def _across(rarest: DataFrame, threshold: float) -> DataFrame:
     Of a shingle's nodes, those outside its largest group meet all others: no pair within that group is listed.
     """
     groups = rarest.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.count("*").alias("groups"), F.max_by("component", F.struct("n", "component")).alias("largest")).filter("groups > 1")
-    split = rarest.join(groups.select("token", "largest"), "token")
+    split = rarest.join(staged(groups.select("token", "largest"), "largest"), "token")
     minor = split.filter("component <> largest").select("token", F.col("node").alias("a"), F.col("component").alias("of_a"), F.col("size").alias("size_a"))
     both = minor.join(split, "token").filter((F.col("component") != F.col("of_a")) & (F.least("size", "size_a") >= F.greatest("size", "size_a") * threshold - 1e-9))
     return both.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
@@ -143,7 +181,7 @@ def candidate_lines(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> Data
     doc, no = unpacked("first")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "h", "g", "first"), "node")
     by_doc = wanted.select("node", "h", "g", doc.alias("id"), no.alias("line_no")).groupBy("id").agg(F.collect_list(F.struct("line_no", "node", "h", "g")).alias("at"))
-    found = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("id"))).select(F.split("text", "\n", -1).alias("all"), F.explode("at").alias("at"))
+    found = docs.join(by_doc.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id"))).select(F.split("text", "\n", -1).alias("all"), F.explode("at").alias("at"))
     line = found.select("at.node", "at.h", "at.g", F.lower(F.trim(F.get("all", F.col("at.line_no")))).alias("line")).filter("hash(line) = g and xxhash64(line) = h")
     return line.select("node", "line").dropDuplicates(["node"])
 
@@ -151,7 +189,8 @@ def candidate_lines(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> Data
 def verified(lines: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of nodes whose lines have at least that Jaccard similarity."""
     both = pairs.join(lines.select(F.col("node").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
-    sets = both.select("a", "b", shingles("x").alias("x"), shingles("y").alias("y"))
+    near = both.withColumns({"x1": starts("x"), "y1": starts("y")}).filter(possible("x", "y", threshold))
+    sets = near.select("a", "b", shingles("x").alias("x"), shingles("y").alias("y"))
     return sets.filter(jaccard("x", "y") >= threshold).select("a", "b")
 
 
@@ -164,31 +203,31 @@ def line_classes(docs: DataFrame, threshold: float = 0.8, least: int = 1, few: i
     any other and comes first. Columns other than doc_id and text are ignored. An empty table gives no rows.
     """
     docs = doc_columns(docs, "doc_id", "text")
-    nodes = signed(lines_of(docs, least).filter("h is not null")).groupBy("h", "g").agg(F.min("first").alias("first"), *[F.min(f"b{i}").alias(f"b{i}") for i in range(BANDS)])
+    bands = [F.min(F.when(F.col("kind") == "ab".index(name[0]), F.col(f"b{name[1:]}"))).alias(name) for name in BAND_NAMES]
+    nodes = signed(lines_of(docs, least).filter("h is not null")).groupBy("h", "g").agg(F.min("first").alias("first"), *bands)
     nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers are fixed once written
-    rows = nodes.select(F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("band"), "node")
-    buckets = staged(_centred(rows), "buckets")
-    pairs = staged(_candidates(buckets, few), "pairs")
+    buckets = staged(_bucketed(nodes), "buckets")
+    pairs = staged(buckets.filter("node <> center").select(*_ordered("node", "center")).distinct(), "pairs")
     lines = staged(candidate_lines(docs, nodes, pairs), "lines")  # later rounds only pair the same lines anew
     links = staged(verified(lines, pairs, threshold), "links")
     named = components(links)
-    crowd = buckets.filter(F.col("n") > few).select("band", "node", (F.col("node") == F.col("center")).alias("tried"))
-    for _ in range(rounds - 1):  # members of larger buckets that are apart from their centre's group get another centre
-        stars = staged(_hubs(_unsettled(crowd, named), links), "stars")
-        if stars.isEmpty():
+    crowd = buckets.filter("n > 2").select("band", "node", (F.col("node") == F.col("center")).alias("tried"))
+    for turn in range(rounds):
+        apart = staged(_apart(crowd, named), "apart")
+        if apart.isEmpty():
             break
-        crowd = stars.select("band", "node", (F.col("tried") | (F.col("node") == F.col("center"))).alias("tried"))
-        pairs = stars.filter("component <> of_center").select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
-        more = staged(verified(lines, pairs, threshold), "links")
+        pairs, crowd = _few_outside(apart, few), apart.filter(F.col("outside") > few)
+        if turn + 1 < rounds:
+            stars = staged(_hubs(crowd, links), "stars")
+            crowd = stars.select("band", "node", (F.col("tried") | (F.col("node") == F.col("center"))).alias("tried"))
+            pairs = pairs.union(stars.filter("component <> of_center").select(*_ordered("node", "center")))
+        elif not crowd.isEmpty():  # decided exactly
+            pairs = pairs.union(_across(staged(_rarest(lines, crowd, threshold), "rarest"), threshold))
+        more = staged(verified(lines, staged(pairs.distinct(), "pairs"), threshold), "links")
         if not more.isEmpty():
             links = links.union(more)
             named = components(links)
-    crowd = staged(_unsettled(crowd, named), "crowd")
-    if not crowd.isEmpty():  # what is still apart is decided exactly
-        more = staged(verified(lines, _across(staged(_rarest(lines, crowd, threshold), "rarest"), threshold), threshold), "links")
-        if not more.isEmpty():
-            named = components(links.union(more))
-    firsts = named.join(nodes.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("class_first"))
+    firsts = staged(named.join(nodes.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("class_first")), "firsts")
     merged = named.join(firsts, "component").select("node", "class_first")
     firsts = nodes.select("node", "h", "g", "first").join(merged, "node", "left").select("h", "g", F.coalesce("class_first", "first").alias("first"))
     out = lines_of(docs, least).drop("line").join(firsts, ["h", "g"], "left").withColumn("first", F.coalesce("first", packed("doc_id", "line_no")))
