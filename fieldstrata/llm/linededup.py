@@ -7,8 +7,8 @@
 3. Lines that share a band's value are candidates. At first each meets its bucket's centre. Buckets whose members are
    then still in different groups: where all but a few belong to the largest group, each of the few meets every member;
    elsewhere two further centres, those with most links, are tried, and what is apart even then meets in an equi-join
-   on the lines' rarest shingles (prefix filter), which leaves out no pair at or above the threshold. So no pair of a
-   bucket is given up, and no bucket's pairs are all listed.
+   on the bucket and the lines' rarest shingles (prefix filter), which leaves out no pair at or above the threshold. So
+   no pair of a bucket is given up, and no bucket's pairs are all listed.
 4. Candidates are verified by the exact Jaccard similarity of all their 5-character shingles.
 5. Distributed union-find (``components``) groups verified lines; the first line of each group by (doc_id, line number) stays.
 
@@ -153,27 +153,27 @@ def _hubs(crowd: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _rarest(lines: DataFrame, crowd: DataFrame, threshold: float) -> DataFrame:
-    """(token, node, component, size): of each node the rarest shingles, as many as it takes for any two lines of at
-    least that similarity to have one in common. Shingles of only one node are counted but lead nowhere."""
-    sets = staged(crowd.select("node", "component").distinct().join(lines, "node").select("node", "component", shingles("line").alias("s")), "sets")
+    """(token, node, size): of each node the rarest shingles, as many as it takes for any two lines of at least that
+    similarity to have one in common. Shingles of only one node are counted but lead nowhere."""
+    sets = staged(crowd.select("node").distinct().join(lines, "node").select("node", shingles("line").alias("s")), "sets")
     tokens = sets.select("node", F.explode("s").alias("token"))
     shared = staged(tokens.groupBy("token").agg(F.count("*").alias("times")).filter("times > 1"), "shared")
     ranked = tokens.join(shared, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("t"))
-    sized = ranked.join(sets.select("node", "component", F.size("s").alias("size")), "node")
+    sized = ranked.join(sets.select("node", F.size("s").alias("size")), "node")
     prefix = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1 - (F.col("size") - F.size("t"))
-    return sized.select("node", "component", "size", F.explode(F.slice("t", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int"))).alias("x")).select("x.token", "node", "component", "size")
+    return sized.select("node", "size", F.explode(F.slice("t", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int"))).alias("x")).select("x.token", "node", "size")
 
 
-def _across(rarest: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): every pair of nodes of different groups that share a rare shingle and whose sizes allow the threshold.
-
-    Of a shingle's nodes, those outside its largest group meet all others: no pair within that group is listed.
-    """
-    groups = rarest.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.count("*").alias("groups"), F.max_by("component", F.struct("n", "component")).alias("largest")).filter("groups > 1")
-    split = rarest.join(staged(groups.select("token", "largest"), "largest"), "token")
-    minor = split.filter("component <> largest").select("token", F.col("node").alias("a"), F.col("component").alias("of_a"), F.col("size").alias("size_a"))
-    both = minor.join(split, "token").filter((F.col("component") != F.col("of_a")) & (F.least("size", "size_a") >= F.greatest("size", "size_a") * threshold - 1e-9))
-    return both.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+def _across(rarest: DataFrame, crowd: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): every pair of nodes of one bucket but different groups that share a rare shingle and whose sizes allow the
+    threshold. Of a bucket's nodes with the shingle, those outside their largest group meet all others: no pair within
+    that group is listed."""
+    rows = staged(crowd.select("band", "node", "component").join(rarest, "node"), "prefixes")
+    groups = rows.groupBy("band", "token", "component").agg(F.count("*").alias("n")).groupBy("band", "token").agg(F.count("*").alias("groups"), F.max_by("component", F.struct("n", "component")).alias("largest")).filter("groups > 1")
+    split = rows.join(staged(groups.select("band", "token", "largest"), "largest"), ["band", "token"])
+    minor = split.filter("component <> largest").select("band", "token", F.col("node").alias("other"), F.col("component").alias("of_other"), F.col("size").alias("other_size"))
+    both = minor.join(split, ["band", "token"]).filter((F.col("component") != F.col("of_other")) & (F.least("size", "other_size") >= F.greatest("size", "other_size") * threshold - 1e-9))
+    return both.select(*_ordered("node", "other")).distinct()
 
 
 def candidate_lines(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -222,7 +222,7 @@ def line_classes(docs: DataFrame, threshold: float = 0.8, least: int = 1, few: i
             crowd = stars.select("band", "node", (F.col("tried") | (F.col("node") == F.col("center"))).alias("tried"))
             pairs = pairs.union(stars.filter("component <> of_center").select(*_ordered("node", "center")))
         elif not crowd.isEmpty():  # decided exactly
-            pairs = pairs.union(_across(staged(_rarest(lines, crowd, threshold), "rarest"), threshold))
+            pairs = pairs.union(_across(staged(_rarest(lines, crowd, threshold), "rarest"), crowd, threshold))
         more = staged(verified(lines, staged(pairs.distinct(), "pairs"), threshold), "links")
         if not more.isEmpty():
             links = links.union(more)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, doc_columns, rows_of, texts
+from .common import column, doc_columns, rows_of, staged, texts, unstage
 
 #: Letters that a written character may stand for (fixed values).
 LOOKS_LIKE = {
@@ -198,33 +198,30 @@ def char_counts(words: DataFrame) -> DataFrame:
     return padded.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("s") - 2), lambda i: F.substring("s", i, F.lit(3)))).alias("gram")).groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def fit(rows: list[tuple[np.ndarray, int]], bits: int, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Weights of a logistic model over the features, by AdaGrad on the full set, with a small ridge.
+def tell(ones: np.ndarray, total: np.ndarray, p: float, q: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of features with ``ones`` toxic rows out of ``total``: whether each tells, and its log odds; p and q rows in all.
 
-    Only features whose share of ones is five standard errors off take part; each starts from its log odds.
+    Telling features are those whose share of ones is five standard errors off, and whose odds differ by a factor e.
     """
-    size = 1 << bits
-    y = np.array([r[1] for r in rows], np.float64)
-    if not len(rows) or y.min() == y.max():
-        return np.zeros(size), (-2.0 if not len(rows) or y.max() == 0 else 2.0)
-    at = np.concatenate([r[0] for r in rows])
-    of = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    ones = np.bincount(at, y[of], size)
-    total = np.bincount(at, minlength=size)
-    p, q = y.sum(), len(y) - y.sum()
     odds = np.log((ones + 0.5) / (p + 1)) - np.log((total - ones + 0.5) / (q + 1))
-    share = p / len(y)
+    share = p / (p + q)
     surprise = (ones - total * share) / np.sqrt(total * share * (1 - share) + 1e-9)
-    telling = (np.abs(surprise) > 5.0) & (np.abs(odds) > 1.0)
-    keep = telling[at]
-    at, of = at[keep], of[keep]
-    w, b, g2, gb = np.where(telling, 0.3 * odds, 0.0), math.log(p / q), np.full(size, 1e-6), 1e-6
+    return (np.abs(surprise) > 5.0) & (np.abs(odds) > 1.0), odds
+
+
+def fit(x: list[np.ndarray], y: np.ndarray, odds: np.ndarray, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Weights of a logistic model over features numbered from 0, each of which starts from its log odds: AdaGrad on the
+    full set, with a small ridge."""
+    size = len(odds)
+    at = np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64)
+    of = np.repeat(np.arange(len(x)), [len(r) for r in x])
+    w, b, g2, gb = 0.3 * odds, math.log(y.sum() / (len(y) - y.sum())), np.full(size, 1e-6), 1e-6
     for _ in range(steps):
         z = b + np.bincount(of, w[at], len(y))
         e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
         g = np.bincount(at, e[of], size) / len(y) + 1e-6 * w
         g2 += g * g
-        w -= 0.3 * g / np.sqrt(g2)
+        w = w - 0.3 * g / np.sqrt(g2)
         gb += e.mean() ** 2
         b -= 0.1 * e.mean() / math.sqrt(gb)
     return w, b
@@ -232,15 +229,20 @@ def fit(rows: list[tuple[np.ndarray, int]], bits: int, steps: int = 300) -> tupl
 
 def language_model(docs: DataFrame) -> CharModel:
     """Counted over all documents. The alphabet bounds the number of trigrams; all of them are used."""
-    grams = char_counts(word_counts(docs)).orderBy(F.desc("n"), "gram")
-    return CharModel({r["gram"]: r["n"] for r in grams.collect()})
+    grams = char_counts(word_counts(docs)).toArrow().sort_by("gram")
+    return CharModel(dict(zip(grams["gram"].to_pylist(), grams["n"].to_pylist(), strict=True)))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, target: str, learn: F.Column, most: int) -> DataFrame:
-    """(text, y) of labelled rows to learn from; of more than ``most``, those first by a hash of doc_id."""
-    lab = labels.filter(learn & F.col(target).isNotNull()).select(F.col("doc_id"), F.col(target).cast("int").alias("y")).dropDuplicates(["doc_id"])
+    """(doc_id, text, y) of labelled rows to learn from; of more than ``most``, those first by a hash of doc_id.
+
+    Of several labels of one doc_id the smallest counts, null doc_ids never. If a doc_id repeats in docs, its row with
+    the smallest text counts.
+    """
+    lab = labels.filter(learn & F.col(target).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id")).agg(F.min(F.col(target).cast("int")).alias("y"))
     lab = lab.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(most)
-    return docs.join(F.broadcast(lab), "doc_id").select("doc_id", "text", "y")  # at most ``most`` rows of two numbers
+    found = docs.join(F.broadcast(lab), "doc_id")  # at most ``most`` rows of two numbers
+    return found.groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
 
 class Fitted:
@@ -261,7 +263,11 @@ class Fitted:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, learn: F.Column | None = None, most: int = 20_000, bits: int = 18) -> Fitted:
-    """Train on rows of labels (doc_id, toxic) that learn admits (a condition on doc_id; default: all), at most ``most``."""
+    """Train on rows of labels (doc_id, toxic) that learn admits (a condition on doc_id; default: all), at most ``most``.
+
+    Features of these rows are staged and counted by Spark; only the telling ones and, of each row, which of them it has
+    come to the driver.
+    """
     docs = doc_columns(docs, "doc_id", "text")
     model = language_model(docs)
 
@@ -271,9 +277,37 @@ def fitted(docs: DataFrame, labels: DataFrame, learn: F.Column | None = None, mo
             x = [of.features(t).astype("<i4").tobytes() for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(x, pa.binary()), column(batch, "y")], names=["doc_id", "x", "y"])
 
-    rows = training_rows(docs, labels, "toxic", F.lit(True) if learn is None else learn, most).mapInArrow(extract, "doc_id bigint, x binary, y int").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["x"]))
-    w, b = fit([(np.frombuffer(r["x"], "<i4"), r["y"]) for r in rows], bits)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ones, total = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+        for batch in batches:
+            for x, y in zip(column(batch, "x").to_pylist(), column(batch, "y").to_pylist(), strict=True):
+                at = np.frombuffer(x, "<i4")  # each feature once
+                total[at] += 1
+                ones[at] += y
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(ones[at]), pa.array(total[at])], names=["feature", "ones", "total"])
+
+    rows = staged(training_rows(docs, labels, "toxic", F.lit(True) if learn is None else learn, most).mapInArrow(extract, "doc_id bigint, x binary, y int"), "training")
+    n, p = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    if not p or p == n:
+        return Fitted(model, np.zeros(1 << bits), 2.0 if p else -2.0, bits)
+    counts = rows.mapInArrow(count, "feature bigint, ones bigint, total bigint").groupBy("feature").agg(F.sum("ones").alias("ones"), F.sum("total").alias("total")).toArrow()  # at most 2^bits rows of three numbers
+    feature, ones, total = (counts[c].to_numpy() for c in ("feature", "ones", "total"))
+    telling, odds = tell(ones, total, p, n - p)
+    order = np.argsort(feature[telling])
+    known, odds = feature[telling][order], odds[telling][order]
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = np.full(1 << bits, -1, np.int32)
+        number[known] = np.arange(len(known))
+        for batch in batches:
+            x = [number[np.frombuffer(x, "<i4")] for x in column(batch, "x").to_pylist()]
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array([v[v >= 0].tobytes() for v in x], pa.binary()), column(batch, "y")], names=["doc_id", "x", "y"])
+
+    told = rows.mapInArrow(reduce, "doc_id bigint, x binary, y int").toArrow().sort_by("doc_id")  # at most ``most`` rows
+    unstage(rows)
+    w = np.zeros(1 << bits)
+    w[known], b = fit([np.frombuffer(x, np.int32) for x in told["x"].to_pylist()], told["y"].to_numpy().astype(np.float64), odds)
     return Fitted(model, w, b, bits)
 
 
