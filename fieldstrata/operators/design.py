@@ -99,21 +99,63 @@ def difference_prop(df: DataFrame, population_mean: float | Column, lam: float =
     return with_interval(r.agg((m * lam + F.avg("r")).alias("est"), F.sqrt(F.var_samp("r") / F.count("*")).alias("se")))
 
 
-def lam_stratified(stats: DataFrame, proxy: DataFrame, areas: DataFrame) -> DataFrame:
-    """Variance-minimising lambda over strata; strata of one row are skipped; constant proxies give 0."""
-    w = weighted(stats, areas).join(proxy, "stratum").filter("n >= 2")
+def with_proxy(w: DataFrame, proxy: DataFrame) -> DataFrame:
+    """w with each stratum's predicted-only summary; a stratum that has none raises when the plan runs."""
+    joined = w.join(proxy, "stratum", "left")
+    return joined.withColumn("pn", F.when(F.col("pn").isNull(), F.raise_error(F.concat(F.lit("stratum without predicted-only rows: "), "stratum")).cast("long")).otherwise(F.col("pn")))
+
+
+def lam_stratified(stats: DataFrame, proxy: DataFrame, areas: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Variance-minimising lambda over strata, for each value of ``by`` if stats has such columns; strata of one row are
+    skipped, strata without predicted-only rows add no proxy variance; constant proxies give 0."""
+    w = stats.join(areas.withColumn("w", F.col("area") / F.sum("area").over(everything())), "stratum").join(proxy, ["stratum", *(c for c in by or [] if c in proxy.columns)], "left").filter("n >= 2")
     w2 = F.col("w") ** 2
-    s = w.agg(F.sum(w2 * F.col("cxy") / F.col("n")).alias("num"), F.sum(w2 * (F.col("vx") / F.col("n") + F.col("pv") / F.col("pn"))).alias("den"))
-    return s.select(F.when(F.col("den") > 1e-15, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("num") / F.col("den")))).otherwise(0.0).alias("lam"))
+    s = w.groupBy(*(by or [])).agg(F.sum(w2 * F.col("cxy") / F.col("n")).alias("num"), F.sum(w2 * (F.col("vx") / F.col("n") + F.coalesce(F.col("pv") / F.col("pn"), F.lit(0.0)))).alias("den"))
+    return s.select(*(by or []), F.when(F.col("den") > 1e-15, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("num") / F.col("den")))).otherwise(0.0).alias("lam"))
 
 
 def stratified_ppi(stats: DataFrame, proxy: DataFrame, areas: DataFrame, lam: DataFrame) -> DataFrame:
-    """Stratified prediction-powered proportion; lam: one row. A stratum with an area but without labels raises."""
-    w = complete(stats, areas).join(proxy, "stratum").crossJoin(F.broadcast(lam))  # one row
+    """Stratified prediction-powered proportion; lam: one row. A stratum with an area raises if it has no labels or no
+    predicted-only rows. No finite population correction: labels are few against the area they stand for."""
+    w = with_proxy(complete(stats, areas), proxy).crossJoin(F.broadcast(lam))  # one row
     L = F.col("lam")
     mean = F.col("my") + L * (F.col("pm") - F.col("mx"))
-    var = (F.col("vy") - 2 * L * F.col("cxy") + L * L * F.col("vx")) / F.col("n") * fpc() + L * L * F.col("pv") / F.col("pn")
-    return with_interval(w.agg(F.first("lam").alias("lam"), F.sum(F.col("w") * mean).alias("est"), F.sqrt(F.sum(F.col("w") ** 2 * var)).alias("se")))
+    var = (F.col("vy") - 2 * L * F.col("cxy") + L * L * F.col("vx")) / F.col("n") + L * L * F.col("pv") / F.col("pn")
+    return with_interval(w.agg(F.first("lam").alias("lam"), F.sum(F.col("w") * mean).alias("est"), F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("w") ** 2 * var))).alias("se")))
+
+
+def _covariances(df: DataFrame, columns: list[str], n: str, mean: str, cov: str) -> DataFrame:
+    """Per stratum: rows n, means mean0, mean1, ... and sample covariances cov0_0, cov0_1, ... of the columns."""
+    k = len(columns)
+    aggs = [F.count("*").alias(n)] + [F.avg(c).alias(f"{mean}{i}") for i, c in enumerate(columns)]
+    return df.groupBy("stratum").agg(*aggs, *[F.coalesce(F.covar_samp(columns[i], columns[j]), F.lit(0.0)).alias(f"{cov}{i}_{j}") for i in range(k) for j in range(i, k)])
+
+
+def ppi_multinomial(labelled: DataFrame, predicted: DataFrame, areas: DataFrame, ys: list[str], xs: list[str], lams: DataFrame) -> DataFrame:
+    """(k, l, p_k, p_l, cov): prediction-powered composition of classes 0, 1, ... and its covariance.
+
+    ys and xs: truth and proxy columns of the classes; lams: rows (k, lam), one for each class. A stratum with an area raises
+    without labels or without predicted-only rows.
+    """
+    n = len(ys)
+    lam = lams.agg(*[F.max(F.when(F.col("k") == i, F.col("lam"))).alias(f"l{i}") for i in range(n)])
+    rest = labelled.crossJoin(F.broadcast(lam)).select("stratum", *[(F.col(y) - F.col(f"l{i}") * F.col(x)).alias(f"r{i}") for i, (y, x) in enumerate(zip(ys, xs, strict=True))])  # one row
+    stats = _covariances(rest, [f"r{i}" for i in range(n)], "n", "m", "c")
+    w = with_proxy(complete(stats, areas), _covariances(predicted, xs, "pn", "pm", "pc")).crossJoin(F.broadcast(lam))  # one row
+    mean = lambda i: F.col(f"m{i}") + F.col(f"l{i}") * F.col(f"pm{i}")
+    both = lambda i, j: F.col(f"c{min(i, j)}_{max(i, j)}") / F.col("n") + F.col(f"l{i}") * F.col(f"l{j}") * F.col(f"pc{min(i, j)}_{max(i, j)}") / F.col("pn")
+    cells = F.array(*[F.struct(F.lit(i).alias("k"), F.lit(j).alias("l"), mean(i).alias("mk"), mean(j).alias("ml"), both(i, j).alias("c")) for i in range(n) for j in range(n)])
+    long = w.select("w", F.explode(cells).alias("e")).select("w", "e.*")
+    return long.groupBy("k", "l").agg(F.sum(F.col("w") * F.col("mk")).alias("p_k"), F.sum(F.col("w") * F.col("ml")).alias("p_l"), F.sum(F.col("w") ** 2 * F.col("c")).alias("cov"))
+
+
+def lam_classes(labelled: DataFrame, predicted: DataFrame, areas: DataFrame, ys: list[str], xs: list[str]) -> DataFrame:
+    """(k, lam): the variance-minimising lambda of each class by itself."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(y).alias("y"), F.col(x).alias("x")) for i, (y, x) in enumerate(zip(ys, xs, strict=True))])).alias("e")
+    only = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(x).alias("x")) for i, x in enumerate(xs)])).alias("e")
+    stats = labelled.select("stratum", pairs).select("stratum", "e.*").groupBy("stratum", "k").agg(F.count("*").alias("n"), F.coalesce(F.var_samp("x"), F.lit(0.0)).alias("vx"), F.coalesce(F.covar_samp("y", "x"), F.lit(0.0)).alias("cxy"))
+    proxy = predicted.select("stratum", only).select("stratum", "e.*").groupBy("stratum", "k").agg(F.count("*").alias("pn"), F.coalesce(F.var_samp("x"), F.lit(0.0)).alias("pv"))
+    return lam_stratified(stats, proxy, areas, ["k"])
 
 
 def ppi_known_mean(stats: DataFrame, areas: DataFrame, lam: float, population_mean: float) -> DataFrame:
@@ -158,22 +200,26 @@ def share(composition: DataFrame, num: list[int], den: list[int]) -> DataFrame:
 
 
 def stratified_ratio(stats: DataFrame, areas: DataFrame) -> DataFrame:
-    """Combined ratio sum A my / sum A mx with linearised variance; a stratum without rows raises."""
+    """Combined ratio sum A my / sum A mx with linearised variance; a stratum without rows or a denominator that is not
+    positive raises."""
     w = complete(stats, areas)
     t = w.agg(F.sum(F.col("area") * F.col("my")).alias("Y"), F.sum(F.col("area") * F.col("mx")).alias("X"))
+    t = t.withColumn("X", F.when(F.col("X") > 0, F.col("X")).otherwise(F.raise_error(F.lit("denominator is not positive")).cast("double")))
     R = F.col("Y") / F.col("X")
-    v = F.col("area") ** 2 * (F.col("vy") + R * R * F.col("vx") - 2 * R * F.col("cxy")) / F.col("n") * fpc()
+    v = F.col("area") ** 2 * (F.col("vy") + R * R * F.col("vx") - 2 * R * F.col("cxy")) / F.col("n")
     return with_interval(w.crossJoin(F.broadcast(t)).groupBy("Y", "X").agg(F.sum(v).alias("v")).select(R.alias("est"), (F.sqrt(F.greatest(F.lit(0.0), F.col("v"))) / F.col("X")).alias("se")))  # one row
 
 
 def variance_decomposition(stats: DataFrame, proxy: DataFrame, areas: DataFrame, lam: DataFrame) -> DataFrame:
-    """Per stratum: what labels and the predicted-only sample add to the variance, shares and running share."""
-    w = weighted(stats, areas).join(proxy, "stratum").crossJoin(F.broadcast(lam))  # one row
+    """Per stratum: what labels and the predicted-only sample add to the variance, shares (null if the total is 0) and
+    running share. A stratum with an area raises without labels; without predicted-only rows it adds no proxy variance."""
+    w = complete(stats, areas).join(proxy, "stratum", "left").crossJoin(F.broadcast(lam))  # one row
     L = F.col("lam")
-    lab = F.col("w") ** 2 * (F.col("vy") - 2 * L * F.col("cxy") + L * L * F.col("vx")) / F.col("n") * fpc()
-    pred = F.col("w") ** 2 * L * L * F.col("pv") / F.col("pn")
+    lab = F.col("w") ** 2 * (F.col("vy") - 2 * L * F.col("cxy") + L * L * F.col("vx")) / F.col("n")
+    pred = F.coalesce(F.col("w") ** 2 * L * L * F.col("pv") / F.col("pn"), F.lit(0.0))
     t = w.select("stratum", lab.alias("label_var"), pred.alias("predicted_var"))
-    t = t.withColumn("label_share", F.col("label_var") / F.sum("label_var").over(everything()))
+    total = F.col("label_var") + F.col("predicted_var")
+    t = t.withColumn("label_share", F.try_divide("label_var", F.sum("label_var").over(everything()))).withColumn("total_share", F.try_divide(total, F.sum(total).over(everything())))
     run = Window.orderBy(F.desc("label_var"), "stratum").rowsBetween(Window.unboundedPreceding, 0)
     return t.withColumn("cum_share", F.sum("label_share").over(run)).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("label_var"), "stratum")))
 
@@ -255,6 +301,17 @@ def bootstrap_draws(df: DataFrame, stratum: str, key_seed: int, draws: int, valu
     return picked.join(numbered.select(stratum, "rn", *values), [stratum, "rn"]).select("draw", stratum, *values)
 
 
+def ppi_draws(by: DataFrame, proxy: DataFrame, areas: DataFrame) -> DataFrame:
+    """(draw, lam, est): the prediction-powered estimate of each draw, lambda tuned anew in each.
+
+    by: n, my, mx, vx, cxy of each draw and stratum. The predicted-only side is every unlabelled row and keeps its means.
+    """
+    lam = lam_stratified(by, proxy, areas, ["draw"])
+    w = areas.withColumn("w", F.col("area") / F.sum("area").over(everything()))
+    all_ = by.join(w, "stratum").join(proxy, "stratum").join(lam, "draw")
+    return all_.groupBy("draw").agg(F.first("lam").alias("lam"), F.sum(F.col("w") * (F.col("my") + F.col("lam") * (F.col("pm") - F.col("mx")))).alias("est"))
+
+
 def bootstrap_summary(draws: DataFrame, value: str, point: float | None = None) -> DataFrame:
     """Percentile interval (linear), standard error and, given a point estimate, bias."""
     out = draws.agg(F.count("*").alias("draws"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("se"), F.percentile(value, F.lit(0.025)).alias("lo"), F.percentile(value, F.lit(0.5)).alias("median"), F.percentile(value, F.lit(0.975)).alias("hi"))

@@ -69,7 +69,7 @@ def a7(spark, d):
 
 
 _LAM = "lam as (select greatest(0, least(1, sum(w * w * cxy / n) / sum(w * w * (vx / n + pv / pn)))) as lam from {w} join {p} using (stratum))"
-_PPI = "select any_value(lam) as lam, sum(w * (my + lam * (pm - mx))) as est, sqrt(sum(w * w * ((vy - 2 * lam * cxy + lam * lam * vx) / n * greatest(0, 1 - n / area) + lam * lam * pv / pn))) as se from {w} join {p} using (stratum), lam"
+_PPI = "select any_value(lam) as lam, sum(w * (my + lam * (pm - mx))) as est, sqrt(sum(w * w * ((vy - 2 * lam * cxy + lam * lam * vx) / n + lam * lam * pv / pn))) as se from {w} join {p} using (stratum), lam"
 
 
 def _ppi_sql(w: str, p: str, lam: str | None = None) -> str:
@@ -132,6 +132,49 @@ def a13(spark, d):
     return _composition(spark, d)
 
 
+_CLASSES = ("Nature", "Cropland", "Artificial")
+
+
+def _one_hot(df):
+    return df.select("stratum", *[(F.col(c) == v).cast("double").alias(f"{n}{i}") for c, n in (("after", "y"), ("before", "x")) for i, v in enumerate(_CLASSES)])
+
+
+_KS = "(values (0, 'Nature'), (1, 'Cropland'), (2, 'Artificial'))"
+_VECTOR = f"""lc as (select stratum, id, k0 as k, (after = c)::double as y, (before = c)::double as x from labelled, {_KS} kk(k0, c)), pc as (select stratum, id, k0 as k, (before = c)::double as x from predicted, {_KS} kk(k0, c)),
+kl as (select k, stratum, count(*) as n, var_samp(x) as vx, covar_samp(y, x) as cxy from lc group by 1, 2), kp as (select k, stratum, count(*) as pn, avg(x) as pm, var_samp(x) as pv from pc group by 1, 2),
+aw as (select stratum, area / sum(area) over () as w from areas), tuned as (select k, coalesce(greatest(0, least(1, sum(w * w * cxy / n) / nullif(sum(w * w * (vx / n + pv / pn)), 0))), 0) as lam from kl join kp using (k, stratum) join aw using (stratum) group by 1)"""
+_VECTOR_PPI = """rs as (select stratum, id, k, lam, y - lam * x as r from lc join {lam} using (k)), rc as (select a.stratum, a.k, b.k as l, any_value(a.lam) as lk, any_value(b.lam) as ll, count(*) as n, avg(a.r) as mk, avg(b.r) as ml, covar_samp(a.r, b.r) as c from rs a join rs b using (stratum, id) group by 1, 2, 3),
+xc as (select * from (select a.stratum, a.k, b.k as l, count(*) as pn, avg(a.x) as pa, avg(b.x) as pb, covar_samp(a.x, b.x) as c from pc a join pc b using (stratum, id) group by 1, 2, 3) t)"""
+_VECTOR_OUT = "select k::bigint as k, l::bigint as l, round(sum(w * (mk + lk * pa)), 6) as p_k, round(sum(w * (ml + ll * pb)), 6) as p_l, round(sum(w * w * (rc.c / n + lk * ll * xc.c / pn)), 6) + 0.0 as cov from rc join xc using (stratum, k, l) join aw using (stratum) group by 1, 2"
+
+
+def _vector(spark, d, lams=None):
+    lab, pred, area = _one_hot(labelled(spark, d)), _one_hot(predicted(spark, d)), areas(spark, d)
+    ys, xs = [f"y{i}" for i in range(3)], [f"x{i}" for i in range(3)]
+    lam = D.lam_classes(lab, pred, area, ys, xs) if lams is None else spark.range(3).select(F.col("id").cast("int").alias("k"), F.lit(lams).alias("lam"))
+    return D.ppi_multinomial(lab, pred, area, ys, xs, lam)
+
+
+@query("a14_vector_ppi", f"with {POP}, {_VECTOR}, half as (select k0 as k, 0.5::double as lam from {_KS} kk(k0, c)), {_VECTOR_PPI.format(lam='half')} {_VECTOR_OUT}")
+def a14(spark, d):
+    return _vector(spark, d, 0.5)
+
+
+@query("a14_vector_ppi_tuned", f"with {POP}, {_VECTOR}, {_VECTOR_PPI.format(lam='tuned')} {_VECTOR_OUT}")
+def a14t(spark, d):
+    return _vector(spark, d)
+
+
+@query("a15_class_lams", f"with {POP}, {_VECTOR} select k::bigint as k, round(lam, 6) as lam from tuned")
+def a15(spark, d):
+    return D.lam_classes(_one_hot(labelled(spark, d)), _one_hot(predicted(spark, d)), areas(spark, d), [f"y{i}" for i in range(3)], [f"x{i}" for i in range(3)])
+
+
+@query("a16_scalar_baseline", f"with {POP}, {_VECTOR}, {_VECTOR_PPI.format(lam='tuned')}, o as ({_VECTOR_OUT}) select k, p_k, cov from o where k = l")
+def a16(spark, d):
+    return _vector(spark, d).filter("k = l").select("k", "p_k", "cov")
+
+
 @query("a17_contrast", f"with {POP}, {_LONG}, t as (select sum(case when k = l then ck * p_k else 0 end) as est, sqrt(greatest(0, sum(ck * c2 * cov))) as se from (select *, case k when 0 then 1 when 1 then -1 else 0 end as ck, case l when 0 then 1 when 1 then -1 else 0 end as c2 from comp)) select round(est, 6) as est, round(se, 6) as se, round(est - 1.959963984540054 * se, 6) as lo, round(est + 1.959963984540054 * se, 6) as hi from t")
 def a17(spark, d):
     return D.contrast(_composition(spark, d), {0: 1.0, 1: -1.0})
@@ -142,12 +185,12 @@ def a18(spark, d):
     return D.share(_composition(spark, d), [1], [1, 2])
 
 
-@query("a20_stratified_ratio", _ci("select any_value(R) as est, sqrt(sum(area * area * (vy + R * R * vx - 2 * R * cxy) / n * greatest(0, 1 - n / area))) / any_value(X) as se from (select w.*, sum(area * my) over () / sum(area * mx) over () as R, sum(area * mx) over () as X from w)"))
+@query("a20_stratified_ratio", _ci("select any_value(R) as est, sqrt(sum(area * area * (vy + R * R * vx - 2 * R * cxy) / n)) / any_value(X) as se from (select w.*, sum(area * my) over () / sum(area * mx) over () as R, sum(area * mx) over () as X from w)"))
 def a20(spark, d):
     return D.stratified_ratio(_stats(spark, d), areas(spark, d))
 
 
-@query("a21_variance_decomposition", f"with {POP}, {_LAM.format(w='ws', p='ps')}, t as (select stratum, w * w * (vy - 2 * lam * cxy + lam * lam * vx) / n * greatest(0, 1 - n / area) as label_var, w * w * lam * lam * pv / pn as predicted_var from ws join ps using (stratum), lam) select stratum, round(label_var, 6) as label_var, round(predicted_var, 6) as predicted_var, round(label_var / sum(label_var) over (), 6) as label_share, round(sum(label_var) over (order by label_var desc, stratum rows unbounded preceding) / sum(label_var) over (), 6) as cum_share, row_number() over (order by label_var desc, stratum) as rank from t")
+@query("a21_variance_decomposition", f"with {POP}, {_LAM.format(w='ws', p='ps')}, t as (select stratum, w * w * (vy - 2 * lam * cxy + lam * lam * vx) / n as label_var, w * w * lam * lam * pv / pn as predicted_var from ws join ps using (stratum), lam) select stratum, round(label_var, 6) as label_var, round(predicted_var, 6) as predicted_var, round(label_var / nullif(sum(label_var) over (), 0), 6) as label_share, round((label_var + predicted_var) / nullif(sum(label_var + predicted_var) over (), 0), 6) as total_share, round(sum(label_var) over (order by label_var desc, stratum rows unbounded preceding) / nullif(sum(label_var) over (), 0), 6) as cum_share, row_number() over (order by label_var desc, stratum) as rank from t")
 def a21(spark, d):
     stats, proxy, area = _stats(spark, d, "score"), D.proxy_summary(predicted(spark, d), "score"), areas(spark, d)
     return D.variance_decomposition(stats, proxy, area, D.lam_stratified(stats, proxy, area))
@@ -157,7 +200,7 @@ def _methods_sql() -> str:
     parts = [("classical", "none", "select 0.0 as lam, sum(w * my) as est, sqrt(sum(w * w * vy / n * greatest(0, 1 - n / area))) as se from w")]
     for name, w, p in (("hard", "w", "px"), ("score", "ws", "ps")):
         for method, lam in (("fixed", "(select 1.0::double as lam)"), ("tuned", "(" + _LAM.format(w=w, p=p).split(" as (", 1)[1])):
-            parts.append((method, name, _PPI.format(w=w, p=p).replace(", lam", f", {lam} lam") if False else _PPI.format(w=w, p=p)[: -len("lam")] + lam + " lam"))
+            parts.append((method, name, _PPI.format(w=w, p=p)[: -len("lam")] + lam + " lam"))
     return f"with {POP}, t as (" + " union all ".join(f"select '{m}' as method, '{x}' as proxy, * from ({s})" for m, x, s in parts) + ") select method, proxy, round(lam, 6) as lam, round(est, 6) as est, round(se, 6) as se from t"
 
 
@@ -230,14 +273,14 @@ def a30(spark, d):
     return s.select("stratum", lo.alias("lo"), hi.alias("hi"))
 
 
-@query("b1_bootstrap_draws")
+_SLOTS = "slots as (select draw, stratum, slot, n, floor(('0x' || substr(md5(concat_ws('|', '11', draw, stratum, slot)), 1, 13))::bigint / 4503599627370496.0 * n) + 1 as rn from st, (select unnest(range(1, 101)) as slot) a, (select unnest(range(1, 101)) as draw) b where slot <= n), ds as (select draw, s.stratum, count(*) as n, avg(l.y) as my, avg(l.yhat) as mx, coalesce(var_samp(l.yhat), 0) as vx, coalesce(covar_samp(l.y, l.yhat), 0) as cxy from slots s join labelled l on l.stratum = s.stratum and l.r = s.rn group by 1, 2), dw as (select ds.*, px.*, area / (select sum(area) from areas) as w from ds join px using (stratum) join areas using (stratum)), dl as (select draw, coalesce(greatest(0, least(1, sum(w * w * cxy / n) / nullif(sum(w * w * (vx / n + pv / pn)), 0))), 0) as lam from dw group by 1)"
+
+
+@query("b1_bootstrap_draws", f"with {POP}, {_SLOTS} select draw, round(any_value(lam), 6) as lam, round(sum(w * (my + lam * (pm - mx))), 6) as est from dw join dl using (draw) group by 1")
 def b1(spark, d):
-    lab = D.bootstrap_draws(labelled(spark, d), "stratum", 11, 100, ["y", "yhat"], ["k", "id"])
-    area = areas(spark, d)
-    w = area.withColumn("w", F.col("area") / F.sum("area").over(D.everything()))
-    by = lab.groupBy("draw", "stratum").agg(F.avg("y").alias("my"), F.avg("yhat").alias("mx")).join(w, "stratum")
-    proxy = D.proxy_summary(predicted(spark, d), "yhat")
-    return by.join(proxy, "stratum").groupBy("draw").agg(F.sum(F.col("w") * (F.col("my") + 0.3 * (F.col("pm") - F.col("mx")))).alias("est"))
+    drawn, area = D.bootstrap_draws(labelled(spark, d), "stratum", 11, 100, ["y", "yhat"], ["k", "id"]), areas(spark, d)
+    by = drawn.groupBy("draw", "stratum").agg(F.count("*").alias("n"), F.avg("y").alias("my"), F.avg("yhat").alias("mx"), F.coalesce(F.var_samp("yhat"), F.lit(0.0)).alias("vx"), F.coalesce(F.covar_samp("y", "yhat"), F.lit(0.0)).alias("cxy"))
+    return D.ppi_draws(by, D.proxy_summary(predicted(spark, d), "yhat"), area)
 
 
 _BOOT = f"with {POP}, slots as (select draw, stratum, slot, n, floor(('0x' || substr(md5(concat_ws('|', '13', draw, stratum, slot)), 1, 13))::bigint / 4503599627370496.0 * n) + 1 as rn from st, (select unnest(range(1, 101)) as slot) a, (select unnest(range(1, 101)) as draw) b where slot <= n), dr as (select draw, sum(area / (select sum(area) from areas) * my) as est from (select draw, s.stratum, avg(l.y) as my from slots s join labelled l on l.stratum = s.stratum and l.r = s.rn group by 1, 2) join areas using (stratum) group by 1)"

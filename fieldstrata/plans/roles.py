@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.keyed import key
 from .registry import read
 
-LABELLED, PREDICTED = 100, 1000
+LABELLED = 100
 
 
 def population(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ POP = """pop as (select l_returnflag || '_' || l_linestatus as stratum, concat_w
 areas as (select l_returnflag || '_' || l_linestatus as stratum, sum(l_extendedprice::decimal(18, 2))::double / 1e6 as area from lineitem group by 1),
 keyed as (select *, ('0x' || substr(md5('7|' || id), 1, 13))::bigint as k from pop),
 ranked as (select *, row_number() over (partition by stratum order by k, id) as r from keyed),
-labelled as (select * from ranked where r <= 100), predicted as (select * from ranked where r > 100 and r <= 1100),
+labelled as (select * from ranked where r <= 100), predicted as (select * from ranked where r > 100),
 st as (select stratum, count(*) as n, avg(y) as my, coalesce(var_samp(y), 0) as vy, avg(yhat) as mx, coalesce(var_samp(yhat), 0) as vx, coalesce(covar_samp(y, yhat), 0) as cxy from labelled group by 1),
 ss as (select stratum, count(*) as n, avg(y) as my, coalesce(var_samp(y), 0) as vy, avg(score) as mx, coalesce(var_samp(score), 0) as vx, coalesce(covar_samp(y, score), 0) as cxy from labelled group by 1),
 px as (select stratum, count(*) as pn, avg(yhat) as pm, coalesce(var_samp(yhat), 0) as pv from predicted group by 1),
@@ -47,18 +47,19 @@ def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.groupBy(F.concat_ws("_", "l_returnflag", "l_linestatus").alias("stratum")).agg((F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double") / 1e6).alias("area"))
 
 
-def ranked(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
-    """The rows with the smallest keys of each stratum, numbered (a group limit: each task keeps ``most`` rows a stratum)."""
-    keyed = population(spark, sf_dir).withColumn("k", key(7, "id"))
-    return keyed.withColumn("r", F.row_number().over(Window.partitionBy("stratum").orderBy("k", "id"))).filter(F.col("r") <= most)
+def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return population(spark, sf_dir).withColumn("k", key(7, "id"))
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked(spark, sf_dir, LABELLED)
+    """The rows with the smallest keys of each stratum, numbered (a group limit: each task keeps that many rows a stratum)."""
+    return keyed(spark, sf_dir).withColumn("r", F.row_number().over(Window.partitionBy("stratum").orderBy("k", "id"))).filter(F.col("r") <= LABELLED)
 
 
 def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked(spark, sf_dir, LABELLED + PREDICTED).filter(F.col("r") > LABELLED)
+    """Every row that is not labelled: those beyond the last labelled key of their stratum, in one scan without a sort."""
+    last = labelled(spark, sf_dir).groupBy("stratum").agg(F.max(F.struct("k", "id")).alias("last"))
+    return keyed(spark, sf_dir).join(last, "stratum").filter(F.struct("k", "id") > F.col("last")).drop("last")  # one row a stratum
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
