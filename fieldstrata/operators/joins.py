@@ -63,36 +63,29 @@ def impute_by_fold(df: DataFrame, fold: str, value: str) -> DataFrame:
     return df.join(means, fold).withColumn(value, F.coalesce(value, "m_")).drop("m_")
 
 
-def nearest_reference(df: DataFrame, reference: DataFrame, ident: str, vector: str, most: int = 50_000) -> DataFrame:
-    """The smallest cosine distance from each row to any reference row.
+def nearest_reference(df: DataFrame, reference: DataFrame, ident: str, vector: str, most: int = 4096) -> DataFrame:
+    """The smallest cosine distance from each row to any reference row; no rows if there is no reference.
 
-    The reference travels to the tasks in blocks of at most ``most`` vectors; each block is one pass of matrix
-    products over the rows, and the blocks' minima are combined by id.
+    Rows and references are dealt into blocks of about ``most`` vectors; each pair of blocks is one matrix product in one
+    task, and the blocks' minima are combined by id. The work is rows times references.
     """
     import numpy as np
 
-    rows = reference.select(vector).toLocalIterator()
-    out, block = None, []
-
-    def one(block: list) -> DataFrame:
-        r = np.array(block, np.float64)
-        r /= np.maximum(np.linalg.norm(r, axis=1, keepdims=True), 1e-12)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                if len(b):
-                    x = np.array(b[vector].tolist(), np.float64)
-                    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                    yield pd.DataFrame({ident: b[ident], "distance": 1 - (x @ r.T).max(axis=1)})
-
-        return df.select(ident, vector).mapInPandas(run, f"{ident} {dict(df.dtypes)[ident]}, distance double")
-
-    for row in rows:
-        block.append(row[0])
-        if len(block) >= most:
-            out, block = (one(block) if out is None else out.union(one(block))), []
-    if block or out is None:
-        out = one(block) if out is None else out.union(one(block))
+    rows, refs = (max(1, -(-x.count() // most)) for x in (df, reference))
+    dealt = lambda x, n, name: x.withColumn(name, F.pmod(F.xxhash64(vector), F.lit(n)).cast("int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = dealt(df.select(ident, vector), rows, "row_block").withColumn("ref_block", every(refs))
+    right = dealt(reference.select(vector), refs, "ref_block").withColumn("row_block", every(rows))
+
+    def nearest(x: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(r):
+            return pd.DataFrame({ident: [], "distance": []})
+        a, b = (np.array(t[vector].tolist(), np.float64) for t in (x, r))
+        a, b = (t / np.maximum(np.linalg.norm(t, axis=1, keepdims=True), 1e-12) for t in (a, b))
+        return pd.DataFrame({ident: x[ident].to_numpy(), "distance": 1 - (a @ b.T).max(axis=1)})
+
+    keys = ("row_block", "ref_block")
+    out = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(nearest, f"{ident} {dict(df.dtypes)[ident]}, distance double")
     return out.groupBy(ident).agg(F.min("distance").alias("distance"))
 
 

@@ -226,10 +226,10 @@ def c6(spark, d):
     return BisectingKMeans(k=8, seed=1).fit(e).transform(e).groupBy("prediction").agg(F.count("*").alias("n"))
 
 
-@query("c7_novelty", "with n as (select vec_id, label, min(1 - list_dot_product(q, r) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(r, r)))) as dist from (select vec_id, label, embedding::double[] as q from embeddings where vec_id >= 30), (select embedding::double[] as r from embeddings where vec_id < 30) group by 1, 2) select label, round(quantile_cont(dist, 0.9), 6) as p90, round(avg(dist), 6) as mean from n group by 1")
+@query("c7_novelty", "with n as (select vec_id, label, min(1 - list_dot_product(q, r) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(r, r)))) as dist from (select vec_id, label, embedding::double[] as q from embeddings where label <> 0), (select embedding::double[] as r from embeddings where label = 0) group by 1, 2) select label, round(quantile_cont(dist, 0.9), 6) as p90, round(avg(dist), 6) as mean from n group by 1")
 def c7(spark, d):
     e = read(spark, d, "embeddings")
-    n = J.nearest_reference(e.filter("vec_id >= 30"), e.filter("vec_id < 30"), "vec_id", "embedding")
+    n = J.nearest_reference(e.filter("label <> 0"), e.filter("label = 0"), "vec_id", "embedding")
     return n.join(e.select("vec_id", "label"), "vec_id").groupBy("label").agg(F.percentile("distance", F.lit(0.9)).alias("p90"), F.avg("distance").alias("mean"))
 
 

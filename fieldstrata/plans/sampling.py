@@ -65,12 +65,12 @@ def w9(spark, d):
     return W.year_spread(li, "l_suppkey", "dim", "l_quantity")
 
 
-_TRAJ = "tr as (select vec_id % 60 as plot, vec_id // 60 as year, embedding::double[] as v from embeddings where vec_id < 300), pd as (select a.plot, a.year as ya, b.year as yb, 1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) as dist from tr a join tr b using (plot)), rw as (select plot, ya, sum(dist) as total from pd group by 1, 2)"
+_TRAJ = "tr as (select vec_id // 5 as plot, vec_id % 5 as year, embedding::double[] as v from embeddings), pd as (select a.plot, a.year as ya, b.year as yb, 1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) as dist from tr a join tr b using (plot)), rw as (select plot, ya, sum(dist) as total from pd group by 1, 2)"
 
 
 @query("w10_loo_medoid", f"with {_TRAJ}, c as (select pd.plot, pd.yb as year, pd.ya, pd.dist, row_number() over (partition by pd.plot, pd.yb order by round(total - dist, 12), pd.ya) as rn from pd join rw on rw.plot = pd.plot and rw.ya = pd.ya where pd.ya <> pd.yb) select plot, year, round(dist, 6) as anomaly from c where rn = 1")
 def w10(spark, d):
-    e = read(spark, d, "embeddings").filter("vec_id < 300").select((F.col("vec_id") % 60).alias("plot"), F.floor(F.col("vec_id") / 60).alias("year"), "embedding")
+    e = read(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 5).alias("plot"), (F.col("vec_id") % 5).alias("year"), "embedding")
     return W.loo_medoid(e, "plot", "year", "embedding")
 
 
@@ -333,10 +333,10 @@ def j12(spark, d):
     return J.impute_by_fold(t, "fold", "v").groupBy("fold").agg(F.round(F.avg("v"), 4).alias("m"))
 
 
-@query("j13_nearest_reference", "select vec_id, round(min(1 - list_dot_product(q, r) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(r, r)))), 6) as distance from (select vec_id, embedding::double[] as q from embeddings where vec_id >= 40), (select embedding::double[] as r from embeddings where vec_id < 40) group by 1")
+@query("j13_nearest_reference", "select vec_id, round(min(1 - list_dot_product(q, r) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(r, r)))), 6) as distance from (select vec_id, embedding::double[] as q from embeddings where label <> 0), (select embedding::double[] as r from embeddings where label = 0) group by 1")
 def j13(spark, d):
     e = read(spark, d, "embeddings")
-    return J.nearest_reference(e.filter("vec_id >= 40"), e.filter("vec_id < 40"), "vec_id", "embedding")
+    return J.nearest_reference(e.filter("label <> 0"), e.filter("label = 0"), "vec_id", "embedding")
 
 
 @query("j16_radius", "select a.s_suppkey, count(*) as n from supplier a join supplier b on sqrt((a.s_acctbal - b.s_acctbal) ** 2 + (a.s_nationkey - b.s_nationkey) ** 2) <= 300 and a.s_suppkey <> b.s_suppkey group by 1")

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators.materialise import own_dir
+from ..operators.materialise import shared_dir
 from ..sources import tables as T
 from ..streaming import label_stream as L
 from .registry import query, read
@@ -14,7 +14,7 @@ from .roles import READINGS, readings
 
 
 def scratch(spark) -> str:
-    return f"{(spark.conf.get('spark.checkpoint.dir', '') or own_dir()).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def submissions(spark, d):
