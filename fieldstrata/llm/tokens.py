@@ -10,63 +10,29 @@ import numpy as np
 SPECIAL = "<|endoftext|>"
 
 
-class PieceEncoder:
-    """Encode texts by pieces between single spaces.
+class Encoder:
+    """Ids of whole texts, without special tokens added. The merge ranks do it for all texts but those that spell the
+    special token, which only the tokenizer file knows."""
 
-    The pre-tokenizer never lets a token cross from a non-space into a following space, so a text whose single spaces
-    each stand between two non-spaces is encoded piece by piece (a space and what follows it up to the next space)
-    with the same ids as the whole. Pieces repeat a lot and are kept in a bounded dict. Other texts (runs of white
-    space next to a space, special tokens) are encoded whole.
-    """
-
-    def __init__(self, tokenizer_json: str, ranks_file: str, pattern: str, most: int = 400_000):
+    def __init__(self, tokenizer_json: str, ranks_file: str, pattern: str):
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(tokenizer_json)
+        self.special = Tokenizer.from_file(tokenizer_json)
         with open(ranks_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.pieces = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.most = most
-        self.kept: dict[str, bytes] = _Missing(self)
+        self.ranked = tiktoken.Encoding("ranked", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
         """Ids as uint16 (the vocabulary has under 65,536 entries)."""
         if not text:
             return np.empty(0, np.uint16)
         if SPECIAL in text:
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint16)
-        first, *rest = text.split(" ")
-        if len(self.kept) > self.most:
-            self.kept.clear()
-        try:
-            if first[-1:].isspace():
-                raise _Unsafe
-            head = np.array(self.pieces.encode_ordinary(first), np.uint16).tobytes()
-            return np.frombuffer(head + b"".join(map(self.kept.__getitem__, rest)), np.uint16)
-        except _Unsafe:
-            return np.array(self.pieces.encode_ordinary(text), np.uint16)
-
-
-class _Unsafe(Exception):
-    pass
-
-
-class _Missing(dict):
-    def __init__(self, encoder: PieceEncoder):
-        super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, piece: str) -> bytes:
-        if not piece or piece[0].isspace() or piece[-1].isspace():
-            raise _Unsafe
-        ids = np.array(self.encoder.pieces.encode_ordinary(" " + piece), np.uint16).tobytes()
-        if len(piece) < 64:
-            self[piece] = ids
-        return ids
+            return np.array(self.special.encode(text, add_special_tokens=False).ids, np.uint16)
+        return np.array(self.ranked.encode_ordinary(text), np.uint16)
 
 
-def default_encoder() -> PieceEncoder:
+def default_encoder() -> Encoder:
     import public_tokenizers as P
 
-    return PieceEncoder(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    return Encoder(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
