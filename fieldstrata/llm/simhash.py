@@ -71,12 +71,13 @@ def links(fps: DataFrame, most: int = 32) -> DataFrame:
     """(a, b) between distinct fingerprints (column fp) that differ in at most two bits: all such pairs from cells of at
     most ``most`` fingerprints, and from larger cells pairs that connect the same fingerprints."""
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = fps.repartition(parts, "fp").select("fp", F.explode(_cells("fp")).alias("cell"))
+    spread = F.xxhash64("fp")  # an expression of its own: dealing by fp itself would count as done and be coalesced
+    placed = fps.repartition(parts, spread).select("fp", F.explode(_cells("fp")).alias("cell"))
     sizes = placed.groupBy("cell").count().filter("count > 1")
     placed = staged(placed.join(sizes, "cell"), "cells")
     few = placed.filter(F.col("count") <= most)
     pairs = few.select("cell", F.col("fp").alias("a")).join(few.select("cell", F.col("fp").alias("b")), "cell").filter("a < b and bit_count(a ^ b) <= 2").select("a", "b")
-    many = placed.filter(F.col("count") > most).select("fp").distinct()
+    many = placed.filter(F.col("count") > most).select("fp").distinct().repartition(parts, spread)
     flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i)) for i in range(64)])
     near = many.select("fp", F.explode(flips).alias("key"))
     low = near.groupBy("key").agg(F.min("fp").alias("low"), F.count("*").alias("n")).filter("n > 1").drop("n")
