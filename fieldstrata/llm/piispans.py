@@ -1,12 +1,13 @@
 """Personal data by weak supervision: labelers vote on candidate spans, EM weighs them, a span classifier decides.
 
-Candidates are the base matches (email, ip, card, phone; they always stay) and looser ones of the same kinds: mail
+Candidates are the base matches (email, ip, card, phone; they always stay), looser ones of the same kinds (mail
 addresses written with " at " and " dot ", digit groups that look like cards or phone numbers but fail the base rule,
-dotted quads with a part over 255. Regular-expression, gazetteer and context labelers each vote for (1), against (0) or
+dotted quads with a part over 255) and secrets: values given to a name such as token or password, and long runs that
+mix letters and digits. Regular-expression, gazetteer and context labelers each vote for (1), against (0) or
 abstain (-1) on every candidate. Votes are counted by pattern over all documents; the pattern table is bounded (three to
 the power of the labelers, for each kind), so expectation-maximisation for the labelers' reliabilities runs on it
-alone. Its posteriors, with shape features of the spans, train a logistic classifier, whose verdict adds looser
-candidates that overlap no base span.
+alone. Its posteriors, with shape features of the spans on a bounded grid, train a logistic classifier over the counts of
+all candidates, whose verdict adds candidates that overlap no span taken before (a secret may contain one).
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import column, doc_columns, rows_of, staged, texts
 
 KINDS = ("email", "ip", "card", "phone")
+EVERY = (*KINDS, "secret")
 #: The base patterns (fixed values).
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -31,17 +33,23 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: Looser patterns.
-SPELT = re.compile(r"(?<![\w.])[\w.+-]{2,40} ?[\[(]at[\])] ?[\w-]{2,40}(?: ?[\[(]dot[\])] ?[a-z]{2,10}){1,3}(?!\w)|(?<![\w.])[\w.+-]{2,40} at [\w-]{2,40}(?: dot [a-z]{2,10}){1,3}(?!\w)", re.I)
+SPELT = re.compile(r"(?<![\w.])[\w.+-]{2,} ?[\[(]at[\])] ?[\w-]{2,40}(?: ?[\[(]dot[\])] ?[a-z]{2,10}){1,3}(?!\w)|(?<![\w.])[\w.+-]{2,40} at [\w-]{2,40}(?: dot [a-z]{2,10}){1,3}(?!\w)", re.I)
 LOCAL_PHONE = re.compile(r"(?<![\w+.(-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![\w.-])")
+ASSIGNED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credentials?)[\"']?\s*(?:[:=]|\bis\b)\s*[\"']?([A-Za-z0-9_+/=.!@#$%^&*-]{8,})")
+GIVEN = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|key|auth|bearer|credentials?)[\"']?\s*(?:[:=]|\bis\b)\s*[\"']?")
+MIXED = re.compile(r"[A-Za-z0-9_+/=-]{20,}")
 #: Gazetteers (fixed values).
 DOMAIN_ENDS = frozenset("com org net edu gov io co de fr es uk eu info biz".split())
 CARD_STARTS = ("34", "37", "4", "51", "52", "53", "54", "55", "60", "65", "35", "30", "36", "38", "22")
 COUNTRY_CODES = ("1", "33", "34", "44", "49", "39", "31", "41", "43", "61", "81", "86", "91", "55", "52", "7")
+KEY_STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "sk-", "pk_", "xox", "AIza", "eyJ", "glpat-")
+HEX = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})")
 #: Words that stand near personal data (fixed values).
 CUES = {
     "email": re.compile(r"e-?mail|contact|write|reach|@|adresse|correo", re.I),
     "ip": re.compile(r"\bip\b|host|server|address|login|logged|ping", re.I),
     "card": re.compile(r"card|visa|credit|pay|karte|carte|tarjeta|account", re.I),
+    "secret": re.compile(r"token|secret|passw|pwd|key|auth|bearer|credential|login", re.I),
     "phone": re.compile(r"phone|call|tel\b|mobile|fax|whatsapp|contact|number|anruf|appel", re.I),
 }
 LABELERS = 5
@@ -92,20 +100,42 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, i
     return good, poor
 
 
+def secrets(text: str) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, whether a name is given this value): assigned values, and other long runs of letters and digits."""
+    taken: list[tuple[int, int]] = []
+    for m in ASSIGNED.finditer(text):
+        a, b = m.span(1)
+        while b > a and text[b - 1] in ".!":  # the end of a sentence
+            b -= 1
+        if b - a >= 8:
+            taken.append((a, b))
+            yield a, b, True
+    for m in MIXED.finditer(text):
+        a, b = m.span()
+        run = text[a:b]
+        if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and not any(x < b and a < y for x, y in taken):
+            yield a, b, False
+
+
 def candidates(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     good, poor = base_spans(text)
     if "at" in text and ("dot" in text or "DOT" in text):
         poor += [(*m.span(), "email") for m in SPELT.finditer(text)]
     poor += [(*m.span(), "phone") for m in LOCAL_PHONE.finditer(text)]
-    return good, poor
+    return good, poor + [(a, b, "secret") for a, b, _ in secrets(text)]
 
 
 def votes(text: str, start: int, end: int, kind: str, strict: bool) -> tuple[int, ...]:
     """Of the labelers: strict pattern, loose shape, gazetteer, context, surroundings. 1 for, 0 against, -1 abstains."""
     span, digits = text[start:end], only_digits(text[start:end])
-    shape = {"email": "@" in span or "dot" in span.lower(), "ip": all(len(x) <= 3 for x in span.split(".")), "card": len(digits) in (15, 16), "phone": 9 <= len(digits) <= 13}[kind]
+    if kind == "secret":
+        before = text[max(0, start - 60) : start]
+        strict = any(m.end() >= len(before) - 1 for m in GIVEN.finditer(before))
+    shape = {"secret": len(span) >= 16 and len(set(span)) >= 8 and bool(digits) and len(digits) < len(span), "email": "@" in span or "dot" in span.lower(), "ip": all(len(x) <= 3 for x in span.split(".")), "card": len(digits) in (15, 16), "phone": 9 <= len(digits) <= 13}[kind]
     if kind == "email":
         known = 1 if span.lower().rsplit(".", 1)[-1].rsplit(" ", 1)[-1].strip("])") in DOMAIN_ENDS else -1
+    elif kind == "secret":
+        known = 1 if span.startswith(KEY_STARTS) or HEX.fullmatch(span) else -1
     elif kind == "card":
         known = int(digits.startswith(CARD_STARTS))
     elif kind == "phone":
@@ -119,11 +149,11 @@ def votes(text: str, start: int, end: int, kind: str, strict: bool) -> tuple[int
 
 
 def shape_features(span: str, kind: str) -> list[float]:
-    digits = len(only_digits(span))
-    return [1.0, *(float(kind == k) for k in KINDS), len(span) / 20, digits / 10, digits / max(len(span), 1), sum(c in " -.()" for c in span) / 5, float(span[:1] == "+"), float("@" in span), len(set(span)) / 10]
+    """Each on a grid of few values, so that the table of distinct features is bounded whatever the number of spans."""
+    digits, few = len(only_digits(span)), lambda n, step, most: min(n // step, most) / most
+    return [1.0, *(float(kind == k) for k in EVERY), few(len(span), 4, 12), few(digits, 2, 10), round(4 * digits / max(len(span), 1)) / 4, few(sum(c in " -.()" for c in span), 1, 4), float(span[:1] == "+"), float("@" in span), few(len(set(span)), 3, 8)]
 
 
-FEATURES = 12 + 2 * LABELERS
 SPAN = "array<struct<start:int,end:int,kind:string,base:boolean,votes:array<tinyint>,shape:array<float>>>"
 
 
@@ -179,47 +209,49 @@ def train(x: np.ndarray, q: np.ndarray, n: np.ndarray, rounds: int = 30) -> np.n
     return w
 
 
-def span_model(found: DataFrame, most: int = 20_000) -> dict[str, np.ndarray]:
-    """Weights by kind. Reliabilities come from the votes of all spans; the classifier is fitted on at most ``most``
-    distinct (votes, shape) rows with their counts, those first by a hash."""
+def span_model(found: DataFrame) -> dict[str, np.ndarray]:
+    """Weights by kind. Reliabilities come from the votes of all spans, the classifier from all distinct (votes, shape) rows
+    with their counts; both tables are bounded by the grid of votes and shapes, not by the number of spans."""
     spans = found.select(F.explode("spans").alias("s")).select("s.kind", "s.votes", "s.shape")
-    counts: dict[str, list] = {k: [] for k in KINDS}
-    for r in spans.groupBy("kind", "votes").count().collect():  # at most 3^5 rows a kind
-        counts[r["kind"]].append((tuple(r["votes"]), r["count"]))
-    rows = spans.groupBy("kind", "votes", "shape").count().orderBy(F.xxhash64("kind", "votes", "shape"), "kind").limit(most).collect()
-    rows.sort(key=lambda r: (r["kind"], r["votes"], r["shape"]))
+    rows = sorted(spans.groupBy("kind", "votes", "shape").count().collect(), key=lambda r: (r["kind"], r["votes"], r["shape"]))
     out = {}
-    for k in KINDS:
+    for k in EVERY:
         mine = [r for r in rows if r["kind"] == k]
         if mine:
-            q = posteriors(np.array([r["votes"] for r in mine]), *reliabilities(sorted(counts[k])))
-            out[k] = train(np.array([vector(r["votes"], r["shape"]) for r in mine]), q, np.array([r["count"] for r in mine], np.float64) / max(1, len(mine)))
+            counts: dict[tuple[int, ...], int] = {}
+            for r in mine:
+                counts[tuple(r["votes"])] = counts.get(tuple(r["votes"]), 0) + r["count"]
+            q = posteriors(np.array([r["votes"] for r in mine]), *reliabilities(sorted(counts.items())))
+            n = np.array([r["count"] for r in mine], np.float64)
+            out[k] = train(np.array([vector(r["votes"], r["shape"]) for r in mine]), q, n / n.mean())
     return out
 
 
 def listed(spans: list[tuple[int, int, str]]) -> str:
-    return ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1])))
+    return ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], EVERY.index(s[2]), s[1])))
 
 
-def find(docs: DataFrame, threshold: float = 0.5, most: int = 20_000) -> DataFrame:
-    """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_added.
+def find(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_added, n_secret.
 
-    spans lists kind:start:end of all spans by start, then kind (code points, end exclusive): every base span, and looser
-    candidates that the classifier takes and that overlap no other span. base_sha256 is the digest of the same list of
+    spans lists kind:start:end of all spans by start, then kind (code points, end exclusive): every base span, and
+    candidates that the classifier takes and that overlap no span taken before, where a secret may contain spans. Ties go
+    to the earlier candidate: looser kinds in their order in the text, then secrets. base_sha256 is the digest of the same list of
     the base spans alone. Null and empty texts have none. Null and repeated doc_ids are rows like any others; other
     columns are ignored; an empty table gives no rows.
     """
     found = staged(voted(docs), "spans")
-    weights = span_model(found, most)
+    weights = span_model(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, digests, lists, added = [], [], [], []
+            counts, digests, lists, added, hidden = [], [], [], [], []
             for spans in column(batch, "spans").to_pylist():
                 base = [(s["start"], s["end"], s["kind"]) for s in spans if s["base"]]
                 every = list(base)
                 for s in spans:
-                    if not s["base"] and not any(a < s["end"] and s["start"] < b for a, b, _ in every):
+                    inside = lambda a, b: s["kind"] == "secret" and s["start"] <= a and b <= s["end"]  # noqa: B023, E731
+                    if not s["base"] and not any(a < s["end"] and s["start"] < b and not inside(a, b) for a, b, _ in every):
                         z = float(vector(s["votes"], s["shape"]) @ weights[s["kind"]]) if s["kind"] in weights else -1.0
                         if z >= math.log(threshold / (1 - threshold)):
                             every.append((s["start"], s["end"], s["kind"]))
@@ -227,7 +259,8 @@ def find(docs: DataFrame, threshold: float = 0.5, most: int = 20_000) -> DataFra
                 digests.append(hashlib.sha256(listed(base).encode()).hexdigest())
                 lists.append(listed(every))
                 added.append(len(every) - len(base))
+                hidden.append(sum(k == "secret" for _, _, k in every))
             cols = list(zip(*counts, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *(pa.array(c, pa.int64()) for c in cols), pa.array(digests, pa.string()), pa.array(lists, pa.string()), pa.array(added, pa.int64())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *(pa.array(c, pa.int64()) for c in cols), pa.array(digests, pa.string()), pa.array(lists, pa.string()), pa.array(added, pa.int64()), pa.array(hidden, pa.int64())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "n_secret"])
 
-    return found.mapInArrow(run, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint")
+    return found.mapInArrow(run, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint, n_secret bigint")
