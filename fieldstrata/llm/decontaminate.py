@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import column, doc_columns, rows_of, texts
 
+#: Items of fewer characters are found without edits and as whole words only.
+SHORT = 20
 MATCHES = "doc_id bigint, item_id bigint, distance int, start int, end int"
 
 
@@ -73,11 +75,16 @@ def myers(item: str, text: str, k: int, eq: dict[str, int] | None = None) -> tup
     return best
 
 
+def _joined(a: str, b: str) -> bool:
+    """Whether two neighbouring characters belong to one word; scripts written without spaces have no such words."""
+    return a.isalnum() and b.isalnum() and max(a, b) < "\u2e80"
+
+
 class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float):
         import ahocorasick
 
-        self.items = [(i, t, int(rate * len(t))) for i, t in items]
+        self.items = [(i, t, int(rate * len(t)) if len(t) >= SHORT else 0) for i, t in items]
         self.masks: dict[tuple[int, int, int], dict[str, int]] = {}
         at: dict[str, list[tuple[int, list[tuple[int, int, int]]]]] = {}
         for n, (_, t, k) in enumerate(self.items):
@@ -111,6 +118,8 @@ class Matcher:
             first = end + 1 - size
             for n, path in where:
                 offset = path[0][0]
+                if len(self.items[n][1]) < SHORT and (_joined(text[first - 1 : first], text[first]) or _joined(text[end], text[end + 1 : end + 2])):
+                    continue  # a short item is found as whole words only
                 if first - offset not in diagonals.get(n, ()) and self.parents_match(text, n, first - offset, path):
                     diagonals.setdefault(n, set()).add(first - offset)
         for n, found in diagonals.items():
@@ -146,11 +155,11 @@ def shards(items: DataFrame, least: int, most_chars: int) -> Iterator[list[tuple
     yield now
 
 
-def matches(docs: DataFrame, items: DataFrame, rate: float = 0.1, least: int = 20, most_chars: int = 4_000_000) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, rate: float = 0.1, least: int = 1, most_chars: int = 4_000_000) -> DataFrame:
     """(doc_id, item_id, distance, start, end): each item within its error budget of a part of each document.
 
-    start and end are places in the document's normal form. Items of under ``least`` characters, null and empty ones are
-    left out. Null and empty texts match nothing. Repeated doc_ids and items give rows of their own (equal rows of
+    start and end are places in the document's normal form. Items of under 20 characters are found only without
+    edits and as whole words; those of under ``least`` characters, null and empty ones are left out. Null and empty texts match nothing. Repeated doc_ids and items give rows of their own (equal rows of
     items count once); null ids stay null. Other columns are ignored.
     """
     docs, out = doc_columns(docs, "doc_id", "text"), None
@@ -169,8 +178,12 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = 0.1, least: int = 2
     return out
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, rate: float = 0.1, least: int = 20, most_chars: int = 4_000_000) -> DataFrame:
-    """The rows of docs (all their columns) that contain no item within its error budget."""
+def decontaminated(docs: DataFrame, items: DataFrame, rate: float = 0.1, least: int = 1, most_chars: int = 4_000_000) -> DataFrame:
+    """The rows of docs (all their columns) that contain no item within its error budget (``matches``).
+
+    Null and empty texts contain none and stay; null and repeated doc_ids are rows like any others; empty tables change
+    nothing.
+    """
     for shard in shards(items, least, most_chars):
 
         def keep(batches: Iterator[pa.RecordBatch], shard: list = shard) -> Iterator[pa.RecordBatch]:

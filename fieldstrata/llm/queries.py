@@ -61,5 +61,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_pii, op4_decontamination, op5_suffix_array, op6_simhash, op7_quality_rules, op8_quality_classifier, op9_substring_dedup, op10_toxicity)}
 
 
+#: Words of a text (runs of anything but ASCII white space) and its lines that have a word.
+_WORDS = "list_filter(regexp_split_to_array(t, '[ \\t\\n\\x0b\\x0c\\r]+'), lambda x: x <> '')"
+_LINES = "list_filter(string_split(t, chr(10)), lambda x: not regexp_full_match(x, '[ \\t\\n\\x0b\\x0c\\r]*'))"
+
+OP7 = f"""with d as (select doc_id, coalesce(text, '') as t from documents),
+w as (select doc_id, t, {_WORDS} as w, {_LINES} as l from d),
+c as (select *, len(w) as n, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as symbols, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as chars, len(l) - len(list_distinct(l)) as dup from w),
+g as (select doc_id, i, array_to_string(w[i:i + 4], ' ') as s from (select doc_id, w, unnest(range(1, n - 3)) as i from c)),
+r as (select doc_id, count(distinct i + k) as repeated from (select doc_id, i, count(*) over (partition by doc_id, s) as times from g) x, (select unnest(range(0, 5)) as k) y where times > 1 group by 1),
+f as (select c.*, coalesce(repeated, 0) as repeated, n < 10 or 100 * coalesce(repeated, 0) > 20 * n as failed from c left join r using (doc_id)),
+o as (select *, not (chars between 2 * n and 20 * n) or symbols > 0.1 * n or length(t) - length(replace(t, '!', '')) > 0.2 * n
+ or len(list_filter(w, lambda x: strlen(x) > 1 and regexp_matches(x, '[A-Z]') and not regexp_matches(x, '[a-z]'))) > 0.5 * n or dup > 0.5 * greatest(len(l), 1)
+ or (n >= 50 and len(list_distinct(w)) < 0.05 * least(n, 1000)) or length(t) - length(regexp_replace(t, '[0-9]', '', 'g')) > 0.5 * greatest(strlen(t), 1)
+ or len(list_filter(l, lambda x: regexp_matches(x, '(\\.\\.\\.|…)[ \\t\\n\\x0b\\x0c\\r]*$'))) > 0.3 * greatest(len(l), 1) or len(list_filter(l, lambda x: regexp_matches(x, '^[ \\t\\n\\x0b\\x0c\\r]*[-*•]'))) > 0.9 * greatest(len(l), 1) as refused from f)
+select doc_id, n::bigint as n_words, chars::bigint as word_chars, symbols::bigint as n_symbols, dup::bigint as n_dup_lines, repeated::bigint as n_repeat_words, failed as base_failed, not failed and not refused as kept from o"""
+
+OP9 = f"""with d as (select doc_id, coalesce(text, '') as t from documents), w as (select doc_id, {_WORDS} as w from d),
+g as (select doc_id, i, array_to_string(w[i:i + 19], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from w)),
+later as (select doc_id, i from (select doc_id, i, row_number() over (partition by s order by doc_id, i) as rn from g) where rn > 1),
+gone as (select doc_id, list(distinct i + k) as gone from later, (select unnest(range(0, 20)) as k) y group by 1),
+k as (select doc_id, w, list_transform(list_filter(range(1, len(w) + 1), lambda i: gone is null or not list_contains(gone, i)), lambda i: w[i]) as kept from w left join gone using (doc_id))
+select doc_id, len(w)::bigint as n_words, (len(w) - len(kept))::bigint as n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from k"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_quality_rules": OP7, "op9_substring_dedup": OP9}
