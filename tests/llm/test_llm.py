@@ -242,9 +242,36 @@ def test_line_dedup_bands_meet(spark):
         x, y = ({t[i : i + 5] for i in range(len(t) - 4)} for t in (a, b))
         if 0.8 <= len(x & y) / len(x | y) < 0.9:
             pairs.append((a, b))
+    assert bands_met(spark, pairs) >= 0.98 * len(pairs)
+
+
+def bands_met(spark, pairs):
+    """How many of the pairs have a band in common."""
     rows = spark.createDataFrame([(2 * i + k, x) for i, p in enumerate(pairs) for k, x in enumerate(p)], "doc_id long, text string")
-    bands = {r["first"] >> 32: {(i, r[f"b{i}"]) for i in range(linededup.BANDS)} for r in ((lambda d: {**d, "first": int(d["first"])})(r.asDict()) for r in linededup.signed(linededup.lines_of(rows, 1)).collect())}
-    assert sum(bool(bands[2 * i] & bands[2 * i + 1]) for i in range(len(pairs))) >= 0.98 * len(pairs)
+    bands = {}
+    for r in linededup.signed(linededup.lines_of(rows, 1)).collect():
+        bands.setdefault(int(r["first"]) >> 32, set()).update((r["kind"], i, r[f"b{i}"]) for i in range(linededup.PARTS) if r[f"b{i}"] is not None)
+    return sum(bool(bands[2 * i] & bands[2 * i + 1]) for i in range(len(pairs)))
+
+
+@pytest.mark.parametrize("words, swap", [(24, False), (32, False), (60, False), (120, False), (32, True), (60, True), (120, True)])
+def test_line_dedup_bands_meet_in_long_lines(spark, words, swap):
+    """Lines on both sides of the border between the two kinds of signature, and longer ones; edits of characters and of words."""
+    rng = random.Random(words)
+    pairs = []
+    while len(pairs) < 300:
+        word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+        a = [word() for _ in range(words)]
+        b = list(a) if swap else list(" ".join(a))
+        for _ in range(rng.randint(1, max(2, words // 5))):
+            b[rng.randrange(len(b))] = word() if swap else rng.choice("qrstuvwxyz")
+        a, b = " ".join(a), (" " if swap else "").join(b)
+        x, y = ({t[i : i + 5] for i in range(len(t) - 4)} for t in (a, b))
+        if 0.8 <= len(x & y) / len(x | y) < 0.9:
+            pairs.append((a, b))
+    met = bands_met(spark, pairs)
+    print("bands", words, swap, met / len(pairs))
+    assert met >= 0.95 * len(pairs)
 
 
 def test_line_dedup_short_lines(spark):
