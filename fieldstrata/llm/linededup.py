@@ -38,7 +38,8 @@ def lines_of(docs: DataFrame, least: int) -> DataFrame:
     """(doc_id, line_no, line, h, g): the hashes are null for blank lines and those of under ``least`` characters."""
     cut = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
     line = cut.select("doc_id", "line_no", F.lower(F.trim("raw")).alias("line"))
-    long = (F.char_length("line") >= least) & F.col("line").rlike(r"(?U)\S")
+    written = F.ascii("line").between(33, 126) | F.col("line").rlike(r"(?U)\S")  # most lines need no pattern
+    long = (F.char_length("line") >= least) & written
     return line.select("doc_id", "line_no", "line", F.when(long, F.xxhash64("line")).alias("h"), F.when(long, F.hash("line")).alias("g"))
 
 
@@ -104,15 +105,16 @@ def jaccard(a: str, b: str) -> F.Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def possible(a: str, b: str, threshold: float) -> F.Column:
-    """Whether two lines (and their ``starts``, columns named with a 1) may have that Jaccard similarity.
+def possible(threshold: float) -> F.Column:
+    """Whether two lines may have that Jaccard similarity, by their numbers of shingles m and n and starting shingles x and y.
 
-    Every starting shingle of only one line is a shingle of only that line: with p of them in a and q in b, a line of m
-    shingles shares at most m - p, and together they have at least m + q. This bound drops most unrelated lines.
+    Every starting shingle of only one line is a shingle of only that line: with p of them in the first and q in the
+    second, the lines share at most m - p and n - q shingles and have at least m + q and n + p together. Hashes that
+    collide only make p and q smaller, which leaves the bound true.
     """
-    p, q = F.size(F.array_except(f"{a}1", f"{b}1")), F.size(F.array_except(f"{b}1", f"{a}1"))
-    m, n = (F.greatest(F.char_length(x) - (VERIFY - 1), F.lit(1)) for x in (a, b))
-    return (m - p >= (m + q) * threshold - 1e-9) & (n - q >= (n + p) * threshold - 1e-9)
+    p, q = F.size(F.array_except("x", "y")), F.size(F.array_except("y", "x"))
+    sizes = F.least("m", "n") >= F.greatest("m", "n") * threshold - 1e-9
+    return sizes & (F.least(F.col("m") - p, F.col("n") - q) >= F.greatest(F.col("m") + q, F.col("n") + p) * threshold - 1e-9)
 
 
 def _bucketed(nodes: DataFrame) -> DataFrame:
@@ -177,20 +179,25 @@ def _across(rarest: DataFrame, crowd: DataFrame, threshold: float) -> DataFrame:
 
 
 def candidate_lines(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, line) of every node in a pair, from its first place."""
+    """(node, line, size, begins) of every node in a pair, from its first place: size is its number of shingles, begins
+    holds hashes of its ``starts``. Both are found once a line, however many pairs it is in."""
     doc, no = unpacked("first")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "h", "g", "first"), "node")
     by_doc = wanted.select("node", "h", "g", doc.alias("id"), no.alias("line_no")).groupBy("id").agg(F.collect_list(F.struct("line_no", "node", "h", "g")).alias("at"))
     found = docs.join(by_doc.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id"))).select(F.split("text", "\n", -1).alias("all"), F.explode("at").alias("at"))
     line = found.select("at.node", "at.h", "at.g", F.lower(F.trim(F.get("all", F.col("at.line_no")))).alias("line")).filter("hash(line) = g and xxhash64(line) = h")
-    return line.select("node", "line").dropDuplicates(["node"])
+    once = line.select("node", "line").dropDuplicates(["node"])
+    return once.select("node", "line", F.size(shingles("line")).alias("size"), F.transform(starts("line"), lambda x: F.hash(x)).alias("begins"))
 
 
 def verified(lines: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose lines have at least that Jaccard similarity."""
-    both = pairs.join(lines.select(F.col("node").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
-    near = both.withColumns({"x1": starts("x"), "y1": starts("y")}).filter(possible("x", "y", threshold))
-    sets = near.select("a", "b", shingles("x").alias("x"), shingles("y").alias("y"))
+    """The pairs (a, b) of nodes whose lines have at least that Jaccard similarity; only those that ``possible`` leaves
+    meet their texts."""
+    left = lines.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("begins").alias("x"))
+    right = lines.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("begins").alias("y"))
+    near = pairs.join(left, "a").join(right, "b").filter(possible(threshold)).select("a", "b")
+    both = near.join(lines.select(F.col("node").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
+    sets = both.select("a", "b", shingles("x").alias("x"), shingles("y").alias("y"))
     return sets.filter(jaccard("x", "y") >= threshold).select("a", "b")
 
 
@@ -204,7 +211,7 @@ def line_classes(docs: DataFrame, threshold: float = 0.8, least: int = 1, few: i
     """
     docs = doc_columns(docs, "doc_id", "text")
     bands = [F.min(F.when(F.col("kind") == "ab".index(name[0]), F.col(f"b{name[1:]}"))).alias(name) for name in BAND_NAMES]
-    nodes = signed(lines_of(docs, least).filter("h is not null")).groupBy("h", "g").agg(F.min("first").alias("first"), *bands)
+    nodes = signed(lines_of(docs, least).filter("h is not null")).groupBy("h", "g").agg(F.min("first").alias("first"), (F.min("first") < F.max("first")).alias("again"), *bands)
     nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers are fixed once written
     buckets = staged(_bucketed(nodes), "buckets")
     pairs = staged(buckets.filter("node <> center").select(*_ordered("node", "center")).distinct(), "pairs")
@@ -229,7 +236,8 @@ def line_classes(docs: DataFrame, threshold: float = 0.8, least: int = 1, few: i
             named = components(links)
     firsts = staged(named.join(nodes.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("class_first")), "firsts")
     merged = named.join(firsts, "component").select("node", "class_first")
-    firsts = nodes.select("node", "h", "g", "first").join(merged, "node", "left").select("h", "g", F.coalesce("class_first", "first").alias("first"))
+    # a line that is alone in its node and class is its own first
+    firsts = nodes.select("node", "h", "g", "first", "again").join(merged, "node", "left").filter("again or class_first is not null").select("h", "g", F.coalesce("class_first", "first").alias("first"))
     out = lines_of(docs, least).drop("line").join(firsts, ["h", "g"], "left").withColumn("first", F.coalesce("first", packed("doc_id", "line_no")))
     doc, no = unpacked("first")
     return out.select("doc_id", "line_no", doc.alias("class_doc_id"), no.alias("class_line_no"), (F.col("h").isNull() | (F.col("first") == packed("doc_id", "line_no"))).alias("kept"))
