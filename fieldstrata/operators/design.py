@@ -316,3 +316,22 @@ def bootstrap_summary(draws: DataFrame, value: str, point: float | None = None)
     """Percentile interval (linear), standard error and, given a point estimate, bias."""
     out = draws.agg(F.count("*").alias("draws"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("se"), F.percentile(value, F.lit(0.025)).alias("lo"), F.percentile(value, F.lit(0.5)).alias("median"), F.percentile(value, F.lit(0.975)).alias("hi"))
     return out if point is None else out.withColumn("bias", F.col("mean") - point)
+
+
+def composition_report(composition: DataFrame, a: int, b: int) -> DataFrame:
+    """(item, est, se): areas of two classes, their shares of both together, and the shares' difference.
+
+    The shares add up to 1, so the difference has twice the standard error of either.
+    """
+    one, two = (share(composition, [k], [a, b]).select("est", "se") for k in (a, b))
+    area = composition.filter(F.col("k").isin(a, b) & (F.col("k") == F.col("l"))).select(F.concat(F.lit("area_"), "k").alias("item"), F.col("p_k").alias("est"), F.sqrt(F.greatest(F.lit(0.0), "cov")).alias("se"))
+    named = [s.select(F.lit(f"share_{k}").alias("item"), "est", "se") for k, s in ((a, one), (b, two))]
+    difference = one.crossJoin(F.broadcast(two.select(F.col("est").alias("other")))).select(F.lit(f"share_{a}_minus_{b}").alias("item"), (F.col("est") - F.col("other")).alias("est"), (2 * F.col("se")).alias("se"))  # one row each
+    return area.unionByName(named[0]).unionByName(named[1]).unionByName(difference)
+
+
+def cumulative_share(df: DataFrame, value: str, ident: str) -> DataFrame:
+    """Each row's share of the total and the share of it and all larger ones; for tables of one row a stratum."""
+    down = Window.orderBy(F.desc(value), ident).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = F.sum(value).over(everything())
+    return df.withColumn("share", F.try_divide(value, total)).withColumn("cumulative", F.try_divide(F.sum(value).over(down), total))

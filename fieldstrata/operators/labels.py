@@ -131,3 +131,20 @@ def status(readings: DataFrame) -> DataFrame:
     """Per batch: rows, distinct points, changed calls and a map of rows by expert."""
     by = readings.groupBy("batch_id", "expert_id").agg(F.count("*").alias("c"), F.sum(F.col("transition").isNotNull().cast("long")).alias("called"))
     return by.groupBy("batch_id").agg(F.sum("c").alias("n"), F.sum("called").alias("called"), F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "expert_id", F.col("c").cast("string")))), ",").alias("experts"))
+
+
+def symmetric_difference(a: str, b: str) -> Column:
+    """What only one of two sets holds, sorted."""
+    return F.array_sort(F.array_union(F.array_except(a, b), F.array_except(b, a)))
+
+
+def pool_arms(years: DataFrame, plot: str, year: str, state: str) -> DataFrame:
+    """(arm, plot, year, state): each plot's first and last year, and all years of plots whose state never changes.
+
+    Plots seen in one year only are in neither arm.
+    """
+    g = years.groupBy(plot).agg(F.min(year).alias("a_"), F.max(year).alias("b_"), F.min(state).alias("lo_"), F.max(state).alias("hi_"))
+    rows = years.join(g.filter("a_ < b_"), plot)
+    ends, stable = (F.col(year) == F.col("a_")) | (F.col(year) == F.col("b_")), F.col("lo_") == F.col("hi_")
+    arms = F.array_compact(F.array(F.when(ends, "endpoints"), F.when(stable, "stable_years")))
+    return rows.select(F.explode(arms).alias("arm"), plot, year, state)

@@ -6,6 +6,7 @@ sweep is one pass.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -208,3 +209,61 @@ def vendi(df: DataFrame, vector: str, by: list[str] | None = None) -> DataFrame:
 
     keyed = cells if by else cells.withColumn("k_", F.lit(0))
     return keyed.groupBy(*(by or ["k_"])).applyInPandas(solve, head + "n long, vendi double")  # a matrix of one dimension squared a group
+
+
+def binomial_upper_column(k: str, n: str, delta: float) -> Column:
+    """``binomial_upper`` of two columns, for tables of one row a group."""
+
+    @F.pandas_udf("double")
+    def upper(ks: pd.Series, ns: pd.Series) -> pd.Series:
+        return pd.Series([binomial_upper(int(a), int(b), delta) for a, b in zip(ks, ns, strict=True)], dtype="float64")
+
+    return upper(k, n)
+
+
+def stable_modes(conf: DataFrame, stable: int, other: int) -> DataFrame:
+    """Macro F1 over the classes in the truth, and where rows of two stable classes go: kept, to the other, to a change."""
+    n = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    is_, was, pred = F.col("truth") == stable, F.col("truth") == other, F.col("pred")
+    modes = conf.agg(
+        F.try_divide(n(is_ & (pred == stable)), n(is_)).alias("stable_recall"), F.try_divide(n(is_ & (pred == other)), n(is_)).alias("stable_as_other"),
+        F.try_divide(n(is_ & ~pred.isin(stable, other)), n(is_)).alias("stable_as_change"), F.try_divide(n(was & (pred == stable)), n(was)).alias("other_as_stable"),
+    )
+    return per_class(conf).filter("support > 0").agg(F.avg("f1").alias("macro_f1")).crossJoin(F.broadcast(modes))  # one row each
+
+
+def shares_by_axis(df: DataFrame, axes: dict[str, Column]) -> DataFrame:
+    """(axis, value, n, share): rows by each axis's values, and their share of the axis; null values count to no axis."""
+    cells = F.array(*[F.struct(F.lit(a).alias("axis"), c.alias("value")) for a, c in axes.items()])
+    g = df.select(F.explode(cells).alias("e")).select("e.*").filter("value is not null").groupBy("axis", "value").agg(F.count("*").alias("n"))
+    return g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("axis")))  # a row a value
+
+
+def conformal_sets(calibration: DataFrame, rows: DataFrame, scores: str, truth: str, classes: int, alpha: float) -> DataFrame:
+    """rows with size and covered of their conformal sets, by one threshold a class from the calibration rows.
+
+    ``scores`` is an array with a score for each class. A class with too few calibration rows has an infinite threshold
+    and is in every set; ``infinite`` counts such classes.
+    """
+    own = calibration.select(F.col(truth).alias("k_"), F.get(scores, F.col(truth)).alias("s_"))
+    q = split_quantile(own, "s_", alpha, ["k_"])
+    inf = F.lit(float("inf"))
+    wide = q.agg(F.array(*[F.coalesce(F.max(F.when(F.col("k_") == k, F.col("q"))), inf) for k in range(classes)]).alias("q_"))
+    inside = lambda k: F.get(scores, k) <= F.get("q_", k)
+    size = sum((inside(F.lit(k)).cast("int") for k in range(1, classes)), inside(F.lit(0)).cast("int"))
+    out = rows.crossJoin(F.broadcast(wide))  # one row
+    return out.withColumns({"size": size, "covered": inside(F.col(truth)), "infinite": F.size(F.filter("q_", lambda x: x == inf))}).drop("q_")
+
+
+def confident_class(df: DataFrame, probs: list[str], truth: str) -> DataFrame:
+    """df with ``confident``: the likeliest class among those at or above their mean probability on their own rows, or null.
+
+    Pruning drops rows whose confident class differs from the given one; relabelling takes it where there is one.
+    """
+    from ..functions.scalar import argmax
+
+    own = F.get(F.array(*probs), F.col(truth))
+    thr = df.agg(*[F.avg(F.when(F.col(truth) == i, own)).alias(f"t{i}_") for i in range(len(probs))])
+    sure = F.array(*[F.when(F.col(p) >= F.col(f"t{i}_"), F.col(p)).otherwise(-1.0) for i, p in enumerate(probs)])
+    out = df.crossJoin(F.broadcast(thr)).withColumn("confident", F.when(F.array_max(sure) >= 0, argmax(sure)))  # one row
+    return out.drop(*[f"t{i}_" for i in range(len(probs))])

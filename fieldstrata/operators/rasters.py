@@ -116,3 +116,12 @@ def pick_seasonal(scenes: DataFrame, by: list[str], season: str, cloud: str, ide
     first = F.row_number().over(Window.partitionBy(*by, season).orderBy(cloud, ident))
     s = scenes.withColumn("again_", (first > 1).cast("int"))
     return s.withColumn("rn_", F.row_number().over(Window.partitionBy(*by).orderBy("again_", cloud, ident))).filter(F.col("rn_") <= per_group).drop("again_", "rn_")
+
+
+def forward_edges(px: DataFrame) -> DataFrame:
+    """Each valid pixel with whether its right and its lower neighbour are valid and differ."""
+    out = px.filter(F.col("code") != NODATA)
+    for name, line, along in (("right_differs", "row", "col"), ("lower_differs", "col", "row")):
+        w = Window.partitionBy("map_id", line).orderBy(along)
+        out = out.withColumn(name, F.coalesce((F.lead(along).over(w) == F.col(along) + 1) & (F.lead("code").over(w) != F.col("code")), F.lit(False)))
+    return out

@@ -91,3 +91,54 @@ def legend(spark: SparkSession, path: str) -> DataFrame:
     line = spark.read.text(path)
     tags = line.select(F.explode(F.regexp_extract_all("value", F.lit(r"(<[^>]*value=[^>]*>)"), F.lit(1))).alias("tag"))
     return tags.select(F.regexp_extract("tag", r'\bvalue="(\d+)"', 1).cast("int").alias("code"), F.regexp_extract("tag", r'\blabel="([^"]*)"', 1).alias("label")).filter("code is not null and label <> ''").distinct()
+
+
+def cached_areas(spark: SparkSession, path: str, cache: str) -> DataFrame:
+    """(id, m2) per stratum id from CSV shards of (stratum, area); written to ``cache`` once and read from there afterwards.
+
+    Blank fields are skipped, strata without area left out.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(cache)
+    if not at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at):
+        raw = spark.read.option("header", True).csv(path)
+        raw = raw.toDF(*[c.lstrip("\ufeff").strip() for c in raw.columns])
+        a = raw.select(F.expr("try_cast(try_cast(trim(stratum) as double) as int)").alias("id"), F.expr("try_cast(trim(area) as double)").alias("m2")).dropna()
+        a.groupBy("id").agg(F.sum("m2").alias("m2")).filter("m2 > 0").write.option("header", True).csv(cache)
+    return spark.read.schema("id int, m2 double").option("header", True).csv(cache)
+
+
+#: Names that a point's columns may have, by preference; columns of other names go to ``meta``.
+POINT_NAMES = {"id": ["id", "point_id", "plot_id", "cell_id"], "lon": ["lon", "longitude", "x"], "lat": ["lat", "latitude", "y"]}
+POINT_TEXT = ["channel", "prior", "conformal_set", "primary_expert", "reference"]
+
+
+def normalised_points(raw: DataFrame, batch: str, order: str) -> DataFrame:
+    """Points of one batch as (id, lon, lat, channel, ..., rank, score, cell_km, meta), whatever names their file used.
+
+    A point without id is named by the batch and its place in the order, from 0; rank is the place from 1 where it is
+    blank or no number, cell_km then 5, score null. Points without finite coordinates go. Null unknown fields are not kept.
+    """
+    from ..operators.windows import numbered
+
+    have = [c for c in raw.columns if c != order]
+    first = lambda names: F.coalesce(*[F.col(c).cast("string") for c in names if c in have], F.lit(None).cast("string"))
+    number = lambda c: F.when(~F.isnan(F.expr(f"try_cast({c} as double)")) & (F.abs(F.expr(f"try_cast({c} as double)")) < float("inf")), F.expr(f"try_cast({c} as double)"))
+    given = lambda c: number(c) if c in have else F.lit(None).cast("double")
+    known = {c for names in POINT_NAMES.values() for c in names} | set(POINT_TEXT) | {"rank", "score", "cell_km"}
+    rest = [c for c in have if c not in known]
+    pairs = F.filter(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in rest]), lambda e: e["value"].isNotNull()) if rest else None
+    meta = F.map_from_entries(pairs) if rest else F.create_map().cast("map<string,string>")
+    place = F.col("place_") - 1
+    named = F.concat(F.lit(batch + "_"), F.lpad(place.cast("string"), 4, "0"))
+    named = F.when(place < 10000, named).otherwise(F.concat(F.lit(batch + "_"), place.cast("string")))
+    p = numbered(raw, [F.col(order)], "place_").withColumns({"lon_": first(POINT_NAMES["lon"]), "lat_": first(POINT_NAMES["lat"])})
+    out = p.select(
+        F.coalesce(first(POINT_NAMES["id"]), named).alias("id"), number("lon_").alias("lon"), number("lat_").alias("lat"), *[first([c]).alias(c) for c in POINT_TEXT],
+        F.coalesce(given("rank"), F.col("place_").cast("double")).alias("rank"), given("score").alias("score"), F.coalesce(given("cell_km"), F.lit(5.0)).alias("cell_km"), meta.alias("meta"),
+    )
+    return out.filter("lon is not null and lat is not null")
+
+
+def migrated(ledger: DataFrame, columns: dict[str, tuple[str, object]]) -> DataFrame:
+    """The ledger with those columns (name: type, default) where it lacks them; a default of None stays null, never 0."""
+    return ledger.select("*", *[F.lit(default).cast(kind).alias(name) for name, (kind, default) in columns.items() if name not in ledger.columns])
