@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytededup, decontaminate, linededup, packing, piispans, qualitymil, qualityrules, simhash, toxicity, worddedup
+from . import aligntokens, bytededup, decontaminate, linededup, packing, piispans, qualitymil, qualityrules, simhash, toxicity, worddedup
 from .common import table
 
 
@@ -57,8 +57,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out(3, 1), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligntokens.alignment(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_pii, op4_decontamination, op5_suffix_array, op6_simhash, op7_quality_rules, op8_quality_classifier, op9_substring_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_pii, op4_decontamination, op5_suffix_array, op6_simhash, op7_quality_rules, op8_quality_classifier, op9_substring_dedup, op10_toxicity, op13_token_alignment)}
 
 
 #: Words of a text (runs of anything but ASCII white space) and its lines that have a word.
