@@ -16,15 +16,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends there, so lost executors cost no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = path or f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs staged with a number for each row, and the number's column: what tells rows of one doc_id apart. The numbers
+    are fixed once written; the column's name is none of docs' own."""
+    name = "row_"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return staged(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
 def unstage(*frames: DataFrame) -> None:
     """Delete staged tables that nothing reads any more."""
     for df in frames:

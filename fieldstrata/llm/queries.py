@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import aligntokens, bytededup, decontaminate, linededup, packing, piispans, qualitymil, qualityrules, simhash, toxicity, worddedup
+from . import aligntokens, bytededup, centroids, decontaminate, linededup, packing, piispans, qualitymil, qualityrules, simhash, toxicity, warc, worddedup
 from .common import table
 
 
@@ -57,12 +57,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out(3, 1), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("exact_distances")
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.resolved(warc.write(table(spark, sf_dir, "pages")))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligntokens.alignment(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_pii, op4_decontamination, op5_suffix_array, op6_simhash, op7_quality_rules, op8_quality_classifier, op9_substring_dedup, op10_toxicity, op13_token_alignment)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_pii, op4_decontamination, op5_suffix_array, op6_simhash, op7_quality_rules, op8_quality_classifier, op9_substring_dedup, op10_toxicity, op11_centroids, op12_warc, op13_token_alignment)}
 
 
 #: Words of a text (runs of anything but ASCII white space) and its lines that have a word.
@@ -89,5 +97,29 @@ k as (select doc_id, w, list_transform(list_filter(range(1, len(w) + 1), lambda
 select doc_id, len(w)::bigint as n_words, (len(w) - len(kept))::bigint as n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from k"""
 
 
+
+def _op11(rounds: int = 10) -> str:
+    """Rounds written out: a numbers the vectors with their nearest centroid, c has the centroids."""
+    near = "select vec_id, any_value(x) as x, min({'d': d, 'c': c}) as m from (select v.vec_id, v.x, c.c, list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))::bigint as d from v, c%d c) group by vec_id"
+    sums = "select m.c as c, i, sum(e)::bigint as s, count(*)::bigint as n from (select m, unnest(range(1, 65)) as i, unnest(x) as e from a%d) group by 1, 2"
+    steps = ["""v as materialized (select vec_id, list_transform(embedding, lambda e: floor(1024 * e::double)::bigint) as x, sha256('3:' || vec_id) as h from embeddings
+ where len(embedding) = 64 and len(list_filter(embedding, lambda e: e is not null and isfinite(e))) = 64)""", "c0 as materialized (select row_number() over (order by h) - 1 as c, x from v qualify c < 8)"]
+    for r in range(rounds):
+        steps += [f"a{r} as materialized ({near % r})", f"c{r + 1} as materialized (select c, list((s - (s % n + n) % n) // n order by i) as x from ({sums % r}) group by c union all select c, x from c{r} where c not in (select m.c from a{r}))"]
+    steps.append(f"a{rounds} as materialized ({near % rounds})")
+    return "with " + ",\n".join(steps) + f"""
+select vec_id, m.c::int as cluster, m.d as distance, (sum(m.d) over (partition by m.c))::bigint as cluster_inertia, (sum(m.d) over ())::bigint as inertia, sha256(array_to_string(c.x, ',')) as centroid_sha256
+from a{rounds} a join c{rounds} c on c.c = a.m.c"""
+
+
+#: DuckDB has sha1 but no base32: five bits at a time by place, 20 bytes are 32 letters.
+OP12 = """with p as (select page_id, coalesce(html, '') as t from pages), g as (select *, min(page_id) over (partition by t) as low from p),
+h as (select page_id, low, strlen(t)::bigint as n, sha1(t) as s from g),
+b as (select *, list_aggregate(list_transform(range(1, 41), lambda i: lpad(bin(instr('0123456789abcdef', s[i]) - 1), 4, '0')), 'string_agg', '') as bits from h)
+select page_id, n as payload_bytes, list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+ list_sum(list_transform(range(0, 5), lambda k: substr(bits, 5 * i + k + 1, 1)::int * (16 >> k)))::int + 1, 1)), 'string_agg', '') as payload_digest,
+case when page_id = low then 'response' else 'revisit' end as record_type, case when page_id <> low then low end as refers_to from b"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": OP7, "op9_substring_dedup": OP9}
+    return {"op7_quality_rules": OP7, "op9_substring_dedup": OP9, "op11_centroids": _op11(), "op12_warc": OP12}
