@@ -12,6 +12,9 @@
 4. Candidates are verified by the exact Jaccard similarity of all their 5-character shingles.
 5. Distributed union-find (``components``) groups verified lines; the first line of each group by (doc_id, line number) stays.
 
+A line's place is its row's number in a staged copy of the table and its line number, so rows that share a doc_id or have
+none are told apart, and no step gathers the rows of one doc_id.
+
 The text of candidates crosses the network on its way to verification; all else moves hashes.
 """
 
@@ -20,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns, staged
+from .common import doc_columns, numbered, staged
 from .components import components
 
 BAND_ROWS, PARTS, VERIFY, SHORT = 4, 12, 5, 200
@@ -35,12 +38,14 @@ STARTS = rf"(?=( [^ ].{{{VERIFY - 2}}})) "
 
 
 def lines_of(docs: DataFrame, least: int) -> DataFrame:
-    """(doc_id, line_no, line, h, g): the hashes are null for blank lines and those of under ``least`` characters."""
-    cut = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
-    line = cut.select("doc_id", "line_no", F.lower(F.trim("raw")).alias("line"))
+    """(row, doc_id, line_no, line, h, g): the hashes are null for blank lines and those of under ``least`` characters.
+    Without a column ``row`` in docs, doc_id alone tells rows apart."""
+    docs = docs if "row" in docs.columns else docs.withColumn("row", F.lit(0).cast("bigint"))
+    cut = docs.select("row", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
+    line = cut.select("row", "doc_id", "line_no", F.lower(F.trim("raw")).alias("line"))
     written = F.ascii("line").between(33, 126) | F.col("line").rlike(r"(?U)\S")  # most lines need no pattern
     long = (F.char_length("line") >= least) & written
-    return line.select("doc_id", "line_no", "line", F.when(long, F.xxhash64("line")).alias("h"), F.when(long, F.hash("line")).alias("g"))
+    return line.select("row", "doc_id", "line_no", "line", F.when(long, F.xxhash64("line")).alias("h"), F.when(long, F.hash("line")).alias("g"))
 
 
 #: (doc_id, line_no) as one number in the same order, null doc_ids first; and back.
@@ -58,12 +63,12 @@ def unpacked(first: str) -> tuple[F.Column, F.Column]:
 
 
 def _ring(rows: DataFrame) -> DataFrame:
-    """rows (h, g, first, kind, s) with band values b0, b1, ... in place of the hashes s.
+    """rows (h, g, first, row, kind, s) with band values b0, b1, ... in place of the hashes s.
 
     Sorted, the hashes lie on a circle, cut into eight parts for kind 0 and sixteen for kind 1, of which twelve count. A
     band is the first four hashes from a part's beginning on; an empty part gives none (it would repeat the next one's).
     """
-    keys = ("h", "g", "first", "kind")
+    keys = ("h", "g", "first", "row", "kind")
     rows = rows.select(*keys, F.sort_array("s").alias("s"))
     rows = rows.select(*keys, F.expr("transform(s, x -> shiftright(x, 61 - kind))").alias("part"), F.concat("s", F.slice("s", 1, BAND_ROWS)).alias("around"))
     rows = rows.select(*keys, "around", *[F.array_position("part", F.lit(i - 8).cast("long")).cast("int").alias(f"at{i}") for i in range(PARTS)])
@@ -76,18 +81,18 @@ def starts(line: str) -> F.Column:
 
 
 def signed(lines: DataFrame) -> DataFrame:
-    """(h, g, first, kind, b0, b1, ...): band values of every line.
+    """(h, g, first, row, kind, b0, b1, ...): band values of every line.
 
     Lines of under ``SHORT`` characters draw them from all their shingles (kind 0), others from the seven characters at the
     beginnings of words (kind 1), which fewer unrelated lines share; within a fifth below ``SHORT``, as much as two lines
     of one class can differ, from both. A line of few such beginnings for its length (saying the same again and again)
     draws them from all its shingles, too.
     """
-    rows = lines.select("h", "g", packed("doc_id", "line_no").alias("first"), "line", F.char_length("line").alias("n"))
+    rows = lines.select("h", "g", packed("doc_id", "line_no").alias("first"), "row", "line", F.char_length("line").alias("n"))
     words = F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(ANCHOR), F.lit(1)), lambda x: F.xxhash64(x)))
     rows = rows.withColumn("words", F.when(F.col("n") >= SHORT * 0.8, words))
     every = F.when((F.col("n") < SHORT) | (F.size("words") < 30), shingles("line"))
-    return _ring(rows.select("h", "g", "first", F.posexplode_outer(F.array(every, F.col("words"))).alias("kind", "s")).filter("s is not null"))
+    return _ring(rows.select("h", "g", "first", "row", F.posexplode_outer(F.array(every, F.col("words"))).alias("kind", "s")).filter("s is not null"))
 
 
 def shingles(line: str) -> F.Column:
@@ -181,13 +186,12 @@ def _across(rarest: DataFrame, crowd: DataFrame, threshold: float) -> DataFrame:
 def candidate_lines(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(node, line, size, begins) of every node in a pair, from its first place: size is its number of shingles, begins
     holds hashes of its ``starts``. Both are found once a line, however many pairs it is in."""
-    doc, no = unpacked("first")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "h", "g", "first"), "node")
-    by_doc = wanted.select("node", "h", "g", doc.alias("id"), no.alias("line_no")).groupBy("id").agg(F.collect_list(F.struct("line_no", "node", "h", "g")).alias("at"))
-    found = docs.join(by_doc.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id"))).select(F.split("text", "\n", -1).alias("all"), F.explode("at").alias("at"))
-    line = found.select("at.node", "at.h", "at.g", F.lower(F.trim(F.get("all", F.col("at.line_no")))).alias("line")).filter("hash(line) = g and xxhash64(line) = h")
-    once = line.select("node", "line").dropDuplicates(["node"])
-    return once.select("node", "line", F.size(shingles("line")).alias("size"), F.transform(starts("line"), lambda x: F.hash(x)).alias("begins"))
+    _, no = unpacked("first")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first", "row"), "node")
+    by_row = wanted.select("node", "row", no.alias("line_no")).groupBy("row").agg(F.collect_list(F.struct("line_no", "node")).alias("at"))
+    found = docs.select("row", "text").join(by_row.hint("shuffle_hash"), "row").select(F.split("text", "\n", -1).alias("all"), F.explode("at").alias("at"))
+    line = found.select("at.node", F.lower(F.trim(F.get("all", F.col("at.line_no")))).alias("line"))
+    return line.select("node", "line", F.size(shingles("line")).alias("size"), F.transform(starts("line"), lambda x: F.hash(x)).alias("begins"))
 
 
 def verified(lines: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
@@ -205,13 +209,18 @@ def line_classes(docs: DataFrame, threshold: float = 0.8, least: int = 1, few: i
     """One row per line: doc_id, line_no, class_doc_id, class_line_no (the class's first line), kept.
 
     Blank lines (and those of under ``least`` characters) are kept, each in a class of its own.
-    Null text has no lines; an empty text has one blank line. A doc_id names one document: rows that repeat it take
-    part with all their lines, and equal lines at the same place of such rows are decided alike; null is a doc_id like
-    any other and comes first. Columns other than doc_id and text are ignored. An empty table gives no rows.
+    Null text has no lines; an empty text has one blank line. Every row is a document of its own, whatever its doc_id:
+    null comes first, and of equal lines at the same line number of rows that share a doc_id one is first, so repeated
+    rows keep their lines once. Columns other than doc_id and text are ignored. An empty table gives no rows.
     """
-    docs = doc_columns(docs, "doc_id", "text")
+    docs, row = numbered(doc_columns(docs, "doc_id", "text"))
+    return _classes(docs.withColumnRenamed(row, "row"), threshold, least, few, rounds).drop("row")
+
+
+def _classes(docs: DataFrame, threshold: float = 0.8, least: int = 1, few: int = 16, rounds: int = 3) -> DataFrame:
+    """``line_classes`` of documents with row numbers (row, doc_id, text), which its rows carry as well."""
     bands = [F.min(F.when(F.col("kind") == "ab".index(name[0]), F.col(f"b{name[1:]}"))).alias(name) for name in BAND_NAMES]
-    nodes = signed(lines_of(docs, least).filter("h is not null")).groupBy("h", "g").agg(F.min("first").alias("first"), (F.min("first") < F.max("first")).alias("again"), *bands)
+    nodes = signed(lines_of(docs, least).filter("h is not null")).groupBy("h", "g").agg(F.min("first").alias("first"), F.min_by("row", "first").alias("row"), ((F.min("first") < F.max("first")) | (F.min("row") < F.max("row"))).alias("again"), *bands)
     nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers are fixed once written
     buckets = staged(_bucketed(nodes), "buckets")
     pairs = staged(buckets.filter("node <> center").select(*_ordered("node", "center")).distinct(), "pairs")
@@ -234,23 +243,26 @@ def line_classes(docs: DataFrame, threshold: float = 0.8, least: int = 1, few: i
         if not more.isEmpty():
             links = links.union(more)
             named = components(links)
-    firsts = staged(named.join(nodes.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("class_first")), "firsts")
-    merged = named.join(firsts, "component").select("node", "class_first")
+    firsts = staged(named.join(nodes.select("node", "first", "row"), "node").groupBy("component").agg(F.min("first").alias("class_first"), F.min_by("row", "first").alias("class_row")), "firsts")
+    merged = named.join(firsts, "component").select("node", "class_first", "class_row")
     # a line that is alone in its node and class is its own first
-    firsts = nodes.select("node", "h", "g", "first", "again").join(merged, "node", "left").filter("again or class_first is not null").select("h", "g", F.coalesce("class_first", "first").alias("first"))
-    out = lines_of(docs, least).drop("line").join(firsts, ["h", "g"], "left").withColumn("first", F.coalesce("first", packed("doc_id", "line_no")))
+    firsts = nodes.select("node", "h", "g", "first", "row", "again").join(merged, "node", "left").filter("again or class_first is not null").select("h", "g", F.coalesce("class_first", "first").alias("first"), F.coalesce("class_row", "row").alias("first_row"))
+    place = packed("doc_id", "line_no")
+    out = lines_of(docs, least).drop("line").join(firsts, ["h", "g"], "left").withColumn("own", F.col("first").isNull() | ((F.col("first") == place) & (F.col("first_row") == F.col("row")))).withColumn("first", F.coalesce("first", place))
     doc, no = unpacked("first")
-    return out.select("doc_id", "line_no", doc.alias("class_doc_id"), no.alias("class_line_no"), (F.col("h").isNull() | (F.col("first") == packed("doc_id", "line_no"))).alias("kept"))
+    return out.select("row", "doc_id", "line_no", doc.alias("class_doc_id"), no.alias("class_line_no"), F.col("own").alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """The documents (all their columns) without the lines that ``line_classes`` does not keep.
 
     A document all of whose judged lines go, and which has no other words, goes too; documents that were null or blank
-    stay as they are.
+    stay as they are. Lines go from the row they are in, so null and repeated doc_ids lose nothing that is not repeated.
     """
-    classes = line_classes(docs, **options)
-    drop = classes.filter("not kept").groupBy(F.col("doc_id").alias("dropped_id_")).agg(F.collect_set("line_no").alias("dropped_lines_"))
-    whole = docs.join(drop, F.col("doc_id").eqNullSafe(F.col("dropped_id_")), "left")
-    text = F.when(F.col("dropped_lines_").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("dropped_lines_", i)), "\n"))
-    return whole.withColumn("text", text).filter("dropped_lines_ is null or trim(text) <> ''").select(*docs.columns)
+    columns = docs.columns
+    docs, row = numbered(docs)
+    classes = _classes(docs.select(F.col(row).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), **options)
+    drop = classes.filter("not kept").groupBy(F.col("row").alias(row)).agg(F.collect_set("line_no").alias(f"{row}lines"))
+    whole, gone = docs.join(drop, row, "left"), F.col(f"{row}lines")
+    text = F.when(gone.isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n"))
+    return whole.withColumn("text", text).filter(gone.isNull() | (F.trim("text") != "")).select(*columns)

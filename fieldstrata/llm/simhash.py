@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns, rows_of, staged, texts
+from .common import column, doc_columns, numbered, rows_of, staged, texts
 from .components import components
 
 SEGMENTS, SEGMENT_BITS = 16, 4
@@ -47,14 +47,17 @@ def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): fp as a signed long. Null and wordless texts have fingerprint zero."""
+    """docs (doc_id, text, any further columns) with fp, the fingerprint as a signed long, in place of the text. Null and
+    wordless texts have fingerprint zero."""
+    others = [(n, kind) for n, kind in docs.dtypes if n != "text"]
+    names = [n for n, _ in others]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
             fp = np.array([fingerprint(t, words, seed) for t in texts(batch)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(column(batch, n) for n in names), pa.array(fp)], names=[*names, "fp"])
 
-    return doc_columns(docs, "doc_id", "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.mapInArrow(run, ", ".join(f"`{n}` {kind}" for n, kind in [*others, ("fp", "bigint")]))
 
 
 def _cells(column: str) -> F.Column:
@@ -92,20 +95,29 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFram
     without words (null and empty ones too) have fingerprint zero, linked like any other. A null doc_id takes part as a
     row, but is no component's name unless all are null. An empty table gives no rows; other columns are ignored.
     """
-    fps = staged(fingerprints(docs, words, seed), "fingerprints")
+    fps = staged(fingerprints(doc_columns(docs, "doc_id", "text"), words, seed), "fingerprints")
+    of = _groups(fps).select("fp", "component_id")
+    return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _groups(fps: DataFrame) -> DataFrame:
+    """(fp, root, component_id): of each distinct fingerprint its group (the smallest fingerprint) and the group's smallest doc_id."""
     groups = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
     linked = components(links(groups.select("fp")))
     named = staged(groups.join(linked.select(F.col("node").alias("fp"), F.col("component").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "groups")
     smallest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = named.join(smallest, "root").select("fp", "component_id")
-    return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return named.join(smallest, "root").select("fp", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
-    """The rows of docs (all their columns) whose doc_id is the smallest of their group of near copies.
+    """One row (all its columns) of each group of near copies: the one with the smallest doc_id.
 
-    Rows without doc_id go if their group has a named row, and stay otherwise.
+    Rows without doc_id come last; of rows of a group with the same doc_id one stays. Rows of one doc_id (or none) in
+    different groups have nothing to do with each other. Null and empty texts are one group.
     """
-    groups = near_duplicates(docs, words, seed)
-    gone = groups.filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("gone_id_")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id_")), "left_anti")
+    columns = docs.columns
+    docs, row = numbered(docs)
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(row).alias("row"))
+    fps = staged(fingerprints(ids, words, seed), "fingerprints")
+    of = fps.join(_groups(fps).select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first"))
+    return docs.join(of.select(F.col("first.row").alias(row)), row, "left_semi").select(*columns)
