@@ -87,11 +87,12 @@ def normalised_difference(a: Column, b: Column) -> Column:
 
 
 def spectral(blue: Column, green: Column, red: Column, nir: Column, eps: float = 1e-6) -> dict[str, Column]:
-    """Indices of reflectances scaled by 10,000."""
-    b, g, r, n = (c * 1e-4 for c in (blue, green, red, nir))
+    """Indices of reflectances stored as whole numbers of 1/10,000; only evi2 needs that scale."""
+    r, n = red * 1e-4, nir * 1e-4
     return {
-        "ndvi": (n - r) / (n + r + eps), "ndwi": (g - n) / (g + n + eps), "brightness": (b + g + r + n) / 4,
-        "evi2": 2.5 * (n - r) / (n + 2.4 * r + 1), "grvi": (g - r) / (g + r + eps), "bsi": (r + b - n) / (r + b + n + eps), "ci": n / (g + eps) - 1,
+        "ndvi": (nir - red) / (nir + red + eps), "ndwi": (green - nir) / (green + nir + eps), "brightness": (blue + green + red + nir) / 4,
+        "evi2": 2.5 * (n - r) / (n + 2.4 * r + 1), "grvi": (green - red) / (green + red + eps),
+        "bsi": ((red + blue) - (nir + green)) / ((red + blue) + (nir + green) + eps), "ci": (red - blue) / (red + blue + eps),
     }
 
 

@@ -113,20 +113,27 @@ def gini(df: DataFrame, block: str) -> DataFrame:
     return r.agg((2 * F.sum(F.col("i") * F.col("c")) / (F.count("*") * F.sum("c")) - (F.count("*") + 1) / F.count("*")).alias("gini"))
 
 
-def split_quantile(df: DataFrame, score: str, alpha: float, by: list[str] | None = None) -> DataFrame:
-    """Split-conformal threshold: the ceil((n+1)(1-alpha))-th smallest score, infinite where there are too few.
+def weighted_quantiles(counts: DataFrame, score: str, weight: str, alphas: list[float], by: list[str] | None = None) -> DataFrame:
+    """(by, alpha, n, q): split-conformal thresholds of counted scores, for several levels at once.
 
-    Found from counts by score, so the calibration rows are never sorted in one task.
+    q is the ceil((n+1)(1-alpha))-th smallest of the n scores, infinite where there are too few. ``weight`` says how often a
+    row's score occurs; scores are never expanded into rows, nor sorted in one task.
     """
     by = by or []
     from .windows import prefix_sums
 
-    g = df.groupBy(*by, score).agg(F.count("*").alias("c_"))
-    run = prefix_sums(g, by, score, "c_", "b_")
-    n = df.groupBy(*by).agg(F.count("*").alias("n")).withColumn("k", F.ceil(F.round((F.col("n") + 1) * (1 - alpha), 9)))
-    j = run.join(n, by) if by else run.crossJoin(F.broadcast(n))  # one row
-    hit = F.when((F.col("b_") < F.col("k")) & (F.col("b_") + F.col("c_") >= F.col("k")), F.col(score))
-    return j.groupBy(*by).agg(F.first("n").alias("n"), F.coalesce(F.max(hit), F.lit(float("inf"))).alias("q"))
+    run = prefix_sums(counts.groupBy(*by, score).agg(F.sum(weight).alias("c_")), by, score, "c_", "b_")
+    n = run.groupBy(*by).agg(F.sum("c_").alias("n"))
+    level = F.explode(F.array(*[F.struct(F.lit(float(a)).alias("a"), F.ceil(F.round((F.col("n") + 1) * (1 - a), 9)).alias("k")) for a in alphas]))
+    j = (run.join(n, by) if by else run.crossJoin(F.broadcast(n))).withColumn("l_", level)  # one row
+    hit = F.when((F.col("b_") < F.col("l_.k")) & (F.col("b_") + F.col("c_") >= F.col("l_.k")), F.col(score))
+    return j.groupBy(*by, F.col("l_.a").alias("alpha")).agg(F.first("n").alias("n"), F.coalesce(F.max(hit), F.lit(float("inf"))).alias("q"))
+
+
+def split_quantile(df: DataFrame, score: str, alpha: float, by: list[str] | None = None) -> DataFrame:
+    """(by, n, q): the split-conformal threshold of the rows' scores (``weighted_quantiles``)."""
+    by = by or []
+    return weighted_quantiles(df.groupBy(*by, score).agg(F.count("*").alias("w_")), score, "w_", [alpha], by).drop("alpha")
 
 
 def aps_score(probs: list[str], cls: int, u: Column) -> Column:

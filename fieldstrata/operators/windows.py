@@ -34,6 +34,24 @@ def prefix_sums(df: DataFrame, by: list[str], order: str, value: str, name: str)
     return out.withColumn(name, F.col("i_") + F.col("o_")).drop("i_", "o_", "part_")
 
 
+def exact_percentiles(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
+    """One row: n, and q0, q1, ... at the given shares (linear between neighbours), null for an empty table.
+
+    Found from counts by value and their running sum, so no task sorts or holds all rows. Null values are left out.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c_"))
+    run = prefix_sums(counts, [], value, "c_", "b_")
+    n = run.agg(F.coalesce(F.sum("c_"), F.lit(0)).alias("n"))
+    at = lambda k: F.max(F.when((F.col("b_") <= k) & (F.col("b_") + F.col("c_") > k), F.col(value)))
+    aggs = []
+    for i, s in enumerate(shares):
+        place = (F.col("n") - 1) * s
+        aggs += [at(F.floor(place)).alias(f"lo{i}"), at(F.ceil(place)).alias(f"hi{i}"), F.first(place - F.floor(place)).alias(f"w{i}")]
+    found = run.crossJoin(F.broadcast(n)).agg(*aggs)  # one row
+    mix = lambda i: F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"w{i}")
+    return n.crossJoin(found).select("n", *[mix(i).alias(f"q{i}") for i in range(len(shares))])
+
+
 def numbered(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     """1, 2, ... over all rows in that order, by a range partitioning, per-partition numbers and partition offsets."""
     from .materialise import kept

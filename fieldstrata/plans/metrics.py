@@ -272,8 +272,7 @@ def nested_sets(spark, d):
     own = F.round(1 - F.get(P(), F.col("truth")), 6)
     cal = t.select("fold", own.alias("s")).groupBy("fold", "s").agg(F.count("*").alias("n"))
     cal = cal.select(F.explode(F.array(*[F.lit(i) for i in range(5)])).alias("k"), "fold", "s", "n").filter("k <> fold")
-    rows = cal.select(F.col("k").alias("fold"), "s", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i"))
-    q = M.split_quantile(rows, "s", 0.1, ["fold"]).drop("n")
+    q = M.weighted_quantiles(cal.drop("fold").withColumnRenamed("k", "fold"), "s", "n", [0.1], ["fold"]).select("fold", "q")
     return t.join(F.broadcast(q), "fold").select("fold", "truth", sum(((F.round(1 - F.col(p), 6) <= F.col("q")).cast("int") for p in ("p0", "p1", "p2")), F.lit(0)).alias("size"), (own <= F.col("q")).alias("covered"))  # a row for each fold
 
 

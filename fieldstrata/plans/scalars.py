@@ -161,7 +161,7 @@ def p27(spark, d):
     return read(spark, d, "lineitem").groupBy("l_returnflag").agg(F.sum(nd).alias("s"), F.count_if(nd.isNull()).alias("undefined"))
 
 
-@query("p28_spectral", "with t as (select l_returnflag, l_linenumber * 100e-4 as b, l_quantity * 20e-4 as g, l_quantity * 30e-4 as r, l_extendedprice * 0.05e-4 as n from lineitem) select l_returnflag, round(avg((n - r) / (n + r + 1e-6)), 6) as ndvi, round(avg((g - n) / (g + n + 1e-6)), 6) as ndwi, round(avg((b + g + r + n) / 4), 6) as brightness, round(avg(2.5 * (n - r) / (n + 2.4 * r + 1)), 6) as evi2, round(avg((g - r) / (g + r + 1e-6)), 6) as grvi, round(avg((r + b - n) / (r + b + n + 1e-6)), 6) as bsi, round(avg(n / (g + 1e-6) - 1), 6) as ci from t group by 1")
+@query("p28_spectral", "with t as (select l_returnflag, l_linenumber * 100.0::double as b, l_quantity * 20 as g, l_quantity * 30 as r, l_extendedprice * 0.05::double as n from lineitem) select l_returnflag, round(avg((n - r) / (n + r + 1e-6)), 6) as ndvi, round(avg((g - n) / (g + n + 1e-6)), 6) as ndwi, round(avg((b + g + r + n) / 4), 6) as brightness, round(avg(2.5 * (n * 1e-4 - r * 1e-4) / (n * 1e-4 + 2.4 * (r * 1e-4) + 1)), 6) as evi2, round(avg((g - r) / (g + r + 1e-6)), 6) as grvi, round(avg(((r + b) - (n + g)) / ((r + b) + (n + g) + 1e-6)), 6) as bsi, round(avg((r - b) / (r + b + 1e-6)), 6) as ci from t group by 1")
 def p28(spark, d):
     c = S.spectral(F.col("l_linenumber") * 100, F.col("l_quantity") * 20, F.col("l_quantity") * 30, F.col("l_extendedprice") * 0.05)
     return read(spark, d, "lineitem").groupBy("l_returnflag").agg(*[F.avg(v).alias(k) for k, v in c.items()])
