@@ -318,6 +318,16 @@ def bootstrap_summary(draws: DataFrame, value: str, point: float | None = None)
     return out if point is None else out.withColumn("bias", F.col("mean") - point)
 
 
+def bootstrap_interval(df: DataFrame, stratum: str, areas: DataFrame, value: str, seed: int, draws: int, order: list[str], level: float = 0.95) -> DataFrame:
+    """One row: draws, est (the stratified proportion), lo and hi (its percentile interval over stratified resamples)."""
+    w = areas.withColumn("w_", F.col("area") / F.sum("area").over(everything())).select(stratum, "w_")  # a row a stratum
+    weighted = lambda means, by: means.join(w, stratum).groupBy(*by).agg(F.sum(F.col("w_") * F.col("m_")).alias("est"))
+    each = weighted(bootstrap_draws(df, stratum, seed, draws, [value], order).groupBy("draw", stratum).agg(F.avg(value).alias("m_")), ["draw"])
+    tail = (1 - level) / 2
+    bounds = each.agg(F.count("*").alias("draws"), F.percentile("est", F.lit(tail)).alias("lo"), F.percentile("est", F.lit(1 - tail)).alias("hi"))  # a row a draw
+    return bounds.crossJoin(weighted(df.groupBy(stratum).agg(F.avg(value).alias("m_")), [])).select("draws", "est", "lo", "hi")  # one row each
+
+
 def composition_report(composition: DataFrame, a: int, b: int) -> DataFrame:
     """(item, est, se): areas of two classes, their shares of both together, and the shares' difference.
 

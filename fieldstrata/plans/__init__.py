@@ -1,6 +1,6 @@
 """Queries: operators applied to the given tables, with their SQL."""
 
-from . import design, extra, labels, metrics, more, nested, patches, rasters, sampling, scalars, selection, streams  # noqa: F401
+from . import design, extra, labels, metrics, more, nested, patches, pools, rasters, sampling, scalars, selection, streams  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 #: Integer columns of the SQL side that are to be 64 bits wide, as on the Spark side.

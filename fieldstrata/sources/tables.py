@@ -142,3 +142,55 @@ def normalised_points(raw: DataFrame, batch: str, order: str) -> DataFrame:
 def migrated(ledger: DataFrame, columns: dict[str, tuple[str, object]]) -> DataFrame:
     """The ledger with those columns (name: type, default) where it lacks them; a default of None stays null, never 0."""
     return ledger.select("*", *[F.lit(default).cast(kind).alias(name) for name, (kind, default) in columns.items() if name not in ledger.columns])
+
+
+def label_export_csv(rows: DataFrame, path: str) -> None:
+    """Labels as CSV with a header; fields with commas, quotes or line ends are quoted, quotes inside are doubled."""
+    rows.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+
+
+#: Columns of which a label file must have point_id and labelled_at and at least one other.
+LABEL_MARKS = ("transition", "confidence", "is_change", "flags", "seconds_on_point")
+NUMBERS = ("confidence", "is_change", "rank", "score", "lon", "lat", "seconds_on_point")
+
+
+def imported_labels(spark: SparkSession, path: str, order: str = "labelled_at") -> DataFrame:
+    """Rows of an exported label file, typed again: numbers as double, flags as a list, labelled_at as a time.
+
+    A file that does not look like labels is refused. Rows without point or batch are left out, and of rows with the same
+    campaign, batch, point and expert the last by ``order`` stays, as if they had been sent again one by one.
+    """
+    raw = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
+    have = set(raw.columns)
+    if not {"point_id", "labelled_at"} <= have or not have & set(LABEL_MARKS):
+        raise ValueError(f"no label file: {path}")
+    typed = {c: F.expr(f"try_cast(nullif({c}, '') as double)") for c in NUMBERS if c in have}
+    typed["labelled_at"] = F.expr("try_cast(labelled_at as timestamp)")
+    if "flags" in have:
+        typed["flags"] = F.filter(F.transform(F.split(F.coalesce("flags", F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
+    keys = [c for c in ("campaign", "batch_id", "point_id", "expert_id") if c in have]
+    rows = raw.withColumn("order_", F.expr(f"try_cast({order} as double)") if order in have and order != "labelled_at" else F.expr("unix_micros(try_cast(labelled_at as timestamp))").cast("double"))
+    rows = rows.withColumns(typed).filter(F.coalesce("point_id", F.lit("")) != "")
+    rows = rows.filter(F.coalesce("batch_id", F.lit("")) != "") if "batch_id" in have else rows
+    rest = [c for c in raw.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("order_", F.xxhash64(*rest))).alias("r_")).select(*keys, "r_.*")
+
+
+def nested_evidence(points: DataFrame, batch: str, ident: str, values: DataFrame, series: DataFrame, time: str) -> DataFrame:
+    """One row a batch: its points, each with evidence (v: a map from key to value, t: its series in time order), and the
+    batch's schema, written once: the value keys that occur and the series' years.
+
+    ``values`` has ident, key and value (the last by key of equal keys), ``series`` ident, time and numbers. Points without
+    evidence have an empty map and list.
+    """
+    numbers = [c for c in series.columns if c not in (ident, time)]
+    v = values.groupBy(ident, "key").agg(F.max("value").alias("value")).groupBy(ident).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("v"))
+    t = series.groupBy(ident).agg(F.sort_array(F.collect_list(F.struct(time, *numbers))).alias("t"))
+    joined = points.join(v, ident, "left").join(t, ident, "left")
+    filled = F.struct(F.coalesce("v", F.map_from_entries(F.array().cast(f"array<struct<key:{dict(values.dtypes)['key']},value:{dict(values.dtypes)['value']}>>"))).alias("v"), F.coalesce("t", F.array().cast(dict(t.dtypes)["t"])).alias("t"))
+    rest = [c for c in points.columns if c not in (batch, ident)]
+    out = joined.withColumn("evidence", filled)
+    keys = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.map_keys("evidence.v")))))
+    years = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("evidence.t", lambda x: x[time])))))
+    by_id = lambda a, b: F.when(a[ident] < b[ident], -1).when(a[ident] > b[ident], 1).otherwise(0)
+    return out.groupBy(batch).agg(F.array_sort(F.collect_list(F.struct(ident, *rest, "evidence")), by_id).alias("points"), F.struct(keys.alias("keys"), years.alias("years")).alias("evidence_schema"))  # a batch is small
