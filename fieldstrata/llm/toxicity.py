@@ -40,33 +40,54 @@ _OUTER = ".,;:?\"'()[]{}…-_"
 _TAIL = re.compile(r"(?:!+|\*{3,}|\${3,}|#{3,})$")
 
 
+#: Sizes, as powers of two, of the tables of counts: of three characters, the first two, the last two, the middle one, the
+#: last one, and all (one row).
+TABLES = {"tri": 20, "bi": 18, "pair": 18, "ends": 16, "uni": 16, "total": 0}
+
+
+def parts_of(gram: str) -> dict[str, str]:
+    return {"tri": gram, "bi": gram[:2], "pair": gram[1:], "ends": gram[1], "uni": gram[2], "total": ""}
+
+
 class CharModel:
-    """Log probabilities of a character after two others, interpolated with shorter contexts."""
-
-    def __init__(self, counts: dict[str, float]):
-        tri, bi, uni = {}, {}, {}
-        for gram, n in counts.items():
-            tri[gram] = n
-            bi[gram[:2]] = bi.get(gram[:2], 0) + n
-            uni[gram[2]] = uni.get(gram[2], 0) + n
-        pair = {}
-        for gram, n in counts.items():
-            pair[gram[1:]] = pair.get(gram[1:], 0) + n
-        ends = {}
-        for gram, n in pair.items():
-            ends[gram[0]] = ends.get(gram[0], 0) + n
-        self.tri, self.bi, self.pair, self.ends = tri, bi, pair, ends
-        total = sum(uni.values()) or 1.0
-        self.uni, self.floor = {c: n / total for c, n in uni.items()}, 0.1 / (total + 1)
-        self.kept: dict[str, float] = {}
+    """Log probabilities of a character after two others, interpolated with shorter contexts.
+
+    Counts are kept in tables of fixed size, by the hash of the characters, so the model is as large for an alphabet of
+    20,000 signs as for one of 30; contexts of one place in a table share a count.
+    """
+
+    def __init__(self, counts: dict[str, float] | None = None, cells: dict[str, tuple[np.ndarray, np.ndarray]] | None = None):
+        """From counts of three-character grams, or from cells (places and sums of each table)."""
+        if cells is None:
+            sums: dict[str, dict[int, float]] = {t: {} for t in TABLES}
+            for gram, n in (counts or {}).items():
+                for t, part in parts_of(gram).items():
+                    at = xxhash.xxh64_intdigest(part, 42) & ((1 << TABLES[t]) - 1)
+                    sums[t][at] = sums[t].get(at, 0.0) + n
+            cells = {t: (np.array(list(x), np.int64), np.array(list(x.values()), np.float64)) for t, x in sums.items()}
+        self.cells, self.kept, self.tables = cells, {}, None
+
+    def __getstate__(self) -> dict:
+        return {"cells": self.cells, "kept": {}, "tables": None}
+
+    def _count(self, table: str, part: str) -> float:
+        return self.tables[table][xxhash.xxh64_intdigest(part, 42) & ((1 << TABLES[table]) - 1)]
 
     def log(self, a: str, b: str, c: str) -> float:
         gram = a + b + c
         out = self.kept.get(gram)
         if out is None:
-            p1 = self.uni.get(c, 0.0) + self.floor
-            p2 = (self.pair.get(b + c, 0.0) + 2 * p1) / (self.ends.get(b, 0.0) + 2)
-            p3 = (self.tri.get(gram, 0.0) + 2 * p2) / (self.bi.get(a + b, 0.0) + 2)
+            if self.tables is None:
+                self.tables = {}
+                for t, (at, n) in self.cells.items():
+                    self.tables[t] = np.zeros(1 << TABLES[t])
+                    self.tables[t][at] = n
+            if len(self.kept) > 500_000:
+                self.kept.clear()
+            total = self._count("total", "") or 1.0
+            p1 = self._count("uni", c) / total + 0.1 / (total + 1)
+            p2 = (self._count("pair", b + c) + 2 * p1) / (self._count("ends", b) + 2)
+            p3 = (self._count("tri", gram) + 2 * p2) / (self._count("bi", a + b) + 2)
             out = self.kept[gram] = math.log(p3)
         return out
 
@@ -137,33 +158,63 @@ def restored_token(token: str, model: CharModel) -> str:
     return restore(core, model)
 
 
+#: Multipliers of the features "at least 2, 3, 4 different words begin so" (odd, so that none loses a bit).
+_TIMES = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
+
+
 class Scorer:
-    """Feature numbers of whole texts. Tokens repeat a lot; what each stands for is kept in a bounded dict."""
+    """Feature numbers of whole texts. Tokens repeat a lot; what each stands for is kept in a bounded dict.
+
+    ``only``: the features that matter; others are left out, as are beginnings of which no feature matters.
+    """
 
     def __init__(self, model: CharModel, bits: int, only: set[int] | None = None, most: int = 300_000):
-        self.model, self.mask, self.most, self.kept, self.only = model, (1 << bits) - 1, most, {}, only
+        self.model, self.mask, self.most, self.kept, self.only, self.begins = model, (1 << bits) - 1, most, {}, only, None
+        if only is not None:
+            every = np.arange(1 << bits)
+            told = np.isin(every, list(only))
+            for m in _TIMES:
+                told |= np.isin(every * m & self.mask, list(only))
+            self.begins = set(np.flatnonzero(told).tolist())
 
     def token(self, token: str) -> tuple[int, ...]:
+        """The features of the word behind a token."""
+        word, begins = self.split(token)
+        return word + begins
+
+    def split(self, token: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
+        """Of the word behind a token: its own feature, and those of its beginnings."""
         w = restored_token(token, self.model)
-        out = tuple(xxhash.xxh32_intdigest(g) & self.mask for g in (w, "^" + w[:3], "^" + w[:4], "^" + w[:5])) if w else ()
+        number = lambda g: xxhash.xxh32_intdigest(g) & self.mask
+        word, begins = (number(w),) if w else (), tuple({number("^" + w[:n]) for n in (3, 4, 5, 7)}) if w else ()
         if self.only is not None:
-            out = tuple(x for x in out if x in self.only)
+            word, begins = tuple(x for x in word if x in self.only), tuple(x for x in begins if x in self.begins)
         if len(self.kept) < self.most and len(token) < 40:
-            self.kept[token] = out
-        return out
+            self.kept[token] = word, begins
+        return word, begins
 
     def features(self, text: str) -> np.ndarray:
-        """Hashed words and word beginnings of the restored text, each once."""
+        """Hashed words and word beginnings of the restored text, each once; of a beginning that 2, 3 or 4 different
+        tokens share also that it is so common."""
         text = text.lower()
         tokens = set(text.split())
         for m in _APART.finditer(text):
             if any(c.isalpha() for c in m.group()):
                 tokens.update(restore(m.group(), self.model).split())
         ids: set[int] = set()
+        shared: dict[int, int] = {}
         kept = self.kept
         for t in tokens:
-            if x := kept[t] if t in kept else self.token(t):
-                ids.update(x)
+            word, begins = kept[t] if t in kept else self.split(t)
+            ids.update(word)
+            for x in begins:
+                shared[x] = shared.get(x, 0) + 1
+        for x, n in shared.items():
+            ids.add(x)
+            for m in _TIMES[: n - 1]:
+                ids.add(x * m & self.mask)
+        if self.only is not None:
+            ids &= self.only
         return np.sort(np.fromiter(ids, np.int64, len(ids)))
 
 
@@ -228,9 +279,14 @@ def fit(x: list[np.ndarray], y: np.ndarray, odds: np.ndarray, steps: int = 300)
 
 
 def language_model(docs: DataFrame) -> CharModel:
-    """Counted over all documents. The alphabet bounds the number of trigrams; all of them are used."""
-    grams = char_counts(word_counts(docs)).toArrow().sort_by("gram")
-    return CharModel(dict(zip(grams["gram"].to_pylist(), grams["n"].to_pylist(), strict=True)))
+    """Counted over all documents. Spark adds the grams' counts up in the model's tables, whose filled places come to the
+    driver: at most about 1.7 million, whatever the alphabet."""
+    grams = char_counts(word_counts(docs))
+    cut = {"tri": F.col("gram"), "bi": F.substring("gram", 1, 2), "pair": F.substring("gram", 2, 2), "ends": F.substring("gram", 2, 1), "uni": F.substring("gram", 3, 1), "total": F.lit("")}
+    places = F.array(*[F.struct(F.lit(t).alias("t"), F.xxhash64(c).bitwiseAND(F.lit((1 << TABLES[t]) - 1).cast("bigint")).alias("at")) for t, c in cut.items()])
+    sums = grams.select("n", F.explode(places).alias("x")).groupBy("x.t", "x.at").agg(F.sum("n").alias("n")).toArrow().sort_by([("t", "ascending"), ("at", "ascending")])
+    table, at, n = np.array(sums["t"].to_pylist()), sums["at"].to_numpy(), sums["n"].to_numpy()
+    return CharModel(cells={t: (at[table == t], n[table == t]) for t in TABLES})
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, target: str, learn: F.Column, most: int) -> DataFrame:
@@ -315,7 +371,7 @@ def score(docs: DataFrame, labels: DataFrame, learn: F.Column | None = None, mos
     """(doc_id, score) for every row of docs: the probability that it is toxic, from its whole restored text.
 
     Null, empty and wordless texts get the score of a text without features. A doc_id may repeat or be null; each row
-    is scored by itself. Without usable labels every score is low. Other columns are ignored; an empty table gives no
+    is scored by itself; equal texts score alike. Without usable labels every score is low. Other columns are ignored; an empty table gives no
     rows. ``most`` bounds the labelled rows used to fit.
     """
     by = fitted(docs, labels, learn, most, bits)
