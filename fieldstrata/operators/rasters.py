@@ -65,8 +65,9 @@ def high_frequency_ratio(px: DataFrame, codes: list[int]) -> DataFrame:
     return out.groupBy("map_id").agg(F.avg("ratio").alias("high_frequency"))
 
 
-def segments(px: DataFrame, rounds: int = 60) -> DataFrame:
-    """(map_id, code, segment, size) of 4-connected components of equal codes, by the distributed union of neighbour pairs."""
+def segments(px: DataFrame) -> DataFrame:
+    """(map_id, code, segment, size) of 4-connected components of equal codes, by the distributed union of neighbour pairs,
+    repeated until nothing changes."""
     from .materialise import kept
 
     ident = F.col("row") * (1 << 32) + F.col("col")
@@ -77,7 +78,7 @@ def segments(px: DataFrame, rounds: int = 60) -> DataFrame:
         step = p.withColumn("next_", F.when((F.lead(along).over(w) == F.col(along) + 1) & (F.lead("code").over(w) == F.col("code")), F.lead("id").over(w))).filter("next_ is not null").select("map_id", F.col("next_").alias("a"), F.col("id").alias("b"))
         pairs = step if pairs is None else pairs.union(step)
     now, last = kept(pairs), None
-    for _ in range(rounds):
+    while True:
         both = now.union(now.select("map_id", F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("map_id", "a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.join(low, ["map_id", "a"]).filter("b > a").select("map_id", F.col("b").alias("a"), F.col("m").alias("b")).distinct()

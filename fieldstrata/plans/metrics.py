@@ -286,11 +286,14 @@ def m17(spark, d):
     return M.set_metrics(nested_sets(spark, d), "size", "covered", ["truth"])
 
 
-@query("c22_risk_gate")
+@query("c22_risk_gate", f"""with recursive {POSTERIORS}, g as (select unnest(range(1, 20)) / 20.0::double as t), k as (select t, count(*) filter (truth > 0) as n, count(*) filter (truth > 0 and p1 + p2 < t) as f from post, g group by 1),
+b as (select t, n, f, f / n as lo, 1.0::double as hi, 0 as i from k where f < n union all select t, n, f, case when up then mid else lo end, case when up then hi else mid end, i + 1 from (select *, (lo + hi) / 2 as mid,
+ list_sum(list_transform(range(0, f + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln((lo + hi) / 2) + (n - j) * ln(1 - (lo + hi) / 2)))) > 0.1 as up from b where i < 40))
+select max(t) as t from b where i = 40 and (lo + hi) / 2 <= 0.2""")
 def c22(spark, d):
     s = M.sweep(posteriors(spark, d), F.col("truth") > 0, F.col("p1") + F.col("p2"), GRID)
-    rows = [(r["t"], M.binomial_upper(r["fn"], r["tp"] + r["fn"], 0.1)) for r in s.collect()]  # one row per threshold
-    return spark.createDataFrame(rows, "t double, bound double").filter("bound <= 0.2").agg(F.max("t").alias("t"))
+    bounds = s.select("t", "fn", (F.col("tp") + F.col("fn")).alias("n")).withColumn("bound", M.binomial_upper_column("fn", "n", 0.1))  # a row a threshold
+    return bounds.filter("bound <= 0.2").agg(F.max("t").alias("t"))
 
 
 @query("c23_nested_gate", f"with {POSTERIORS}, g as (select unnest(range(1, 20)) / 20.0::double as t), o as (select f.k as fold, t, sum((truth > 0 and p1 + p2 >= t)::int) as tp, sum((truth = 0 and p1 + p2 >= t)::int) as fp, sum((truth > 0 and p1 + p2 < t)::int) as fn from post, g, (select unnest(range(0, 5)) as k) f where post.fold <> f.k group by 1, 2), r as (select *, row_number() over (partition by fold order by round(2 * tp / greatest(2 * tp + fp + fn, 1), 9) desc, t) as rn from o) select fold, round(t, 6) as t from r where rn = 1")

@@ -57,6 +57,46 @@ def st8(spark, d):
     return ran(spark, L.hourly(submissions(spark, d)), "complete").select(F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour"), "n")
 
 
+def in_turn(spark, *tables):
+    """Tables as a stream of one micro-batch each, in that order."""
+    import time
+
+    folder = scratch(spark)
+    for i, t in enumerate(tables):
+        if i:
+            time.sleep(1.1)  # files are taken by their time, which some stores keep in seconds
+        t.coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(tables[0].schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@query("st4_late_corrections", f"with {READINGS} select campaign, batch_id, point_id, expert_id, transition, seq from newest")
+def st4(spark, d):
+    rows = readings(spark, d).select("campaign", "batch_id", "point_id", "expert_id", "transition", "labelled_at", "seq")
+    middle = rows.agg(F.percentile_approx("seq", 0.5).alias("m"))
+    halves = [rows.crossJoin(F.broadcast(middle)).filter(c).drop("m") for c in ("seq > m", "seq <= m")]  # one row; the later half comes first
+    folder = scratch(spark)
+    L.upsert_stream(in_turn(spark, *halves), folder, f"{folder}/checkpoint", merge=L.newest).awaitTermination()
+    return L.current(spark, folder).select("campaign", "batch_id", "point_id", "expert_id", "transition", "seq")
+
+
+@query("st8_closed_hours", "with m as (select max(ts) - interval 2 hour as w from events) select date_trunc('hour', ts)::varchar as hour, count(*) as n from events, m where date_trunc('hour', ts) + interval 1 hour <= w group by 1")
+def st8_closed(spark, d):
+    """Hours that the watermark has closed, from three batches; the third has rows that are far too late, and none counts."""
+    rows = readings(spark, d).select("campaign", "batch_id", "point_id", "expert_id", "transition", F.col("labelled_at").cast("timestamp").alias("labelled_at"), "seq")
+    ends = rows.agg(F.min("labelled_at").alias("a"), F.max("labelled_at").alias("b"))
+    cut = F.col("a") + (F.col("b") - F.col("a")) / 2
+    first, second = (rows.crossJoin(F.broadcast(ends)).filter(c).drop("a", "b") for c in (F.col("labelled_at") < cut, F.col("labelled_at") >= cut))  # one row
+    late = first.withColumn("seq", F.col("seq") + 10**9).crossJoin(F.broadcast(ends)).filter(F.col("labelled_at") < F.col("a") + F.expr("interval 1 day")).drop("a", "b")  # one row
+    folder = scratch(spark)
+
+    def write(batch, number):
+        batch.write.mode("overwrite").parquet(f"{folder}/v={number:08d}")
+
+    hours = L.hourly(in_turn(spark, first, second, late))
+    hours.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/v=*").select(F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour"), "n")
+
+
 @query("st2_stamp", f"with {READINGS} select coalesce(transition, '') as transition, count(*) as n from readings group by 1")
 def st2(spark, d):
     return L.stamped(readings(spark, d).select("transition", "seq")).groupBy("transition").agg(F.count("received_at").alias("n"))

@@ -7,6 +7,8 @@ again after a failure rewrites its own version and nothing else.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -30,13 +32,21 @@ def merged(old: DataFrame | None, new: DataFrame) -> DataFrame:
     return old.join(last.select(*KEY), KEY, "left_anti").unionByName(last, allowMissingColumns=True)
 
 
-def upsert_stream(stream: DataFrame, folder: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Write the upserted table of a stream of submissions to folder/v=<batch>."""
+def newest(old: DataFrame | None, new: DataFrame) -> DataFrame:
+    """Of each key's old and new rows the one with the latest labelled_at (then seq), in whatever order they have come: a
+    late correction wins if it was made later, and an old reading that arrives late does not."""
+    rows = new if old is None else old.unionByName(new, allowMissingColumns=True)
+    return keep_last(rows, KEY, F.desc("labelled_at"), F.desc("seq"))
+
+
+def upsert_stream(stream: DataFrame, folder: str, checkpoint: str, once: bool = True, merge: Callable[[DataFrame | None, DataFrame], DataFrame] = merged) -> StreamingQuery:
+    """Write the upserted table of a stream of submissions to folder/v=<batch>. ``merge``: what stays of old and new rows of
+    one key, the last to arrive (``merged``) or the last to be made (``newest``)."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         old = current(spark, folder, before=number)
-        merged(old, batch).write.mode("overwrite").parquet(f"{folder}/v={number:08d}")
+        merge(old, batch).write.mode("overwrite").parquet(f"{folder}/v={number:08d}")
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
