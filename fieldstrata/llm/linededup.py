@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns, numbered, staged
+from .common import doc_columns, numbered, staged, unstage
 from .components import components
 
 BAND_ROWS, PARTS, VERIFY, SHORT = 4, 12, 5, 200
@@ -122,13 +122,14 @@ def possible(threshold: float) -> F.Column:
     return sizes & (F.least(F.col("m") - p, F.col("n") - q) >= F.greatest(F.col("m") + q, F.col("n") + p) * threshold - 1e-9)
 
 
-def _bucketed(nodes: DataFrame) -> DataFrame:
+def _bucketed(nodes: DataFrame, temp: list[DataFrame]) -> DataFrame:
     """(band, node, n, center) of the buckets of two or more; the centre is the member with the smallest hash.
 
     The buckets' sizes are staged, so that a bucket's rows meet them in a plain join that can split a large one.
     """
     rows = nodes.select("node", F.explode(F.array(*BAND_NAMES)).alias("band")).filter("band is not null")
     sizes = staged(rows.groupBy("band").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node")).alias("center")).filter("n > 1"), "sizes")
+    temp.append(sizes)
     return rows.join(sizes, "band").select("band", "node", "n", "center")
 
 
@@ -136,12 +137,14 @@ def _ordered(a: str, b: str) -> list[F.Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _apart(rows: DataFrame, named: DataFrame) -> DataFrame:
+def _apart(rows: DataFrame, named: DataFrame, temp: list[DataFrame]) -> DataFrame:
     """(band, node, tried, component, largest, outside) of the buckets whose members are in more than one group: each
     member's group, the bucket's largest one and how many members are outside it."""
     of = staged(rows.select("band", "node", "tried").join(named.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node")), "apart")
     sizes = of.groupBy("band", "component").agg(F.count("*").alias("k")).groupBy("band").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), (F.sum("k") - F.max("k")).alias("outside"))
-    return of.join(staged(sizes.filter("outside > 0"), "mixed"), "band")
+    mixed = staged(sizes.filter("outside > 0"), "mixed")
+    temp += [of, mixed]
+    return of.join(mixed, "band")
 
 
 def _few_outside(apart: DataFrame, few: int) -> DataFrame:
@@ -151,33 +154,37 @@ def _few_outside(apart: DataFrame, few: int) -> DataFrame:
     return rows.join(lone, "band").filter("component <> of_other").select(*_ordered("node", "other"))
 
 
-def _hubs(crowd: DataFrame, links: DataFrame) -> DataFrame:
+def _hubs(crowd: DataFrame, links: DataFrame, temp: list[DataFrame]) -> DataFrame:
     """Rows (band, node, tried, component) with the bucket's next centre: of members not tried yet the one with most links."""
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
     rank = F.struct(F.coalesce("degree", F.lit(0)), F.xxhash64("node"))
     centre = staged(crowd.filter("not tried").join(degree, "node", "left").groupBy("band").agg(F.max_by(F.struct("node", "component"), rank).alias("center")), "centres")
+    temp.append(centre)
     return crowd.join(centre, "band").select("band", "node", "tried", "component", F.col("center.node").alias("center"), F.col("center.component").alias("of_center"))
 
 
-def _rarest(lines: DataFrame, crowd: DataFrame, threshold: float) -> DataFrame:
-    """(token, node, size): of each node the rarest shingles, as many as it takes for any two lines of at least that
+def _rarest(lines: DataFrame, crowd: DataFrame, threshold: float, temp: list[DataFrame]) -> DataFrame:
+    """(node, tokens, size): of each node the rarest shingles, as many as it takes for any two lines of at least that
     similarity to have one in common. Shingles of only one node are counted but lead nowhere."""
     sets = staged(crowd.select("node").distinct().join(lines, "node").select("node", shingles("line").alias("s")), "sets")
     tokens = sets.select("node", F.explode("s").alias("token"))
     shared = staged(tokens.groupBy("token").agg(F.count("*").alias("times")).filter("times > 1"), "shared")
+    temp += [sets, shared]
     ranked = tokens.join(shared, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("t"))
     sized = ranked.join(sets.select("node", F.size("s").alias("size")), "node")
     prefix = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1 - (F.col("size") - F.size("t"))
-    return sized.select("node", "size", F.explode(F.slice("t", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int"))).alias("x")).select("x.token", "node", "size")
+    return sized.select("node", F.transform(F.slice("t", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int")), lambda x: x["token"]).alias("tokens"), "size").filter("size(tokens) > 0")
 
 
-def _across(rarest: DataFrame, crowd: DataFrame, threshold: float) -> DataFrame:
+def _across(rarest: DataFrame, crowd: DataFrame, threshold: float, temp: list[DataFrame]) -> DataFrame:
     """(a, b): every pair of nodes of one bucket but different groups that share a rare shingle and whose sizes allow the
     threshold. Of a bucket's nodes with the shingle, those outside their largest group meet all others: no pair within
     that group is listed."""
-    rows = staged(crowd.select("band", "node", "component").join(rarest, "node"), "prefixes")
+    rows = crowd.select("band", "node", "component").join(rarest, "node").select("band", "node", "component", "size", F.explode("tokens").alias("token"))
     groups = rows.groupBy("band", "token", "component").agg(F.count("*").alias("n")).groupBy("band", "token").agg(F.count("*").alias("groups"), F.max_by("component", F.struct("n", "component")).alias("largest")).filter("groups > 1")
-    split = rows.join(staged(groups.select("band", "token", "largest"), "largest"), ["band", "token"])
+    largest = staged(groups.select("band", "token", "largest"), "largest")
+    split = staged(rows.join(largest, ["band", "token"]), "prefixes")  # only shingles that two groups of a bucket share
+    temp += [largest, split]
     minor = split.filter("component <> largest").select("band", "token", F.col("node").alias("other"), F.col("component").alias("of_other"), F.col("size").alias("other_size"))
     both = minor.join(split, ["band", "token"]).filter((F.col("component") != F.col("of_other")) & (F.least("size", "other_size") >= F.greatest("size", "other_size") * threshold - 1e-9))
     return both.select(*_ordered("node", "other")).distinct()
@@ -222,27 +229,40 @@ def _classes(docs: DataFrame, threshold: float = 0.8, least: int = 1, few: int =
     bands = [F.min(F.when(F.col("kind") == "ab".index(name[0]), F.col(f"b{name[1:]}"))).alias(name) for name in BAND_NAMES]
     nodes = signed(lines_of(docs, least).filter("h is not null")).groupBy("h", "g").agg(F.min("first").alias("first"), F.min_by("row", "first").alias("row"), ((F.min("first") < F.max("first")) | (F.min("row") < F.max("row"))).alias("again"), *bands)
     nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers are fixed once written
-    buckets = staged(_bucketed(nodes), "buckets")
+    temp: list[DataFrame] = []  # staged tables that nothing reads once the next one is written
+    buckets = staged(_bucketed(nodes, temp), "buckets")
     pairs = staged(buckets.filter("node <> center").select(*_ordered("node", "center")).distinct(), "pairs")
     lines = staged(candidate_lines(docs, nodes, pairs), "lines")  # later rounds only pair the same lines anew
     links = staged(verified(lines, pairs, threshold), "links")
+    unstage(*temp, pairs)
+    temp.clear()
     named = components(links)
-    crowd = buckets.filter("n > 2").select("band", "node", (F.col("node") == F.col("center")).alias("tried"))
+    crowd, before = buckets.filter("n > 2").select("band", "node", (F.col("node") == F.col("center")).alias("tried")), [buckets]
     for turn in range(rounds):
-        apart = staged(_apart(crowd, named), "apart")
+        apart = staged(_apart(crowd, named, temp), "apart")
+        unstage(*temp, *before)
+        temp.clear()
+        before = [apart]
         if apart.isEmpty():
             break
         pairs, crowd = _few_outside(apart, few), apart.filter(F.col("outside") > few)
         if turn + 1 < rounds:
-            stars = staged(_hubs(crowd, links), "stars")
+            stars = staged(_hubs(crowd, links, temp), "stars")
+            before.append(stars)
             crowd = stars.select("band", "node", (F.col("tried") | (F.col("node") == F.col("center"))).alias("tried"))
             pairs = pairs.union(stars.filter("component <> of_center").select(*_ordered("node", "center")))
         elif not crowd.isEmpty():  # decided exactly
-            pairs = pairs.union(_across(staged(_rarest(lines, crowd, threshold), "rarest"), crowd, threshold))
-        more = staged(verified(lines, staged(pairs.distinct(), "pairs"), threshold), "links")
+            rarest = staged(_rarest(lines, crowd, threshold, temp), "rarest")
+            temp.append(rarest)
+            pairs = pairs.union(_across(rarest, crowd, threshold, temp))
+        pairs = staged(pairs.distinct(), "pairs")
+        more = staged(verified(lines, pairs, threshold), "links")
+        unstage(*temp, pairs)
+        temp.clear()
         if not more.isEmpty():
             links = links.union(more)
             named = components(links)
+    unstage(*before, lines)
     firsts = staged(named.join(nodes.select("node", "first", "row"), "node").groupBy("component").agg(F.min("first").alias("class_first"), F.min_by("row", "first").alias("class_row")), "firsts")
     merged = named.join(firsts, "component").select("node", "class_first", "class_row")
     # a line that is alone in its node and class is its own first
