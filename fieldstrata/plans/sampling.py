@@ -133,12 +133,35 @@ def s10(spark, d):
     return A.top_per_group(population(spark, d).withColumn("k", key(39, "id")), ["stratum"], [F.col("k"), F.col("id")], 320).groupBy("stratum").agg(F.count("*").alias("n"))
 
 
-@query("s12_k_center")
+def _far(budget: int) -> str:
+    """Greedy picks written out: the first is the row farthest from the mean, each other one the farthest from all before."""
+    apart = "round(list_sum(list_transform(range(1, 65), lambda i: (e.v[i] - k.v[i]) * (e.v[i] - k.v[i]))), 12)"
+    steps = ["e as materialized (select vec_id, embedding::double[] as v from embeddings)", "k as (select list(m order by i) as v from (select i, avg(v[i]) as m from e, (select unnest(range(1, 65)) as i) group by 1))", f"d0 as (select e.vec_id, e.v, {apart} as d from e, k)"]
+    for n in range(budget):
+        steps.append(f"k{n} as materialized (select vec_id, v from d{n} order by d desc, vec_id limit 1)")
+        far = apart.replace("k.v", f"k{n}.v")
+        steps.append(f"d{n + 1} as materialized (select e.vec_id, e.v, {far if n == 0 else f'least(e.d, {far})'} as d from d{n} e, k{n})")
+    return "with " + ", ".join(steps) + " " + " union all ".join(f"select vec_id, {n + 1}::bigint as pick from k{n}" for n in range(budget))
+
+
+@query("s12_k_center", _far(8))
 def s12(spark, d):
     return A.k_center(read(spark, d, "embeddings"), "vec_id", "embedding", 8)
 
 
-@query("s13_class_balance")
+def _balance(budget: int) -> str:
+    """Greedy picks written out: k0, k1, ... are the picks, s0, s1, ... the running class counts before each."""
+    cols = [f"c{i}" for i in range(1, 6)]
+    steps = ["p as materialized (select o_custkey % 100 as patch, " + ", ".join(f"count(*) filter (o_orderpriority like '{i}%')::double as c{i}" for i in range(1, 6)) + " from orders group by 1)", "s0 as (select " + ", ".join(f"0.0::double as r{i}" for i in range(1, 6)) + ")"]
+    for n in range(budget):
+        total = " + ".join(f"(c{i} + r{i})" for i in range(1, 6))
+        entropy = " + ".join(["0.0", *[f"case when c{i} + r{i} > 0 then -((c{i} + r{i}) / ({total}) * ln((c{i} + r{i}) / ({total}))) else 0 end" for i in range(1, 6)]])
+        gone = " and ".join(f"patch <> (select patch from k{m})" for m in range(n)) or "true"
+        steps += [f"k{n} as materialized (select patch, {', '.join(cols)} from p, s{n} where {gone} order by round({entropy}, 12) desc, patch limit 1)", f"s{n + 1} as materialized (select " + ", ".join(f"r{i} + c{i} as r{i}" for i in range(1, 6)) + f" from s{n}, k{n})"]
+    return "with " + ", ".join(steps) + " " + " union all ".join(f"select patch, {n + 1}::bigint as pick from k{n}" for n in range(budget))
+
+
+@query("s13_class_balance", _balance(6))
 def s13(spark, d):
     p = read(spark, d, "orders").groupBy((F.col("o_custkey") % 100).alias("patch")).agg(*[F.count_if(F.col("o_orderpriority").startswith(str(i))).cast("double").alias(f"c{i}") for i in range(1, 6)])
     return A.class_balance(p, "patch", [f"c{i}" for i in range(1, 6)], 6)
@@ -213,7 +236,13 @@ def s26(spark, d):
     return f.filter(F.col("rn") <= F.greatest(F.lit(10.0), F.round(F.col("f") * F.col("n")))).groupBy("f", "o_orderpriority").agg(F.count("*").alias("n"))
 
 
-@query("s29_block_folds")
+_PACK = """with recursive b as (select o_custkey % 40 as block, count(*) as n, row_number() over (order by count(*) desc, o_custkey % 40) as i from orders group by 1),
+r as (select 0::bigint as i, [0, 0, 0, 0, 0]::bigint[] as l, null::bigint as block, null::bigint as fold
+ union all select i, list_transform(range(1, 6), lambda k: l[k] + case when k = f then n else 0 end), block, f - 1 from (select b.i, b.n, b.block, l, list_position(l, list_min(l)) as f from r join b on b.i = r.i + 1))
+select block, fold from r where i > 0"""
+
+
+@query("s29_block_folds", _PACK)
 def s29(spark, d):
     return A.pack_blocks(read(spark, d, "orders").withColumn("block", F.col("o_custkey") % 40), "block", 5)
 
