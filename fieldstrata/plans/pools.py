@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import design as D
 from ..operators import pools as P
 from ..sources import tables
+from ..streaming import label_stream
 from .registry import query, read
-from .roles import POP, POSTERIORS, areas, labelled, posteriors
+from .roles import POP, POSTERIORS, READINGS, areas, labelled, population, posteriors, readings
 from .streams import scratch
 
 YEARS = [2018, 2019, 2020, 2021]
@@ -160,3 +161,38 @@ def r16(spark, d):
     each = F.aggregate("points", F.lit(0).cast("long"), lambda s, p: s + F.coalesce(F.size(p["evidence"]["v"]), F.lit(0)))
     years = F.aggregate("points", F.lit(0).cast("long"), lambda s, p: s + F.coalesce(F.size(p["evidence"]["t"]), F.lit(0)))
     return b.select("batch_id", F.size("points").alias("points"), each.alias("values"), years.alias("years"), F.size(F.filter("points", lambda p: F.size(p["evidence"]["v"]) > 0)).alias("found"))
+
+
+@query("io14_result_tables", f"with {POP} select kind, stratum, n, round(y, 6) as y from (select stratum, count(*) as n, avg(y) as y from pop group by 1), (select unnest(['csv', 'json', 'parquet']) as kind)")
+def io14(spark, d):
+    rows = population(spark, d).groupBy("stratum").agg(F.count("*").alias("n"), F.avg("y").alias("y"))
+    folder, out = scratch(spark), None
+    for kind in ("csv", "json", "parquet"):
+        tables.write_result(rows, f"{folder}/{kind}", kind)
+        back = spark.read.schema(rows.schema).option("header", True).format(kind).load(f"{folder}/{kind}").select(F.lit(kind).alias("kind"), "stratum", "n", "y")
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
+@query("io19_quoted_export", "select doc_id, text is null or text = '' as blank, coalesce(length(text), 0) as n, md5(coalesce(text, '')) as digest from documents")
+def io19(spark, d):
+    folder = scratch(spark)
+    tables.label_export_csv(read(spark, d, "documents").select("doc_id", "text", F.lit('say "a, b"').alias("note")), folder)
+    back = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("maxCharsPerColumn", -1).csv(folder)
+    return back.filter("note = 'say \"a, b\"'").select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce("text", F.lit("")) == "").alias("blank"), F.length(F.coalesce("text", F.lit(""))).alias("n"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+
+
+@query("st7_widened_table", f"with {READINGS}, a as (select * from readings where seq % 2 = 0), b as (select * from readings where seq % 2 = 1), l as (select *, true as wide from (select *, row_number() over (partition by campaign, batch_id, point_id, expert_id order by seq desc) as rn from b) where rn = 1), o as (select *, false as wide from (select *, row_number() over (partition by campaign, batch_id, point_id, expert_id order by seq desc) as rn from a) where rn = 1 and (campaign, batch_id, point_id, expert_id) not in (select (campaign, batch_id, point_id, expert_id) from b where batch_id is not null)) select expert_id, count(*) as n, count(*) filter (wide) as widened, round(sum(case when wide then value end), 6) as value from (select * from l union all select * from o) group by 1")
+def st7(spark, d):
+    rows = readings(spark, d)
+    narrow = [f.split()[0] for f in label_stream.SCHEMA.split(", ")]
+    first = label_stream.merged(None, rows.filter("seq % 2 = 0").select(*narrow))
+    wide = label_stream.merged(first, rows.filter("seq % 2 = 1").select(*narrow, "value", F.lit(True).alias("wide")))
+    return wide.groupBy("expert_id").agg(F.count("*").alias("n"), F.count_if(F.coalesce("wide", F.lit(False))).alias("widened"), F.sum("value").alias("value"))
+
+
+@query("st3_acknowledged", f"with {READINGS} select batch_id, count(*) as accepted, count(distinct point_id) as points, min(seq) as first, max(seq) as last from readings where point_id is not null and labelled_at is not null and batch_id is not null group by 1")
+def st3(spark, d):
+    acks = label_stream.acknowledged(readings(spark, d), "batch_id")
+    ids = F.transform("accepted", lambda x: x["seq"])
+    return acks.select("batch_id", F.size("accepted").alias("accepted"), F.size(F.array_distinct(F.transform("accepted", lambda x: x["point_id"]))).alias("points"), F.array_min(ids).alias("first"), F.array_max(ids).alias("last"))

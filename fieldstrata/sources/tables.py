@@ -149,6 +149,13 @@ def label_export_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
+def write_result(rows: DataFrame, path: str, kind: str) -> None:
+    """A result table as csv (with header), json or parquet; fractions keep all their digits."""
+    if kind not in ("csv", "json", "parquet"):
+        raise ValueError(f"unknown kind of file: {kind}")
+    rows.write.mode("overwrite").option("header", True).format(kind).save(path)
+
+
 #: Columns of which a label file must have point_id and labelled_at and at least one other.
 LABEL_MARKS = ("transition", "confidence", "is_change", "flags", "seconds_on_point")
 NUMBERS = ("confidence", "is_change", "rank", "score", "lon", "lat", "seconds_on_point")

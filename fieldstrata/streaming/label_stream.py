@@ -39,6 +39,14 @@ def newest(old: DataFrame | None, new: DataFrame) -> DataFrame:
     return keep_last(rows, KEY, F.desc("labelled_at"), F.desc("seq"))
 
 
+def acknowledged(rows: DataFrame, request: str) -> DataFrame:
+    """(request, accepted, refused): of each request the (point_id, seq) that are stored, and how many rows are not, for want
+    of a batch, point or time. A request is small: one submission of a reader."""
+    fine = F.col("batch_id").isNotNull() & F.col("point_id").isNotNull() & F.col("labelled_at").isNotNull()
+    found = rows.groupBy(request).agg(F.sort_array(F.collect_list(F.when(fine, F.struct("point_id", "seq")))).alias("accepted"), F.count_if(~fine).alias("refused"))
+    return found.filter(F.col(request).isNotNull())
+
+
 def upsert_stream(stream: DataFrame, folder: str, checkpoint: str, once: bool = True, merge: Callable[[DataFrame | None, DataFrame], DataFrame] = merged) -> StreamingQuery:
     """Write the upserted table of a stream of submissions to folder/v=<batch>. ``merge``: what stays of old and new rows of
     one key, the last to arrive (``merged``) or the last to be made (``newest``)."""
