@@ -50,15 +50,16 @@ def shortfall(df: DataFrame, fold: str, truth: str, score: Column, alpha: float)
     return covered.groupBy("outer", "cls").agg((F.lit(1 - alpha) - F.avg("c")).alias("shortfall"))
 
 
-def deepest(scores: Column, thresholds: Column, mode: str = "margin") -> Column:
+def deepest(scores: Column, thresholds: Column, classes: int, mode: str = "margin") -> Column:
     """The class furthest inside its threshold (position from 0, the first of equals); thresholds count as at most 1.
 
     ``margin``: least score minus threshold. ``ratio``: largest (1 - score) / (1 - threshold), the latter at least 0.001.
     """
+    each = [(F.get(scores, F.lit(k)), F.least(F.get(thresholds, F.lit(k)), F.lit(1.0))) for k in range(classes)]
     if mode == "margin":
-        gap = F.zip_with(thresholds, scores, lambda q, s: F.least(q, F.lit(1.0)) - s)
+        gap = F.array(*[q - s for s, q in each])
     elif mode == "ratio":
-        gap = F.zip_with(thresholds, scores, lambda q, s: (1 - s) / F.greatest(1 - F.least(q, F.lit(1.0)), F.lit(1e-3)))
+        gap = F.array(*[(1 - s) / F.greatest(1 - q, F.lit(1e-3)) for s, q in each])
     else:
         raise ValueError(f"unknown read: {mode}")
     return F.array_position(gap, F.array_max(gap)).cast("int") - 1
@@ -83,14 +84,15 @@ def nested_alpha(df: DataFrame, fold: str, truth: str, scores: str, classes: int
     q = _wide(directed(weighted_quantiles(without_pairs(counts, folds), "s", "n", alphas, ["lo", "hi", "cls"])), ["outer", "inner", "alpha"], classes)
     choices = q.groupBy("inner").agg(F.collect_list(F.struct("outer", "alpha", "q")).alias("choices"))  # folds x levels
     rows = df.select(F.col(fold).alias("inner"), F.col(truth).alias("truth"), F.col(scores).alias("s_")).dropna()
-    called = rows.join(F.broadcast(choices), "inner").select("truth", F.explode(F.transform("choices", lambda c: F.struct(c["outer"].alias("outer"), c["alpha"].alias("alpha"), deepest(F.col("s_"), c["q"], mode).alias("pred")))).alias("x"))  # a row a fold
-    conf = called.groupBy("x.outer", "x.alpha", "truth", "x.pred").agg(F.count("*").alias("n"))
+    called = rows.join(F.broadcast(choices), "inner").select("truth", "s_", F.explode("choices").alias("x"))  # a row a fold
+    pred = deepest(F.col("s_"), F.col("x.q"), classes, mode)
+    conf = called.groupBy("x.outer", "x.alpha", "truth", pred.alias("pred")).agg(F.count("*").alias("n"))
     levels = per_class(conf, ["outer", "alpha"]).groupBy("outer", "alpha").agg(F.avg("f1").alias("macro_f1"))
     chosen = best(levels, "macro_f1", "alpha", ["outer"])
     held = counts.withColumn("outer", F.explode(F.array(*[F.lit(f) for f in folds]))).filter("fold <> outer")
     final = _wide(weighted_quantiles(held, "s", "n", alphas, ["outer", "cls"]).join(chosen.select("outer", "alpha"), ["outer", "alpha"]), ["outer", "alpha"], classes)
     final = final.select(F.col("outer").alias(fold), "alpha", F.col("q").alias("q_"))
-    labelled = df.join(F.broadcast(final), fold).withColumn("label", deepest(F.col(scores), F.col("q_"), mode)).drop("q_")  # a row a fold
+    labelled = df.join(F.broadcast(final), fold).withColumn("label", deepest(F.col(scores), F.col("q_"), classes, mode)).drop("q_")  # a row a fold
     return labelled, chosen
 
 
