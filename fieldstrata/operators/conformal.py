@@ -110,7 +110,7 @@ def p_to_e(m: int, alpha: float, place: float = 0.5) -> tuple[float, float] | No
     s = alpha + place * (top - alpha)
 
     def excess(c: float) -> float:
-        return math.fsum(math.exp(log_e(k / (m + 1), c, alpha, s)) for k in range(1, m + 2)) / (m + 1) - 1
+        return grid_sum(m, c, alpha, s) / (m + 1) - 1
 
     low, high = -8.0, 3.0
     while excess(10**high) > 0 and high < 12:
@@ -123,9 +123,34 @@ def p_to_e(m: int, alpha: float, place: float = 0.5) -> tuple[float, float] | No
     return 10 ** ((low + high) / 2), s
 
 
+def _soft(x: float) -> float:
+    return max(x, 0.0) + math.log1p(math.exp(-abs(x)))
+
+
 def log_e(p: float, c: float, alpha: float, s: float) -> float:
-    soft = lambda x: max(x, 0.0) + math.log1p(math.exp(-abs(x)))
-    return -math.log(alpha) + soft(c * (alpha - s)) - soft(c * (p - s))
+    return -math.log(alpha) + _soft(c * (alpha - s)) - _soft(c * (p - s))
+
+
+def grid_sum(m: int, c: float, alpha: float, s: float, direct: int = 200_000) -> float:
+    """The calibrator's values summed over the grid 1/(m+1), ..., 1, at a cost that does not grow with m.
+
+    With the step h = c / (m+1) the sum is that of 1 / (1 + exp(x)) at x = h - c s, 2 h - c s, ..., c - c s. Terms beyond
+    45 on either side are 1 or 0 to double precision, so up to ``direct`` terms are added one by one; where more lie
+    between, h is so small that the trapezoidal rule with two correction terms is exact to double precision as well.
+    """
+    h, most = c / (m + 1), _soft(c * (alpha - s)) - math.log(alpha)
+    first, last = max(1, math.ceil((c * s - 45) / h)), min(m + 1, math.floor((c * s + 45) / h))
+    saturated = min(first - 1, m + 1)
+    if last - first < direct:
+        return math.exp(most) * saturated + math.fsum(math.exp(most - _soft(h * k - c * s)) for k in range(first, last + 1))
+    a, b = h * first - c * s, h * last - c * s
+    at = lambda x: math.exp(-_soft(x))
+    slope = lambda x: -at(x) * (1 - at(x))
+    third = lambda x: slope(x) * (1 - 6 * at(x) * (1 - at(x)))
+    # over a short way the closed form would lose digits, and Simpson's rule is exact
+    area = (_soft(-a) - _soft(-b)) / h if b - a > 1e-3 else (last - first) * (at(a) + 4 * at((a + b) / 2) + at(b)) / 6
+    between = area + (at(a) + at(b)) / 2 + h / 12 * (slope(b) - slope(a)) - h**3 / 720 * (third(b) - third(a))
+    return math.exp(most) * (saturated + between)
 
 
 def e_values(calibration: DataFrame, test: DataFrame, alpha: float, by_class: bool = True, place: float = 0.5) -> DataFrame:
@@ -150,6 +175,14 @@ def e_values(calibration: DataFrame, test: DataFrame, alpha: float, by_class: bo
     return test.join(values.select(*keys, "s", "p", F.when(F.col("c_").isNull(), 1.0).otherwise(e).alias("e")), [*keys, "s"])
 
 
+def _running(values: DataFrame, row: str) -> tuple[DataFrame, Column, Column]:
+    """values gathered once by row and class, and the mean and the largest running mean (folds in order) of their e."""
+    ordered = values.groupBy(row, "cls").agg(F.sort_array(F.collect_list(F.struct("fold", "e"))).alias("v"))  # a value a fold
+    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(0.0).alias("top"))
+    step = lambda a, x: F.struct((a["sum"] + x["e"]).alias("sum"), (a["n"] + 1).alias("n"), F.greatest(a["top"], (a["sum"] + x["e"]) / (a["n"] + 1)).alias("top"))
+    return ordered.withColumn("run_", F.aggregate("v", zero, step)), F.col("run_.sum") / F.col("run_.n"), F.col("run_.top")
+
+
 def e_value_sets(values: DataFrame, row: str, alpha: float, variant: str, u: Column | None = None) -> DataFrame:
     """(row, cls, e, inside): whether each class is in a row's set, by the e-values of all folds.
 
@@ -161,7 +194,13 @@ def e_value_sets(values: DataFrame, row: str, alpha: float, variant: str, u: Col
         return e.withColumn("inside", F.col("e") < u / alpha)
     if variant != "max":
         raise ValueError(f"unknown variant: {variant}")
-    ordered = values.groupBy(row, "cls").agg(F.sort_array(F.collect_list(F.struct("fold", "e"))).alias("v"))  # a value a fold
-    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(0.0).alias("top"))
-    run = F.aggregate("v", zero, lambda a, x: F.struct((a["sum"] + x["e"]).alias("sum"), (a["n"] + 1).alias("n"), F.greatest(a["top"], (a["sum"] + x["e"]) / (a["n"] + 1)).alias("top")), lambda a: a["top"])
-    return ordered.select(row, "cls", run.alias("e")).withColumn("inside", F.col("e") < 1 / alpha)
+    ordered, _, top = _running(values, row)
+    return ordered.select(row, "cls", top.alias("e")).withColumn("inside", F.col("e") < 1 / alpha)
+
+
+def e_value_both(values: DataFrame, row: str, alpha: float, u: Column) -> DataFrame:
+    """(variant, row, cls, e, inside) of both variants of ``e_value_sets``, from one grouping of the values."""
+    ordered, mean, top = _running(values, row)
+    each = ordered.select(row, "cls", mean.alias("mean_"), top.alias("top_"))
+    one = lambda variant, e, below: F.struct(F.lit(variant).alias("variant"), F.col(e).alias("e"), (F.col(e) < below).alias("inside"))
+    return each.withColumn("x_", F.explode(F.array(one("rand", "mean_", u / alpha), one("max", "top_", F.lit(1 / alpha))))).select("x_.variant", row, "cls", "x_.e", "x_.inside")

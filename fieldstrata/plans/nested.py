@@ -150,9 +150,6 @@ def c18(spark, d):
     models = F.array(*[F.struct(F.lit(k).alias("fold"), F.lit(c).alias("cls"), score(F.col(p), F.lit(k)).alias("s")) for k in range(1, 5) for c, p in enumerate(PROBS)])
     asked = t.filter("fold = 0").select(F.struct("id", "truth").alias("row"), F.explode(models).alias("x")).select("row", "x.*")
     values = C.e_values(cal, asked, 0.1)
-    out = None
-    for variant in ("rand", "max"):
-        sets = C.e_value_sets(values, "row", 0.1, variant, uniform(53, F.col("row.id"))).select(F.lit(variant).alias("variant"), "row.truth", "cls", "inside")
-        out = sets if out is None else out.unionByName(sets)
+    out = C.e_value_both(values, "row", 0.1, uniform(53, F.col("row.id"))).select("variant", "row.truth", "cls", "inside")
     own = F.col("truth") == F.col("cls")
     return out.groupBy("variant", "cls").agg(F.count("*").alias("n"), F.count_if("inside").alias("inside"), F.count_if(own).alias("own"), F.count_if(own & F.col("inside")).alias("covered"))
