@@ -147,18 +147,36 @@ def set_metrics(df: DataFrame, size: str, covered: str, by: list[str] | None = N
     return df.groupBy(*(by or [])).agg(F.count("*").alias("n"), F.avg(F.col(covered).cast("double")).alias("coverage"), F.avg(size).alias("mean_size"), F.avg((F.col(size) == 1).cast("double")).alias("singletons"), F.avg((F.col(size) == 0).cast("double")).alias("empty"), F.percentile(size, F.lit(0.9)).alias("p90_size"))
 
 
-def binomial_upper(k: int, n: int, delta: float) -> float:
-    """Clopper-Pearson upper bound by bisection on the binomial distribution; 1 for k >= n or n = 0."""
+def binomial_tail(k: int, n: int, p: float) -> float:
+    """P(X <= k) of a binomial number with k <= n p. Terms fall from k downwards; they are added until the rest, at most
+    a geometric series, is below double precision, which takes some multiple of the root of n."""
     import math
 
+    import numpy as np
+
+    if p >= 1:
+        return 0.0
+    top = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
+    odds, total, term, i = (1 - p) / p, 1.0, 1.0, k
+    while i > 0:
+        at = np.arange(i, max(i - 4096, 0), -1, dtype=np.float64)
+        ratios = at / (n - at + 1) * odds
+        terms = term * np.cumprod(ratios)
+        total, term, i = total + float(terms.sum()), float(terms[-1]), i - len(at)
+        r = float(ratios[-1])
+        if r < 1 and term * r / (1 - r) < 1e-17 * total:
+            break
+    return math.exp(top) * total
+
+
+def binomial_upper(k: int, n: int, delta: float) -> float:
+    """Clopper-Pearson upper bound by bisection on the binomial distribution; 1 for k >= n or n = 0."""
     if n == 0 or k >= n:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) for i in range(k + 1)]
     low, high = k / n, 1.0
     for _ in range(60):
         p = (low + high) / 2
-        tail = sum(math.exp(c + i * math.log(p) + (n - i) * math.log1p(-p)) for i, c in enumerate(logs)) if p < 1 else 0.0
-        low, high = (p, high) if tail > delta else (low, p)
+        low, high = (p, high) if binomial_tail(k, n, p) > delta else (low, p)
     return (low + high) / 2
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldstrata.operators import conformal as C
+from fieldstrata.operators import metrics as M
 
 
 @pytest.mark.parametrize("direct", [200_000, 500])
@@ -38,3 +39,14 @@ def test_both_variants(spark):
         for r in C.e_value_sets(values, "row", 0.1, variant, u).collect():
             assert both.pop((variant, r.row, r.cls)) == (round(r.e, 9), r.inside)
     assert not both
+
+
+def test_binomial_bounds():
+    """The tail is that of its terms; a bound over millions of rows comes at once, where all terms took minutes."""
+    for k, n in ((0, 10), (3, 40), (500, 1000), (9000, 20_000)):
+        for p in (k / n, (k / n + 1) / 2, min(0.99, k / n + 0.01)):
+            logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) for i in range(k + 1)]
+            if p > 0:
+                assert M.binomial_tail(k, n, p) == pytest.approx(sum(math.exp(c + i * math.log(p) + (n - i) * math.log1p(-p)) for i, c in enumerate(logs)), rel=1e-9, abs=1e-12)
+    began = time.perf_counter()
+    assert 0.37037 < M.binomial_upper(20_000_000, 54_000_000, 0.1) < 0.3706 and time.perf_counter() - began < 5
