@@ -21,8 +21,10 @@ COLUMNS = [*HEAD, "year", "state", "kind", "source", "changed", "features"]
 
 def _rows(plots: DataFrame, years: list[int], state: Column | None, kind: str, source: str, features: Column | None = None) -> DataFrame:
     """Plots once for every year, by an explode: ``state`` (default: the year's own, from the map ``states``) and features
-    (default: the year's own, from the map ``embeddings``)."""
+    (default: the year's own, from the map ``embeddings``, and only the years that it has)."""
     each = plots.withColumn("year", F.explode(F.array(*map(F.lit, years))))
+    if features is None:
+        each = each.filter(F.map_contains_key("embeddings", F.col("year")))
     own = F.element_at("states", F.col("year")) if state is None else state
     return each.select(*HEAD, "year", own.alias("state"), F.lit(kind).alias("kind"), F.lit(source).alias("source"), "changed", (F.element_at("embeddings", F.col("year")) if features is None else features).alias("features"))
 

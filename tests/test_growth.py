@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fieldstrata.operators import conformal as C
 from fieldstrata.operators import metrics as M
+from fieldstrata.operators import pools as P
 
 
 @pytest.mark.parametrize("direct", [200_000, 500])
@@ -50,3 +51,13 @@ def test_binomial_bounds():
                 assert M.binomial_tail(k, n, p) == pytest.approx(sum(math.exp(c + i * math.log(p) + (n - i) * math.log1p(-p)) for i, c in enumerate(logs)), rel=1e-9, abs=1e-12)
     began = time.perf_counter()
     assert 0.37037 < M.binomial_upper(20_000_000, 54_000_000, 0.1) < 0.3706 and time.perf_counter() - began < 5
+
+
+def test_incomplete_plots(spark):
+    """A plot has rows in the years that it has, and no others."""
+    plot = "loc_id string, lon double, lat double, block_id string, states map<int,string>, embeddings map<int,array<double>>, changed boolean"
+    rows = [("full", 0.0, 0.0, "b", dict.fromkeys(range(2018, 2022), "s"), {y: [1.0] for y in range(2018, 2022)}, False), ("cut", 0.0, 0.0, "b", {2018: "s", 2019: "s"}, {2018: [1.0], 2019: [1.0]}, None)]
+    plots = spark.createDataFrame(rows, plot)
+    assert sorted((r.loc_id, r.year) for r in P.endpoints(plots, 2018, 2021).collect()) == [("cut", 2018), ("full", 2018), ("full", 2021)]
+    gap = spark.createDataFrame([("gap", 0.0, 0.0, "b", {2018: "s", 2020: "s", 2021: "s"}, {2018: [1.0], 2020: [1.0], 2021: [1.0]}, False)], plot)
+    assert [r.year for r in P.stable_years(gap, 2018, [2019, 2020]).collect()] == [2020] and P.pseudo_years(gap.withColumn("changed", ~F.col("changed")), [2019, 2020]).count() == 1
