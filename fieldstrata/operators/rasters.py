@@ -56,13 +56,14 @@ def box(px: DataFrame, value: Column, radius: int, name: str) -> DataFrame:
 
 
 def high_frequency_ratio(px: DataFrame, codes: list[int]) -> DataFrame:
-    """Per map: the share of one-hot variance that a 3 x 3 mean takes away, averaged over classes that vary."""
+    """Per map: the share of one-hot variance that a 3 x 3 mean takes away, averaged over classes that vary; a map where none
+    does has no row."""
     out = None
     for c in codes:
         hot = (F.col("code") == c).cast("double")
         s = box(px.filter(F.col("code") != NODATA), hot, 1, "mean_").groupBy("map_id").agg(F.var_pop(hot).alias("v"), F.var_pop("mean_").alias("m")).withColumn("ratio", F.when(F.col("v") > 0, 1 - F.col("m") / F.col("v")))
         out = s if out is None else out.unionByName(s)
-    return out.groupBy("map_id").agg(F.avg("ratio").alias("high_frequency"))
+    return out.filter("ratio is not null").groupBy("map_id").agg(F.avg("ratio").alias("high_frequency"))
 
 
 def segments(px: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from fieldstrata import plans
 from fieldstrata.operators import conformal as C
 from fieldstrata.operators import metrics as M
 from fieldstrata.operators import pools as P
+from fieldstrata.operators import rasters as R
 
 
 @pytest.mark.parametrize("direct", [200_000, 500])
@@ -67,3 +68,8 @@ def test_incomplete_plots(spark):
 def test_summary_without_pairs(spark):
     """The line of all batches is there when no point was read twice."""
     assert [(r.batch_id, r.n, r.agreed, r.lo, r.hi) for r in plans.QUERIES["l22_repeat_summary"](spark, "/root/testdata/sf0.1").collect()] == [("all", 0, None, 0.0, 1.0)]
+
+
+def test_map_of_one_class(spark):
+    rows = [(m, i, j, (i + j) % 2 if m == "a" else 1) for m in "ab" for i in range(4) for j in range(4)]
+    assert [r.map_id for r in R.high_frequency_ratio(spark.createDataFrame(rows, "map_id string, row int, col int, code int"), [0, 1]).collect()] == ["a"]
