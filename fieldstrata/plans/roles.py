@@ -59,7 +59,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row that is not labelled: those beyond the last labelled key of their stratum, in one scan without a sort."""
     last = labelled(spark, sf_dir).groupBy("stratum").agg(F.max(F.struct("k", "id")).alias("last"))
-    return keyed(spark, sf_dir).join(last, "stratum").filter(F.struct("k", "id") > F.col("last")).drop("last")  # one row a stratum
+    return keyed(spark, sf_dir).join(F.broadcast(last), "stratum").filter(F.struct("k", "id") > F.col("last")).drop("last")  # one row a stratum
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:

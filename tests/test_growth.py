@@ -11,6 +11,7 @@ from fieldstrata.operators import conformal as C
 from fieldstrata.operators import metrics as M
 from fieldstrata.operators import pools as P
 from fieldstrata.operators import rasters as R
+from fieldstrata.plans.roles import predicted
 
 
 @pytest.mark.parametrize("direct", [200_000, 500])
@@ -73,3 +74,13 @@ def test_summary_without_pairs(spark):
 def test_map_of_one_class(spark):
     rows = [(m, i, j, (i + j) % 2 if m == "a" else 1) for m in "ab" for i in range(4) for j in range(4)]
     assert [r.map_id for r in R.high_frequency_ratio(spark.createDataFrame(rows, "map_id string, row int, col int, code int"), [0, 1]).collect()] == ["a"]
+
+
+def test_predicted_rows_stay_where_they_are(spark):
+    """The last labelled key of each stratum goes to the rows; the rows are not dealt out by their few strata."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = predicted(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
