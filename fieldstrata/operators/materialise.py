@@ -34,3 +34,8 @@ def kept(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def tasks(df: DataFrame) -> int:
+    """Partitions for joins whose work is in pairs: a number that is asked for is not lowered for want of bytes."""
+    return max(200, 4 * df.sparkSession.sparkContext.defaultParallelism)

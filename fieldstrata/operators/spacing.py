@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .materialise import kept
+from .materialise import kept, tasks
 
 #: Kilometres in a degree, as the distances are defined.
 KM_LON, KM_LAT = 111.32, 110.57
@@ -34,12 +34,29 @@ def around(df: DataFrame, lon: str, lat: str, km: float) -> DataFrame:
     return out.withColumn("cell_", F.explode(F.sequence(F.col("own_") - 1, F.col("own_") + 1))).drop("own_")
 
 
+def _small(df: DataFrame, lon: str, lat: str, km: float) -> DataFrame:
+    """df with cells (b_, c_) so small that any two points of one lie within km / sqrt(2)."""
+    out = df.withColumn("b_", F.floor(F.col(lat) / (km / 2 / KM_LAT)).cast("long"))
+    low, high = F.col("b_") * (km / 2 / KM_LAT), (F.col("b_") + 1) * (km / 2 / KM_LAT)
+    near = F.least(F.when((low <= 0) & (high >= 0), F.lit(0.0)).otherwise(F.least(F.abs(low), F.abs(high))), F.lit(90.0))
+    return out.withColumn("c_", F.floor(F.col(lon) / (F.lit(km / 2) / (KM_LON * F.cos(F.radians(near))))).cast("long"))
+
+
 def too_close(df: DataFrame, others: DataFrame, ident: str, lon: str, lat: str, km: float) -> DataFrame:
-    """The idents of df's points that lie within km of one of the others (equirectangular, at the point's own latitude)."""
-    o = celled(others.select(F.col(lon).alias("lon_"), F.col(lat).alias("lat_")), "lon_", "lat_", km)
+    """The idents of df's points that lie within km of one of the others (equirectangular, at the point's own latitude).
+
+    A point that shares a small cell with one of the others is too close without a look at their distance; only points
+    of small cells without others meet the others of the nine cells around. These are dealt out by a fixed number of
+    partitions, since what they take is in the pairs and not in the bytes.
+    """
+    p, o = df.select(ident, lon, lat), others.select(F.col(lon).alias("lon_"), F.col(lat).alias("lat_"))
+    marked = _small(p, lon, lat, km).join(_small(o, "lon_", "lat_", km).select("b_", "c_").distinct().withColumn("same_", F.lit(True)), ["b_", "c_"], "left")
     dx = (F.col(lon) - F.col("lon_")) * F.cos(F.radians(lat)) * KM_LON
     dy = (F.col(lat) - F.col("lat_")) * KM_LAT
-    return around(df.select(ident, lon, lat), lon, lat, km).join(o, ["band_", "cell_"]).filter(dx * dx + dy * dy < km * km).select(ident).distinct()
+    n = tasks(df)
+    apart = around(marked.filter("same_ is null").select(ident, lon, lat), lon, lat, km).repartition(n, "band_", "cell_")
+    met = apart.join(celled(o, "lon_", "lat_", km).repartition(n, "band_", "cell_"), ["band_", "cell_"]).filter(dx * dx + dy * dy < km * km)
+    return marked.filter("same_").select(ident).unionByName(met.select(ident)).distinct()
 
 
 def spread(df: DataFrame, ident: str, score: str, lon: str, lat: str, km: float, most: int | None = None) -> DataFrame:

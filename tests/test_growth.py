@@ -1,6 +1,7 @@
 """Bounded forms against plain ones on small inputs, and on sizes that the plain ones do not finish."""
 
 import math
+import random
 import time
 
 import pytest
@@ -11,6 +12,7 @@ from fieldstrata.operators import conformal as C
 from fieldstrata.operators import metrics as M
 from fieldstrata.operators import pools as P
 from fieldstrata.operators import rasters as R
+from fieldstrata.operators import spacing
 from fieldstrata.plans.roles import predicted
 
 
@@ -84,3 +86,16 @@ def test_predicted_rows_stay_where_they_are(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_crowded_points(spark):
+    """Points that share a place with others are settled without their pairs, of which there are 1.6 thousand million."""
+    near = spark.range(40_000).select("id", (F.rand(1) * 0.5).alias("lon"), (40 + F.rand(2) * 0.5).alias("lat"))
+    began = time.perf_counter()
+    assert spacing.too_close(near, near, "id", "lon", "lat", 300.0).count() == 40_000 and time.perf_counter() - began < 30
+    rng = random.Random(3)
+    spots = [(i, rng.uniform(-180, 180), rng.choice([rng.uniform(-90, 90), rng.uniform(-2, 2), 89.9])) for i in range(400)]
+    a, b = spots[:300], spots[300:]
+    want = {i for i, x, y in a if any(((x - u) * math.cos(math.radians(y)) * 111.32) ** 2 + ((y - v) * 110.57) ** 2 < 300.0**2 for _, u, v in b)}
+    frame = lambda rows: spark.createDataFrame(rows, "id long, lon double, lat double")
+    assert {r.id for r in spacing.too_close(frame(a), frame(b), "id", "lon", "lat", 300.0).collect()} == want and 0 < len(want) < 300
