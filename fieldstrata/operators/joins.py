@@ -90,12 +90,17 @@ def nearest_reference(df: DataFrame, reference: DataFrame, ident: str, vector: s
 
 
 def within_radius(df: DataFrame, ident: str, x: str, y: str, radius: float) -> DataFrame:
-    """Pairs of different rows within the radius: each row meets the rows of its own and neighbouring grid cells only."""
-    a = df.withColumn("cx_", F.floor(F.col(x) / radius)).withColumn("cy_", F.floor(F.col(y) / radius))
-    offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    """Pairs of different rows within the radius: each row meets the rows of grid cells a quarter as wide, its own and up to
+    four away. The pairs grow with the square of the rows; they are made in many tasks and held in none."""
+    from .materialise import tasks
+
+    n, width, reach = tasks(df), radius / 4 * (1 + 1e-9), range(-4, 5)  # a hair wider, so that rounding moves no row beyond the fourth cell
+    a = df.withColumn("cx_", F.floor(F.col(x) / width)).withColumn("cy_", F.floor(F.col(y) / width))
+    offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in reach for j in reach])
     b = a.select(F.col(ident).alias("other"), F.col(x).alias("ox_"), F.col(y).alias("oy_"), "cx_", "cy_", F.explode(offsets).alias("o_"))
     b = b.select("other", "ox_", "oy_", (F.col("cx_") + F.col("o_.i")).alias("cx_"), (F.col("cy_") + F.col("o_.j")).alias("cy_"))
-    return a.join(b, ["cx_", "cy_"]).filter((F.col(ident) != F.col("other")) & (F.hypot(F.col(x) - F.col("ox_"), F.col(y) - F.col("oy_")) <= radius)).select(ident, "other")
+    met = a.select(ident, x, y, "cx_", "cy_").repartition(n, "cx_", "cy_").join(b.repartition(n, "cx_", "cy_"), ["cx_", "cy_"])
+    return met.filter((F.col(ident) != F.col("other")) & (F.hypot(F.col(x) - F.col("ox_"), F.col(y) - F.col("oy_")) <= radius)).select(ident, "other")
 
 
 def paired_arms(df: DataFrame, arm: str, base: str, keys: list[str], metric: str, by: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldstrata import plans
 from fieldstrata.operators import conformal as C
+from fieldstrata.operators import joins as J
 from fieldstrata.operators import metrics as M
 from fieldstrata.operators import pools as P
 from fieldstrata.operators import rasters as R
@@ -99,3 +100,10 @@ def test_crowded_points(spark):
     want = {i for i, x, y in a if any(((x - u) * math.cos(math.radians(y)) * 111.32) ** 2 + ((y - v) * 110.57) ** 2 < 300.0**2 for _, u, v in b)}
     frame = lambda rows: spark.createDataFrame(rows, "id long, lon double, lat double")
     assert {r.id for r in spacing.too_close(frame(a), frame(b), "id", "lon", "lat", 300.0).collect()} == want and 0 < len(want) < 300
+
+
+def test_pairs_in_many_tasks(spark):
+    rows = [(i, (i * 37 % 1000) / 10.0, float(i % 25)) for i in range(300)]
+    pairs = J.within_radius(spark.createDataFrame(rows, "id long, x double, y double"), "id", "x", "y", 10.0)
+    assert {(r.id, r.other) for r in pairs.collect()} == {(a[0], b[0]) for a in rows for b in rows if a[0] != b[0] and math.hypot(a[1] - b[1], a[2] - b[2]) <= 10}
+    assert pairs.rdd.getNumPartitions() >= 200
