@@ -82,7 +82,8 @@ def nearest_reference(df: DataFrame, reference: DataFrame, ident: str, vector: s
             return pd.DataFrame({ident: [], "distance": []})
         a, b = (np.array(t[vector].tolist(), np.float64) for t in (x, r))
         a, b = (t / np.maximum(np.linalg.norm(t, axis=1, keepdims=True), 1e-12) for t in (a, b))
-        return pd.DataFrame({ident: x[ident].to_numpy(), "distance": 1 - (a @ b.T).max(axis=1)})
+        best = np.concatenate([(a[at : at + 512] @ b.T).max(axis=1) for at in range(0, len(a), 512)])
+        return pd.DataFrame({ident: x[ident].to_numpy(), "distance": 1 - best})
 
     keys = ("row_block", "ref_block")
     out = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(nearest, f"{ident} {dict(df.dtypes)[ident]}, distance double")
@@ -130,13 +131,17 @@ def neighbours(df: DataFrame, ident: str, vector: str, k: int, block: int = 4096
             return pd.DataFrame({ident: [], "other": [], "similarity": []})
         a, c = (np.array(t[vector].tolist(), np.float64) for t in (x, y))
         a, c = (t / np.maximum(np.linalg.norm(t, axis=1, keepdims=True), 1e-12) for t in (a, c))
-        s = np.round(a @ c.T, 9)
-        ids, own = y[ident].to_numpy(), x[ident].to_numpy()
-        s[own[:, None] == ids[None, :]] = -2.0
-        order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-        rows = np.repeat(np.arange(len(x)), order.shape[1])
-        out = pd.DataFrame({ident: own[rows], "other": ids[order.ravel()], "similarity": s[rows, order.ravel()]})
-        return out[out["similarity"] > -2]
+        ids, own, found = y[ident].to_numpy(), x[ident].to_numpy(), []
+        for at in range(0, len(x), 512):
+            s = np.round(a[at : at + 512] @ c.T, 9)
+            s[own[at : at + 512, None] == ids[None, :]] = -2.0
+            last = np.partition(s, -min(k, len(y)), axis=1)[:, -min(k, len(y))]
+            i, j = np.nonzero((s >= last[:, None]) & (s > -2))  # the k best, and what ties with the last of them
+            order = np.lexsort((ids[j], -s[i, j], i))
+            i, j = i[order], j[order]
+            top = np.arange(len(i)) - np.searchsorted(i, i) < k
+            found.append(pd.DataFrame({ident: own[at + i[top]], "other": ids[j[top]], "similarity": s[i[top], j[top]]}))
+        return pd.concat(found)
 
     part = left.groupBy("block", "with_").cogroup(right.groupBy("block", "with_")).applyInPandas(best, f"{ident} {kind}, other {kind}, similarity double")
     w = Window.partitionBy(ident).orderBy(F.desc("similarity"), "other")

@@ -4,6 +4,7 @@ import math
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +108,17 @@ def test_pairs_in_many_tasks(spark):
     pairs = J.within_radius(spark.createDataFrame(rows, "id long, x double, y double"), "id", "x", "y", 10.0)
     assert {(r.id, r.other) for r in pairs.collect()} == {(a[0], b[0]) for a in rows for b in rows if a[0] != b[0] and math.hypot(a[1] - b[1], a[2] - b[2]) <= 10}
     assert pairs.rdd.getNumPartitions() >= 200
+
+
+def test_neighbours_of_copies(spark):
+    """The best of each row, ties to the smaller id, over several blocks and slices with many equal vectors."""
+    rows = [(i, [float(i % 7), float(i % 3), 1.0]) for i in range(1300)]
+    got = {}
+    for r in J.neighbours(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", 4, 600).collect():
+        got.setdefault(r.id, []).append((-round(r.similarity, 9), r.other))
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(x @ x.T, 8)
+    assert len(got) == 1300 and all(sorted(got[i]) == got[i] or len(got[i]) == 4 for i in got)
+    for i in range(0, 1300, 50):
+        assert sorted(j for _, j in got[i]) == sorted(sorted((j for j in range(1300) if j != i), key=lambda j: (-s[i, j], j))[:4])
