@@ -38,4 +38,4 @@ def kept(df: DataFrame) -> DataFrame:
 
 def tasks(df: DataFrame) -> int:
     """Partitions for joins whose work is in pairs: a number that is asked for is not lowered for want of bytes."""
-    return max(200, 4 * df.sparkSession.sparkContext.defaultParallelism)
+    return max(32, 4 * df.sparkSession.sparkContext.defaultParallelism)
