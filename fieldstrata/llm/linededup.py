@@ -6,9 +6,10 @@
    are the four smallest under a rotation of the hash order: two lines agree on it with probability J^4.
 3. Lines that share a band's value are candidates. At first each meets its bucket's centre. Buckets whose members are
    then still in different groups: where all but a few belong to the largest group, each of the few meets every member;
-   elsewhere two further centres, those with most links, are tried, and what is apart even then meets in an equi-join
-   on the bucket and the lines' rarest shingles (prefix filter), which leaves out no pair at or above the threshold. So
-   no pair of a bucket is given up, and no bucket's pairs are all listed.
+   elsewhere two further centres, those with most links, are tried. Even then every member outside the largest group
+   meets every other one, in a join by bucket that compares bitmaps of their shingles and puts out only the pairs that
+   may reach the threshold: differing bits bound the number of differing shingles from below. So no pair of a bucket is
+   given up, and no bucket's pairs are all listed.
 4. Candidates are verified by the exact Jaccard similarity of all their 5-character shingles.
 5. Distributed union-find (``components``) groups verified lines; the first line of each group by (doc_id, line number) stays.
 
@@ -23,10 +24,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.materialise import tasks
 from .common import doc_columns, numbered, staged, unstage
 from .components import components
 
 BAND_ROWS, PARTS, VERIFY, SHORT = 4, 12, 5, 200
+#: 64-bit words of a line's bitmap. Bits of long lines coincide more often, which leaves more pairs to be verified.
+WORDS = 32
 #: Kind 0 has parts -4 to 3, kind 1 parts -8 to 3.
 BAND_NAMES = [f"a{i}" for i in range(4, PARTS)] + [f"b{i}" for i in range(PARTS)]
 #: Each match steps over a word (16 characters of a long one, or one character of a script that is written without
@@ -163,31 +167,30 @@ def _hubs(crowd: DataFrame, links: DataFrame, temp: list[DataFrame]) -> DataFram
     return crowd.join(centre, "band").select("band", "node", "tried", "component", F.col("center.node").alias("center"), F.col("center.component").alias("of_center"))
 
 
-def _rarest(lines: DataFrame, crowd: DataFrame, threshold: float, temp: list[DataFrame]) -> DataFrame:
-    """(node, tokens, size): of each node the rarest shingles, as many as it takes for any two lines of at least that
-    similarity to have one in common. Shingles of only one node are counted but lead nowhere."""
+def _bitmaps(lines: DataFrame, crowd: DataFrame, temp: list[DataFrame]) -> DataFrame:
+    """(node, size, bits): the number of each node's shingles and a bitmap that has one bit set for each of them."""
     sets = staged(crowd.select("node").distinct().join(lines, "node").select("node", shingles("line").alias("s")), "sets")
-    tokens = sets.select("node", F.explode("s").alias("token"))
-    shared = staged(tokens.groupBy("token").agg(F.count("*").alias("times")).filter("times > 1"), "shared")
-    temp += [sets, shared]
-    ranked = tokens.join(shared, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("t"))
-    sized = ranked.join(sets.select("node", F.size("s").alias("size")), "node")
-    prefix = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1 - (F.col("size") - F.size("t"))
-    return sized.select("node", F.transform(F.slice("t", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int")), lambda x: x["token"]).alias("tokens"), "size").filter("size(tokens) > 0")
-
-
-def _across(rarest: DataFrame, crowd: DataFrame, threshold: float, temp: list[DataFrame]) -> DataFrame:
-    """(a, b): every pair of nodes of one bucket but different groups that share a rare shingle and whose sizes allow the
-    threshold. Of a bucket's nodes with the shingle, those outside their largest group meet all others: no pair within
-    that group is listed."""
-    rows = crowd.select("band", "node", "component").join(rarest, "node").select("band", "node", "component", "size", F.explode("tokens").alias("token"))
-    groups = rows.groupBy("band", "token", "component").agg(F.count("*").alias("n")).groupBy("band", "token").agg(F.count("*").alias("groups"), F.max_by("component", F.struct("n", "component")).alias("largest")).filter("groups > 1")
-    largest = staged(groups.select("band", "token", "largest"), "largest")
-    split = staged(rows.join(largest, ["band", "token"]), "prefixes")  # only shingles that two groups of a bucket share
-    temp += [largest, split]
-    minor = split.filter("component <> largest").select("band", "token", F.col("node").alias("other"), F.col("component").alias("of_other"), F.col("size").alias("other_size"))
-    both = minor.join(split, ["band", "token"]).filter((F.col("component") != F.col("of_other")) & (F.least("size", "other_size") >= F.greatest("size", "other_size") * threshold - 1e-9))
-    return both.select(*_ordered("node", "other")).distinct()
+    temp.append(sets)
+    bit = F.expr("shiftleft(1L, cast(shiftright(s, 5) & 63 as int))")
+    words = [F.bit_or(F.when(F.col("s").bitwiseAND(WORDS - 1) == i, bit).otherwise(F.lit(0).cast("long"))) for i in range(WORDS)]
+    return sets.select("node", F.explode("s").alias("s")).groupBy("node").agg(F.count("*").alias("size"), F.array(*words).alias("bits"))
+
+
+def _across(bitmaps: DataFrame, crowd: DataFrame, threshold: float, most: int = 256) -> DataFrame:
+    """(a, b): of each bucket every member outside the largest group with every member of another group, where their bitmaps
+    leave the threshold possible. A bit that only one of two lines has set stands for a shingle of only that line, and no
+    two bits for the same one: lines of m and n shingles that differ in d have the similarity (m + n - d) / (m + n + d).
+
+    Those outside meet the bucket in parts of about ``most``, so a large bucket is work for many tasks.
+    """
+    n, last = tasks(crowd), F.floor((F.col("outside") - 1) / most)
+    rows = crowd.select("band", "node", "component", "largest", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("part"), last.alias("last")).join(bitmaps, "node")
+    lone = rows.filter((F.col("component") != F.col("largest")) & (F.col("part") == F.pmod(F.xxhash64("node"), F.col("last") + 1)))
+    lone = lone.select("band", "part", F.col("node").alias("other"), F.col("component").alias("of_other"), F.col("size").alias("other_size"), F.col("bits").alias("other_bits"))
+    bits = F.aggregate(F.zip_with("bits", "other_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    both, differ = F.col("size") + F.col("other_size"), F.greatest(bits, F.abs(F.col("size") - F.col("other_size")))
+    met = rows.drop("largest", "last").repartition(n, "band", "part").join(lone.repartition(n, "band", "part"), ["band", "part"])
+    return met.filter((F.col("component") != F.col("of_other")) & (both - differ >= (both + differ) * threshold - 1e-9)).select(*_ordered("node", "other")).distinct()
 
 
 def candidate_lines(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -212,6 +215,16 @@ def verified(lines: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     return sets.filter(jaccard("x", "y") >= threshold).select("a", "b")
 
 
+def regrouped(named: DataFrame, more: DataFrame) -> DataFrame:
+    """named (node, component) after further links (a, b): only groups that a link joins are gone over anew."""
+    of = lambda end: named.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+    ends = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    joined = components(ends.filter("a <> b").distinct())
+    alone = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(named, "node", "left_anti").withColumn("component", F.col("node"))
+    whole = named.select("node", "component").union(alone)
+    return staged(whole.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component")), "named")
+
+
 def line_classes(docs: DataFrame, threshold: float = 0.8, least: int = 1, few: int = 16, rounds: int = 3) -> DataFrame:
     """One row per line: doc_id, line_no, class_doc_id, class_line_no (the class's first line), kept.
 
@@ -252,16 +265,16 @@ def _classes(docs: DataFrame, threshold: float = 0.8, least: int = 1, few: int =
             crowd = stars.select("band", "node", (F.col("tried") | (F.col("node") == F.col("center"))).alias("tried"))
             pairs = pairs.union(stars.filter("component <> of_center").select(*_ordered("node", "center")))
         elif not crowd.isEmpty():  # decided exactly
-            rarest = staged(_rarest(lines, crowd, threshold, temp), "rarest")
-            temp.append(rarest)
-            pairs = pairs.union(_across(rarest, crowd, threshold, temp))
+            bitmaps = staged(_bitmaps(lines, crowd, temp), "bitmaps")
+            temp.append(bitmaps)
+            pairs = pairs.union(_across(bitmaps, crowd, threshold))
         pairs = staged(pairs.distinct(), "pairs")
         more = staged(verified(lines, pairs, threshold), "links")
         unstage(*temp, pairs)
         temp.clear()
         if not more.isEmpty():
             links = links.union(more)
-            named = components(links)
+            named = regrouped(named, more)
     unstage(*before, lines)
     firsts = staged(named.join(nodes.select("node", "first", "row"), "node").groupBy("component").agg(F.min("first").alias("class_first"), F.min_by("row", "first").alias("class_row")), "firsts")
     merged = named.join(firsts, "component").select("node", "class_first", "class_row")
