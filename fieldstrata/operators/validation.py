@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import metrics as M
+from .materialise import kept
 
 #: fit(rows, features, label) gives a function that adds ``prediction`` to rows with the features.
 Fit = Callable[[DataFrame, list[str], str], Callable[[DataFrame], DataFrame]]
@@ -62,19 +63,23 @@ def leave_out(
     ``time_out`` also of other years than the test year) and predicts the observed test rows of the fold and test year.
     Rows of kind ``pseudo`` in the pool take part with the state that a first model, fitted on the fold's other training
     rows, gives them. Test rows are never fitted on. A location or year that training and test rows share fails the query.
-    Folds without test rows have no result.
+    Folds without test rows have no result. Both tables meet the map once and are written; the folds read what is written,
+    and leaks and counts come from one row a fold, location and year.
     """
     rows, asked = mapped(pool, folds, loc), mapped(test.filter((F.col(kind) == "observed") & (F.col(year) == test_year)), folds, loc)
     if time_out:
         rows = rows.filter(F.col(year) != test_year)
+    rows, asked = kept(rows), kept(asked)
+    spots, asked_spots = (kept(t.groupBy("fold", loc, year).agg(F.count("*").alias("n_"))) for t in (rows, asked))
     out = None
     for k in range(n_folds):
         train, held = rows.filter(F.col("fold") != k), asked.filter(F.col("fold") == k)
         real, pseudo = train.filter(F.col(kind) != "pseudo"), train.filter(F.col(kind) == "pseudo")
         bridged = fit(real, features, state)(pseudo).withColumn(state, F.col("prediction").cast(dict(pool.dtypes)[state])).drop("prediction")
         whole = real.unionByName(bridged.select(*real.columns))
-        shared = leaks(train, held, loc, year, time_out)
-        guard = shared.crossJoin(train.agg(F.count("*").alias("n_train"))).select(F.when((F.col("locations") > 0) | (F.col("years") > 0), F.raise_error("training and test rows share a location or year").cast("long")).otherwise(F.col("n_train")).alias("n_train"))
+        spot = spots.filter(F.col("fold") != k)
+        shared = leaks(spot, asked_spots.filter(F.col("fold") == k), loc, year, time_out)
+        guard = shared.crossJoin(spot.agg(F.coalesce(F.sum("n_"), F.lit(0)).alias("n_train"))).select(F.when((F.col("locations") > 0) | (F.col("years") > 0), F.raise_error("training and test rows share a location or year").cast("long")).otherwise(F.col("n_train")).alias("n_train"))
         part = fit(whole, features, state)(held).crossJoin(F.broadcast(guard))  # one row
         out = part if out is None else out.unionByName(part)
     return out
@@ -83,11 +88,12 @@ def leave_out(
 def reads(scored: DataFrame, state: str = "state", changed: str = "changed") -> DataFrame:
     """(read, n, accuracy, balanced, macro_f1): over all scored rows, those of changed plots, and those of stable ones."""
     which = F.explode(F.array(F.lit("all"), F.when(F.col(changed), "changed").otherwise("stable")))
-    conf = scored.withColumn("read", which).groupBy("read", F.col(state).alias("truth"), F.col("prediction").alias("pred")).agg(F.count("*").alias("n"))
+    conf = kept(scored.withColumn("read", which).groupBy("read", F.col(state).alias("truth"), F.col("prediction").alias("pred")).agg(F.count("*").alias("n")))  # read several times
     return M.overall(conf, ["read"]).join(conf.groupBy("read").agg(F.sum("n").alias("n")), "read")
 
 
 def fold_rows(scored: DataFrame, state: str = "state") -> DataFrame:
     """(fold, n, n_train, accuracy, balanced, macro_f1) of each fold."""
     conf = scored.groupBy("fold", F.col(state).alias("truth"), F.col("prediction").alias("pred")).agg(F.count("*").alias("n"), F.max("n_train").alias("t_"))
+    conf = kept(conf)  # read several times
     return M.overall(conf, ["fold"]).join(conf.groupBy("fold").agg(F.sum("n").alias("n"), F.max("t_").alias("n_train")), "fold")

@@ -215,3 +215,13 @@ def test_leave_out_with_spark_ml(spark):
     whole = spark.createDataFrame([(i, i % 3) for i in range(12)], "loc int, fold int")
     scored = validation.leave_out(spark.createDataFrame(table(rng, 300), KINDS), spark.createDataFrame(table(rng, 100), KINDS), whole, 3, ["f", "g"], validation.spark_ml("logistic"))
     assert validation.reads(scored).filter("read = 'all'").first().accuracy > 0.45
+
+
+def test_leave_out_reads_its_tables_once(spark):
+    """The folds read what was written once, not the given tables again for each fold."""
+    rng = random.Random(5)
+    pool_, test = (spark.createDataFrame(table(rng, n), KINDS) for n in (300, 100))
+    whole = spark.createDataFrame([(loc, loc % 3) for loc in range(12)], "loc int, fold int")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    scored = validation.leave_out(pool_, test, whole, 3, ["f", "g"])
+    assert "LogicalRDD" in plan(pool_) and "LogicalRDD" not in plan(scored)
