@@ -58,7 +58,7 @@ def st8(spark, d):
 
 
 def in_turn(spark, *tables):
-    """Tables as a stream of one micro-batch each, in that order."""
+    """Tables as a stream of one micro-batch each, in that order. Each goes through one task: for small tables."""
     import time
 
     folder = scratch(spark)
@@ -69,13 +69,22 @@ def in_turn(spark, *tables):
     return spark.readStream.schema(tables[0].schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
+def each_in_turn(spark, run, *tables):
+    """The same for large tables: each is written by as many tasks as it has, once the query has taken those before it. ``run``
+    starts the query on a stream until all that is there is read, and goes on from its checkpoint when called again."""
+    folder = scratch(spark)
+    for t in tables:
+        t.write.mode("append").parquet(folder)
+        run(spark.readStream.schema(t.schema).parquet(folder)).awaitTermination()
+
+
 @query("st4_late_corrections", f"with {READINGS} select campaign, batch_id, point_id, expert_id, transition, seq from newest")
 def st4(spark, d):
     rows = readings(spark, d).select("campaign", "batch_id", "point_id", "expert_id", "transition", "labelled_at", "seq")
     middle = rows.agg(F.percentile_approx("seq", 0.5).alias("m"))
     halves = [rows.crossJoin(F.broadcast(middle)).filter(c).drop("m") for c in ("seq > m", "seq <= m")]  # one row; the later half comes first
     folder = scratch(spark)
-    L.upsert_stream(in_turn(spark, *halves), folder, f"{folder}/checkpoint", merge=L.newest).awaitTermination()
+    each_in_turn(spark, lambda stream: L.upsert_stream(stream, folder, f"{folder}/checkpoint", merge=L.newest), *halves)
     return L.current(spark, folder).select("campaign", "batch_id", "point_id", "expert_id", "transition", "seq")
 
 
@@ -92,8 +101,10 @@ def st8_closed(spark, d):
     def write(batch, number):
         batch.write.mode("overwrite").parquet(f"{folder}/v={number:08d}")
 
-    hours = L.hourly(in_turn(spark, first, second, late))
-    hours.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    def run(stream):
+        return L.hourly(stream).writeStream.outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(write).trigger(availableNow=True).start()
+
+    each_in_turn(spark, run, first, second, late)
     return spark.read.parquet(f"{folder}/v=*").select(F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour"), "n")
 
 
