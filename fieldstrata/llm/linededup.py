@@ -168,12 +168,23 @@ def _hubs(crowd: DataFrame, links: DataFrame, temp: list[DataFrame]) -> DataFram
 
 
 def _bitmaps(lines: DataFrame, crowd: DataFrame, temp: list[DataFrame]) -> DataFrame:
-    """(node, size, bits): the number of each node's shingles and a bitmap that has one bit set for each of them."""
-    sets = staged(crowd.select("node").distinct().join(lines, "node").select("node", shingles("line").alias("s")), "sets")
-    temp.append(sets)
-    bit = F.expr("shiftleft(1L, cast(shiftright(s, 5) & 63 as int))")
-    words = [F.bit_or(F.when(F.col("s").bitwiseAND(WORDS - 1) == i, bit).otherwise(F.lit(0).cast("long"))) for i in range(WORDS)]
-    return sets.select("node", F.explode("s").alias("s")).groupBy("node").agg(F.count("*").alias("size"), F.array(*words).alias("bits"))
+    """(node, size, bits), staged: the number of each node's shingles and a bitmap that has one bit set for each of them.
+
+    A node's bitmap is made inside its row: its hashes are dealt to quarters, and each quarter gives every fourth word.
+    """
+    row = lambda s: F.struct(F.size(s).alias("size"), _bits(s).alias("bits"))
+    made = F.get(F.transform(F.array(shingles("line")), row), F.lit(0)).alias("made")  # the set is bound once
+    out = staged(crowd.select("node").distinct().join(lines, "node").select("node", made).select("node", "made.size", "made.bits"), "bitmaps")
+    temp.append(out)
+    return out
+
+
+def _bits(s: F.Column) -> F.Column:
+    """``WORDS`` words of 64 bits, of which an array of hashes sets one a hash: its last bits tell the word, the next six the bit."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 5).bitwiseAND(63).cast("int"))
+    word = lambda part, i: F.aggregate(part, F.lit(0).cast("long"), lambda have, x: F.when(F.shiftright(x, 2).bitwiseAND(WORDS // 4 - 1) == i, have.bitwiseOR(bit(x))).otherwise(have))
+    quarters = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: F.filter(s, lambda x: x.bitwiseAND(3) == j))
+    return F.flatten(F.transform(quarters, lambda part: F.transform(F.sequence(F.lit(0), F.lit(WORDS // 4 - 1)), lambda i: word(part, i))))
 
 
 def _across(bitmaps: DataFrame, crowd: DataFrame, threshold: float, most: int = 256) -> DataFrame:
@@ -181,16 +192,23 @@ def _across(bitmaps: DataFrame, crowd: DataFrame, threshold: float, most: int =
     leave the threshold possible. A bit that only one of two lines has set stands for a shingle of only that line, and no
     two bits for the same one: lines of m and n shingles that differ in d have the similarity (m + n - d) / (m + n + d).
 
-    Those outside meet the bucket in parts of about ``most``, so a large bucket is work for many tasks.
+    Those outside meet the bucket in parts of about ``most``, so a large bucket is work for many tasks. Of the buckets that
+    two nodes share, the smallest puts their pair out, and of two nodes outside only the larger one meets the other.
     """
     n, last = tasks(crowd), F.floor((F.col("outside") - 1) / most)
-    rows = crowd.select("band", "node", "component", "largest", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("part"), last.alias("last")).join(bitmaps, "node")
+    words = [f"w{i}" for i in range(WORDS)]  # columns that are never null: comparing them is compiled to little code
+    wide = bitmaps.select("node", "size", *[F.coalesce(F.get("bits", F.lit(i)), F.lit(0).cast("long")).alias(w) for i, w in enumerate(words)])
+    wide = wide.join(crowd.groupBy("node").agg(F.collect_set("band").alias("bands")), "node")  # twenty at most
+    rows = crowd.select("band", "node", "component", "largest", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("part"), last.alias("last")).join(wide, "node")
     lone = rows.filter((F.col("component") != F.col("largest")) & (F.col("part") == F.pmod(F.xxhash64("node"), F.col("last") + 1)))
-    lone = lone.select("band", "part", F.col("node").alias("other"), F.col("component").alias("of_other"), F.col("size").alias("other_size"), F.col("bits").alias("other_bits"))
-    bits = F.aggregate(F.zip_with("bits", "other_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    both, differ = F.col("size") + F.col("other_size"), F.greatest(bits, F.abs(F.col("size") - F.col("other_size")))
-    met = rows.drop("largest", "last").repartition(n, "band", "part").join(lone.repartition(n, "band", "part"), ["band", "part"])
-    return met.filter((F.col("component") != F.col("of_other")) & (both - differ >= (both + differ) * threshold - 1e-9)).select(*_ordered("node", "other")).distinct()
+    lone = lone.select("band", "part", F.col("node").alias("other"), F.col("component").alias("of_other"), F.col("size").alias("other_size"), F.col("bands").alias("other_bands"), *[F.col(w).alias(f"other_{w}") for w in words])
+    bits = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"other_{w}"))) for w in words), F.lit(0))
+    both = F.col("size") + F.col("other_size")
+    meet = (F.col("component") != F.col("of_other")) & ((F.col("component") == F.col("largest")) | (F.col("node") < F.col("other")))
+    once = F.col("band") == F.array_min(F.array_intersect("bands", "other_bands"))
+    alike = lambda differ: both - differ >= (both + differ) * threshold - 1e-9
+    met = rows.drop("last").repartition(n, "band", "part").join(lone.repartition(n, "band", "part"), ["band", "part"])
+    return met.filter(meet & alike(F.abs(F.col("size") - F.col("other_size"))) & alike(bits) & once).select(*_ordered("node", "other"))
 
 
 def candidate_lines(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -265,9 +283,7 @@ def _classes(docs: DataFrame, threshold: float = 0.8, least: int = 1, few: int =
             crowd = stars.select("band", "node", (F.col("tried") | (F.col("node") == F.col("center"))).alias("tried"))
             pairs = pairs.union(stars.filter("component <> of_center").select(*_ordered("node", "center")))
         elif not crowd.isEmpty():  # decided exactly
-            bitmaps = staged(_bitmaps(lines, crowd, temp), "bitmaps")
-            temp.append(bitmaps)
-            pairs = pairs.union(_across(bitmaps, crowd, threshold))
+            pairs = pairs.union(_across(_bitmaps(lines, crowd, temp), crowd, threshold))
         pairs = staged(pairs.distinct(), "pairs")
         more = staged(verified(lines, pairs, threshold), "links")
         unstage(*temp, pairs)

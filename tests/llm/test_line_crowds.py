@@ -38,3 +38,37 @@ def test_groups_after_more_links(spark):
     frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
     rows = lambda named: sorted((r.node, r.component) for r in named.collect())
     assert rows(linededup.regrouped(components.components(frame(first)), frame(more))) == rows(components.components(frame(first + more)))
+
+
+def test_bitmaps_are_made_inside_rows(spark, monkeypatch):
+    plans, staged = [], linededup.staged
+
+    def noted(df, *rest):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return staged(df, *rest)
+
+    monkeypatch.setattr(linededup, "staged", noted)
+    rng = random.Random(33)
+    texts = ["ab", "", "x" * 40] + ["".join(rng.choices("abcdefgh \u00e9\u4e2d", k=rng.randint(5, 400))) for _ in range(60)]
+    lines = spark.createDataFrame(list(enumerate(texts)), "node long, line string")
+    crowd = spark.createDataFrame([(b, i) for b in (1, 2) for i in range(len(texts))], "band long, node long")
+    got = {r.node: r for r in linededup._bitmaps(lines, crowd, []).collect()}
+    assert plans and not any("Generate" in p for p in plans)  # no row for each shingle
+    hashes = {r.node: set(r.s) for r in lines.select("node", linededup.shingles("line").alias("s")).collect()}
+    for node, own in hashes.items():
+        bits = [0] * linededup.WORDS
+        for h in own:
+            bits[h & (linededup.WORDS - 1)] |= 1 << ((h >> 5) & 63)
+        assert got[node].size == len(own)
+        assert sorted(b & ((1 << 64) - 1) for b in got[node].bits) == sorted(bits)  # the words' order does not matter
+
+
+def test_a_pair_of_several_buckets_is_put_out_once(spark):
+    rng = random.Random(34)
+    hub = "".join(rng.choices("abcdefghijklmnop", k=200))
+    lines = spark.createDataFrame([(i, hub[: 198 + i % 3]) for i in range(24)], "node long, line string")
+    # two nodes out of three in each bucket; groups of two, node 0's is everywhere the largest
+    crowd = [(b, i, i // 2, 0) for b in range(3) for i in range(24) if i < 2 or i % 3 != b]
+    crowd = spark.createDataFrame([(*row, 14) for row in crowd], "band long, node long, component long, largest long, outside long")
+    got = [(r.a, r.b) for r in linededup._across(linededup._bitmaps(lines, crowd, []), crowd, 0.8, 4).collect()]
+    assert sorted(got) == [(a, b) for a in range(24) for b in range(a + 1, 24) if a // 2 != b // 2]
