@@ -25,6 +25,12 @@ def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return out
 
 
+def narrow(df: DataFrame, rows: int) -> DataFrame:
+    """df, which comes from a shuffle and has about ``rows`` short rows, in one task for each 100,000 and one a core at
+    least: as many tasks as a large table's shuffles have would be files and task reports without rows."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, rows // 100_000))
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """docs staged with a number for each row, and the number's column: what tells rows of one doc_id apart. The numbers
     are fixed once written; the column's name is none of docs' own."""

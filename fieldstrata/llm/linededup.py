@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.materialise import tasks
-from .common import doc_columns, numbered, staged, unstage
+from .common import doc_columns, narrow, numbered, staged, unstage
 from .components import components
 
 BAND_ROWS, PARTS, VERIFY, SHORT = 4, 12, 5, 200
@@ -127,12 +127,13 @@ def possible(threshold: float) -> F.Column:
 
 
 def _bucketed(nodes: DataFrame, temp: list[DataFrame]) -> DataFrame:
-    """(band, node, n, center) of the buckets of two or more; the centre is the member with the smallest hash.
+    """(band, node, n, center) of the buckets of two or more; the centre is the member with the smallest
+    number, as arbitrary as a hash (numbers go by it), which most links then lead to as components need them.
 
     The buckets' sizes are staged, so that a bucket's rows meet them in a plain join that can split a large one.
     """
     rows = nodes.select("node", F.explode(F.array(*BAND_NAMES)).alias("band")).filter("band is not null")
-    sizes = staged(rows.groupBy("band").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node")).alias("center")).filter("n > 1"), "sizes")
+    sizes = staged(rows.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("center")).filter("n > 1"), "sizes")
     temp.append(sizes)
     return rows.join(sizes, "band").select("band", "node", "n", "center")
 
@@ -145,10 +146,11 @@ def _apart(rows: DataFrame, named: DataFrame, temp: list[DataFrame]) -> DataFram
     """(band, node, tried, component, largest, outside) of the buckets whose members are in more than one group: each
     member's group, the bucket's largest one and how many members are outside it."""
     of = staged(rows.select("band", "node", "tried").join(named.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node")), "apart")
+    count = of.count()
     sizes = of.groupBy("band", "component").agg(F.count("*").alias("k")).groupBy("band").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), (F.sum("k") - F.max("k")).alias("outside"))
-    mixed = staged(sizes.filter("outside > 0"), "mixed")
+    mixed = staged(narrow(sizes.filter("outside > 0"), count), "mixed")
     temp += [of, mixed]
-    return of.join(mixed, "band")
+    return narrow(of.join(mixed, "band"), count)
 
 
 def _few_outside(apart: DataFrame, few: int) -> DataFrame:
@@ -162,7 +164,7 @@ def _hubs(crowd: DataFrame, links: DataFrame, temp: list[DataFrame]) -> DataFram
     """Rows (band, node, tried, component) with the bucket's next centre: of members not tried yet the one with most links."""
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
     rank = F.struct(F.coalesce("degree", F.lit(0)), F.xxhash64("node"))
-    centre = staged(crowd.filter("not tried").join(degree, "node", "left").groupBy("band").agg(F.max_by(F.struct("node", "component"), rank).alias("center")), "centres")
+    centre = staged(narrow(crowd.filter("not tried").join(degree, "node", "left").groupBy("band").agg(F.max_by(F.struct("node", "component"), rank).alias("center")), crowd.count()), "centres")
     temp.append(centre)
     return crowd.join(centre, "band").select("band", "node", "tried", "component", F.col("center.node").alias("center"), F.col("center.component").alias("of_center"))
 
@@ -237,7 +239,7 @@ def regrouped(named: DataFrame, more: DataFrame) -> DataFrame:
     """named (node, component) after further links (a, b): only groups that a link joins are gone over anew."""
     of = lambda end: named.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
     ends = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
-    joined = components(ends.filter("a <> b").distinct())
+    joined = components(ends.filter("a <> b"))
     alone = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(named, "node", "left_anti").withColumn("component", F.col("node"))
     whole = named.select("node", "component").union(alone)
     return staged(whole.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component")), "named")
@@ -284,9 +286,8 @@ def _classes(docs: DataFrame, threshold: float = 0.8, least: int = 1, few: int =
             pairs = pairs.union(stars.filter("component <> of_center").select(*_ordered("node", "center")))
         elif not crowd.isEmpty():  # decided exactly
             pairs = pairs.union(_across(_bitmaps(lines, crowd, temp), crowd, threshold))
-        pairs = staged(pairs.distinct(), "pairs")
-        more = staged(verified(lines, pairs, threshold), "links")
-        unstage(*temp, pairs)
+        more = staged(verified(lines, pairs.distinct(), threshold), "links")
+        unstage(*temp)
         temp.clear()
         if not more.isEmpty():
             links = links.union(more)

@@ -72,3 +72,29 @@ def test_a_pair_of_several_buckets_is_put_out_once(spark):
     crowd = spark.createDataFrame([(*row, 14) for row in crowd], "band long, node long, component long, largest long, outside long")
     got = [(r.a, r.b) for r in linededup._across(linededup._bitmaps(lines, crowd, []), crowd, 0.8, 4).collect()]
     assert sorted(got) == [(a, b) for a in range(24) for b in range(a + 1, 24) if a // 2 != b // 2]
+
+
+def test_small_edge_tables_need_few_steps_and_tasks(spark, monkeypatch):
+    names, staged = [], components.staged
+
+    def noted(df, name, *rest):
+        out = staged(df, name, *rest)
+        names.append((name, df.rdd.getNumPartitions() if name != "edges" or names else 0))
+        return out
+
+    monkeypatch.setattr(components, "staged", noted)
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    named = components.components(frame([(0, i) for i in range(1, 200)] + [(500, 501), (600, 600)])).collect()
+    assert {(r.node, r.component) for r in named} == {(i, 0) for i in range(200)} | {(500, 500), (501, 500), (600, 600)}
+    assert [name for name, _ in names] == ["edges", "low"]  # stars already: nothing to do but to see it
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "97")
+    try:
+        names.clear()
+        chain = components.components(frame([(i, i + 1) for i in range(40)])).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {(r.node, r.component) for r in chain} == {(i, 0) for i in range(41)}
+    assert max(n for _, n in names) <= spark.sparkContext.defaultParallelism
