@@ -19,8 +19,25 @@ MODELS: dict[str, Callable] = {
 }
 
 
+def _scaled(features: list[str]) -> list:
+    return [VectorAssembler(inputCols=features, outputCol="raw_"), StandardScaler(inputCol="raw_", outputCol="features", withMean=True)]
+
+
 def pipeline(features: list[str], model: str = "logistic", seed: int = 1) -> Pipeline:
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw_"), StandardScaler(inputCol="raw_", outputCol="features", withMean=True), MODELS[model](seed)])
+    return Pipeline(stages=[*_scaled(features), MODELS[model](seed)])
+
+
+def side_by_side(train: DataFrame, test: DataFrame, features: list[str], models: list[str], seed: int = 1) -> DataFrame:
+    """test with each named model's prediction, in a column of its name, after fitting on train (features and label).
+
+    The models share one scaling, which is fitted once, and the test rows are read once for all of them.
+    """
+    scaling = Pipeline(stages=_scaled(features)).fit(train)
+    known, out = scaling.transform(train), scaling.transform(test)
+    for name in models:
+        model = MODELS[name](seed).setPredictionCol(name).setRawPredictionCol(f"raw_{name}").setProbabilityCol("")
+        out = model.fit(known).transform(out)
+    return out.select(*test.columns, *models)
 
 
 def out_of_fold(df: DataFrame, features: list[str], label: str, fold: str, folds: int, model: str = "logistic", seed: int = 1) -> DataFrame:

@@ -123,15 +123,13 @@ def c20(spark, d):
 
 @query("c28_classifiers")
 def c28(spark, d):
-    from ..operators.models import MODELS, pipeline
+    from ..operators.models import MODELS, side_by_side
 
     li = read(spark, d, "lineitem").select((F.col("l_discount") >= 0.05).cast("double").alias("label"), "l_quantity", "l_tax", "l_extendedprice", (F.col("l_orderkey") % 2).alias("fold"))
-    out = None
-    for name in sorted(MODELS):
-        fit = pipeline(["l_quantity", "l_tax", "l_extendedprice"], name).fit(li.filter("fold = 0"))
-        one = fit.transform(li.filter("fold = 1")).agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy")).select(F.lit(name).alias("model"), "accuracy")
-        out = one if out is None else out.union(one)
-    return out
+    names = sorted(MODELS)
+    test = side_by_side(li.filter("fold = 0"), li.filter("fold = 1"), ["l_quantity", "l_tax", "l_extendedprice"], names)
+    right = test.agg(*[F.avg((F.col(name) == F.col("label")).cast("double")).alias(name) for name in names])
+    return right.select(F.inline(F.array(*[F.struct(F.lit(name).alias("model"), F.col(name).alias("accuracy")) for name in names])))
 
 
 @query("c42_routing", f"with {POSTERIORS} select fold % 2 as covered, round(avg(case when fold % 2 = 1 then p1 else p0 end), 6) as p from post group by 1")
